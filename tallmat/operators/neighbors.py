@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tallmat.sources.tables import materialise
 
+# Ship this module's functions to the executors themselves, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Rows of one distance block. A task compares one block of queries with one of candidates.
 BLOCK = 2048
 # Reference points that partition the space; they and their radii are all that reaches the driver.
@@ -222,7 +228,7 @@ def _trimmed(matrix: np.ndarray, sizes: np.ndarray) -> pd.Series:
     return pd.Series([row[:size] for row, size in zip(matrix, sizes)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _fuzzy(distances: pd.Series) -> pd.Series:
     d, sizes = _padded(distances)
     rho = np.where(d > 0, d, np.inf).min(axis=1)
@@ -232,7 +238,7 @@ def _fuzzy(distances: pd.Series) -> pd.Series:
 
 
 def _affinity(perplexity: float):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def affinity(distances: pd.Series) -> pd.Series:
         d, sizes = _padded(distances)
         beyond = d * d - (d * d).min(axis=1)[:, None]
