@@ -92,13 +92,13 @@ def indexed_genes(genes: DataFrame) -> DataFrame:
     )
 
 
-def small_genes(genes: DataFrame) -> DataFrame:
+def small_genes(genes: DataFrame, rows_per_gene: int = 1, gene: str = "variable") -> DataFrame:
     """A gene-keyed table marked for broadcast, its size proven by :data:`MAX_GENES`.
 
-    One row per gene is expected. The row count is checked while the table is built.
+    The row count is checked while the table is built; more than ``rows_per_gene`` times the maximal
+    number of genes fails.
     """
-    counted = genes.withColumn("_n", F.row_number().over(Window.orderBy("variable")))
-    ok = F.when(
-        F.col("_n") > MAX_GENES, F.raise_error(F.lit(f"more than {MAX_GENES} genes")).cast("boolean")
-    ).otherwise(F.lit(True))
-    return F.broadcast(counted.where(ok).drop("_n"))
+    limit = MAX_GENES * rows_per_gene
+    counted = genes.withColumn("_n", F.row_number().over(Window.orderBy(gene)))
+    ok = F.when(F.col("_n") > limit, F.raise_error(F.lit(f"more than {limit} rows by gene")).cast("boolean"))
+    return F.broadcast(counted.where(F.coalesce(ok, F.lit(True))).drop("_n"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallmat.operators.axes import Axes, absent_zeros, require, small_genes
-from tallmat.operators.ranks import grouped_median, weighted_values
+from tallmat.operators.ranks import grouped_median
+from tallmat.sources.tables import materialise
 
 
 def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
@@ -49,15 +50,23 @@ def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_v
 
 
 def gene_mad(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
-    """``(variable, median, MAD)``: exact median and (unscaled) median absolute deviation per gene."""
+    """``(variable, median, MAD)``: exact median and (unscaled) median absolute deviation per gene.
+
+    The medians are written to the scratch folder, as each of them is needed in both passes over the
+    deviations and is costly to find again; that runs a job.
+    """
     require(norm, "variable", value)
-    weighted = weighted_values(norm, "variable", value, axes)
-    medians = grouped_median(weighted, "variable")
-    deviations = weighted.join(small_genes(medians), "variable").select(
-        "variable", F.abs(F.col("value") - F.col("median")).alias("value"), "n"
+    rows = norm.select("variable", F.col(value).cast("double").alias("value"))
+    population = None if axes is None else axes.population("variable")
+    medians = materialise(grouped_median(rows, "variable", population))
+    deviations = rows.join(small_genes(medians), "variable").select(
+        "variable", F.abs(F.col("value") - F.col("median")).alias("value")
     )
-    mads = grouped_median(deviations, "variable").withColumnRenamed("median", "MAD")
-    return medians.join(mads, "variable")
+    if population is not None:
+        # An absent zero deviates by the median itself.
+        population = population.join(medians, "variable")
+    mads = grouped_median(deviations, "variable", population, F.abs("median"))
+    return medians.join(small_genes(mads.select("variable", F.col("median").alias("MAD"))), "variable")
 
 
 def hvg_stats(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
@@ -97,11 +106,8 @@ def hvg_mad(
     """
     if keep not in ("above", "at_or_below"):
         raise ValueError(f"keep must be 'above' or 'at_or_below', not {keep!r}")
-    mads = gene_mad(norm, axes, value)
-    if keep == "above":
-        return mads.where(F.col("MAD") > k)
-    genes = norm.select("variable").distinct() if axes is None else axes.genes.select("variable")
-    return genes.join(small_genes(mads), "variable", "left").where(~F.coalesce(F.col("MAD") > k, F.lit(False)))
+    above = F.coalesce(F.col("MAD") > k, F.lit(False))
+    return gene_mad(norm, axes, value).where(above if keep == "above" else ~above)
 
 
 def select_genes(tall: DataFrame, genes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tallmat.functions.markers import ERCC, is_marker
 from tallmat.operators.axes import Axes, require
 from tallmat.operators.ranks import counts_before, distinct_values, running_total, weighted_values
 from tallmat.operators.shape import densify
+from tallmat.sources.tables import materialise
 
 
 def drop_marker_genes(df: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -65,6 +66,8 @@ def norm_quantile(
 
     With ``axes`` the ranking works on the sparse entries, but the result is dense, as the rank of
     a zero need not have mean 0.
+
+    The table of distinct values and the one of means are written to the scratch folder, which runs jobs.
     """
     require(tall, "cell", "variable", "value")
     if by not in ("gene", "cell"):
@@ -75,7 +78,7 @@ def norm_quantile(
         axes = Axes(axes.cells, drop_marker_genes(axes.genes, drop_markers))
 
     values = distinct_values(weighted_values(tall, group, "value", axes), group)
-    runs = counts_before(values, group).withColumn("start", F.col("before") + 1)
+    runs = materialise(counts_before(values, group).withColumn("start", F.col("before") + 1))
     present = F.when(F.col("value").isNull(), 0).otherwise(1)
     amount = F.coalesce("value", F.lit(0.0))
     change = F.explode(
@@ -95,8 +98,11 @@ def norm_quantile(
     means = running_total(changes, "position", "total", "groups").select(
         F.col("position").alias("start"), F.try_divide("total", "groups").alias("norm_value")
     )
-    lookup = runs.join(means, "start", "left").select(
-        F.col(group).alias("_group"), F.col("value").alias("_value"), "norm_value"
+    # Saved, so that the optimizer knows its size: small for counts, which take few distinct values.
+    lookup = materialise(
+        runs.join(means, "start", "left").select(
+            F.col(group).alias("_group"), F.col("value").alias("_value"), "norm_value"
+        )
     )
     dense = tall if axes is None else densify(tall, axes)
     same = (F.col(group) == F.col("_group")) & F.col("value").cast("double").eqNullSafe(F.col("_value"))

@@ -8,18 +8,16 @@ that holds a third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallmat.functions.stats import value_bucket
-from tallmat.operators.axes import Axes, absent_zeros
+from tallmat.operators.axes import Axes, absent_zeros, small_genes
+from tallmat.sources.tables import materialise
 
 
 def weighted_values(tall: DataFrame, group: str, value: str, axes: Axes | None = None) -> DataFrame:
-    """``(group, value double, n)``: stored entries, plus the absent zeros of each group as one row.
-
-    Not aggregated yet, so that a caller can first narrow it down.
-    """
+    """``(group, value double, n)``: stored entries, plus the absent zeros of each group as one row."""
     rows = tall.select(group, F.col(value).cast("double").alias("value"), F.lit(1).cast("bigint").alias("n"))
     if axes is None:
         return rows
@@ -63,45 +61,85 @@ def counts_before(values: DataFrame, group: str) -> DataFrame:
     )
 
 
-def grouped_median(weighted: DataFrame, group: str) -> DataFrame:
+def grouped_median(
+    rows: DataFrame, group: str, zeros: DataFrame | None = None, absent_value: Column | None = None
+) -> DataFrame:
     """``(group, median)``: the exact median per group, NULLs left out.
 
-    Two passes over the rows, neither of which moves them: the first counts rows per bucket and finds
-    the bucket(s) that hold the middle positions, the second looks only at rows of those buckets. No
-    task sees all values of a group.
+    ``rows`` has the group and ``value``. ``zeros (group, population)`` adds the entries that are not
+    stored; each stands for ``absent_value``, a column of ``zeros`` (0 by default). Every group of
+    ``zeros`` is reported.
+
+    Two passes over the rows, neither of which moves them. The first counts rows per bucket and finds
+    the one or two buckets that hold the middle positions; that table, one row per group, is written to
+    the scratch folder. The second looks only at rows of those buckets. No task sees all values of a group.
     """
-    rows = weighted.where(F.col("value").isNotNull()).withColumn("bucket", value_bucket(F.col("value")))
-    ordered = Window.partitionBy(group).orderBy("bucket")
+    bucketed = rows.select(group, "value", value_bucket(F.col("value")).alias("bucket"))
+    counted = bucketed.groupBy(group, "bucket").agg(F.count("value").alias("count"), F.count(F.lit(1)).alias("stored"))
     whole = Window.partitionBy(group)
-    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
-    target = (
-        rows.groupBy(group, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .select(
-            group,
-            "bucket",
-            "bucket_n",
-            F.sum("bucket_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
-            F.sum("bucket_n").over(whole).alias("total"),
+    if zeros is None:
+        counted = counted.withColumns({"absent": F.lit(0).cast("bigint"), "filler": F.lit(0.0)})
+    else:
+        filler = F.lit(0.0) if absent_value is None else absent_value
+        extra = zeros.select(group, "population", filler.cast("double").alias("filler"))
+        counted = (
+            extra.join(counted, group, "left")
+            .withColumn("absent", absent_zeros(F.col("population"), F.sum("stored").over(whole)))
+            .withColumn("count", F.coalesce("count", F.lit(0)))
         )
-        .withColumns({"low": low, "high": high})
-        .withColumn("outer", F.col("through") - F.col("bucket_n"))
-        .where((F.col("through") >= F.col("low")) & (F.col("outer") < F.col("high")))
-        .select(group, "bucket", "outer", "low", "high")
+    # All absent entries share one value. They lie behind the stored entries of smaller buckets; within
+    # their own bucket the second pass puts them behind the stored entries that are not larger.
+    through = F.sum("count").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    home = value_bucket(F.col("filler"))
+    shift = F.when(F.col("bucket") > home, F.col("absent")).otherwise(F.lit(0))
+    extra_size = F.when(F.col("bucket") == home, F.col("absent")).otherwise(F.lit(0))
+    total = F.sum("count").over(whole) + F.col("absent")
+    located = counted.select(
+        group,
+        "bucket",
+        "count",
+        "absent",
+        "filler",
+        (through - F.col("count") + shift).alias("outer"),
+        (F.col("count") + extra_size).alias("size"),
+        F.floor((total + 1) / 2).alias("low"),
+        F.ceil((total + 1) / 2).alias("high"),
+    )
+    hit = (
+        (F.col("count") > 0)
+        & (F.col("outer") + F.col("size") >= F.col("low"))
+        & (F.col("outer") < F.col("high"))
+    )
+    places = materialise(
+        located.groupBy(group, "absent", "filler", "low", "high").agg(
+            F.collect_list(F.when(hit, F.struct("bucket", "outer"))).alias("targets")
+        )
+    )
+
+    target = places.select(group, "absent", "filler", "low", "high", F.explode("targets").alias("target")).select(
+        group, "absent", "filler", "low", "high", "target.*"
     )
     within = Window.partitionBy(group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    behind = F.when(
+        (F.col("bucket") == value_bucket(F.col("filler"))) & (F.col("value") > F.col("filler")), F.col("absent")
+    ).otherwise(F.lit(0))
+    # One or two buckets per gene, so this side is bounded as the genes are.
     middle = (
-        rows.join(target, [group, "bucket"])
-        .groupBy(group, "bucket", "outer", "low", "high", "value")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("last", F.col("outer") + F.sum("n").over(within))
+        bucketed.join(small_genes(target, rows_per_gene=2, gene=group), [group, "bucket"])
+        .groupBy(group, "bucket", "outer", "low", "high", "absent", "filler", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("last", F.col("outer") + F.sum("n").over(within) + behind)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
 
-    def at(position: str):
+    def at(position: str) -> Column:
         return F.max(F.when(F.col(position).between(F.col("first"), F.col("last")), F.col("value")))
 
-    return middle.groupBy(group).agg(((at("low") + at("high")) / 2).alias("median"))
+    found = middle.groupBy(group).agg(at("low").alias("at_low"), at("high").alias("at_high"))
+    # A middle position that no stored entry covers is that of an absent one.
+    absent = F.when(F.col("absent") > 0, F.col("filler"))
+    median = (F.coalesce("at_low", absent) + F.coalesce("at_high", absent)) / 2
+    return places.join(found, group, "left").select(group, median.alias("median"))
 
 
 def running_total(df: DataFrame, position: str, *amounts: str, block: int = 1 << 14) -> DataFrame:

@@ -50,8 +50,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def dense_counts(spark: SparkSession, directory: str) -> DataFrame:
-    counts = retail.counts(spark, directory)
-    return shape.densify(counts.entries, counts.axes)
+    return retail.counts(spark, directory, dense=True).entries
 
 
 def filtered(spark: SparkSession, directory: str, apply_ercc: bool = True, apply_mito: bool = False) -> Counts:
@@ -66,6 +65,12 @@ def filtered(spark: SparkSession, directory: str, apply_ercc: bool = True, apply
     return Counts(qc.filter_matrix(counts.entries, *rules), qc.filter_axes(counts.axes, *rules), sparse=True)
 
 
+def saved(counts: Counts) -> Counts:
+    """Write a stage that is read more than once, as an analysis does between its steps."""
+    axes = Axes(materialise(counts.axes.cells), materialise(counts.axes.genes))
+    return Counts(materialise(counts.entries), axes, counts.sparse)
+
+
 def normalised(counts: Counts) -> Counts:
     return Counts(
         normalize.norm_global(counts.entries), normalize.defined_axes(counts.entries, counts.axes), sparse=True
@@ -217,7 +222,8 @@ def transpose_small(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def densify(spark: SparkSession, directory: str) -> DataFrame:
-    return dense_counts(spark, directory)
+    counts = retail.counts(spark, directory)
+    return shape.densify(counts.entries, counts.axes)
 
 
 @query
@@ -293,7 +299,7 @@ def norm_global_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_quantile(spark: SparkSession, directory: str) -> DataFrame:
-    counts = filtered(spark, directory)
+    counts = saved(filtered(spark, directory))
     return rounded(normalize.norm_quantile(counts.entries, counts.axes))
 
 
@@ -304,7 +310,7 @@ def norm_quantile_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_quantile_by_cell(spark: SparkSession, directory: str) -> DataFrame:
-    counts = filtered(spark, directory)
+    counts = saved(filtered(spark, directory))
     return rounded(normalize.norm_quantile(counts.entries, counts.axes, by="cell"))
 
 
@@ -313,7 +319,7 @@ def norm_quantile_by_cell(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def hvg_stats(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(filtered(spark, directory))
+    norm = saved(normalised(saved(filtered(spark, directory))))
     return rounded(hvg.hvg_stats(norm.entries, norm.axes))
 
 
@@ -324,31 +330,31 @@ def hvg_stats_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def hvg_cv2_desc(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(filtered(spark, directory))
+    norm = normalised(saved(filtered(spark, directory)))
     return rounded(hvg.hvg_cv2(norm.entries, N_HVG, axes=norm.axes))
 
 
 @query
 def hvg_cv2_asc(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(filtered(spark, directory))
+    norm = normalised(saved(filtered(spark, directory)))
     return rounded(hvg.hvg_cv2(norm.entries, N_HVG, "asc", norm.axes))
 
 
 @query
 def hvg_mad_above(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(retail.counts(spark, directory, "supplier"))
+    norm = saved(normalised(retail.counts(spark, directory, "supplier")))
     return rounded(hvg.hvg_mad(norm.entries, MAD_LIMIT, axes=norm.axes))
 
 
 @query
 def hvg_mad_below(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(retail.counts(spark, directory, "supplier"))
+    norm = saved(normalised(retail.counts(spark, directory, "supplier")))
     return rounded(hvg.hvg_mad(norm.entries, MAD_LIMIT, "at_or_below", norm.axes))
 
 
 @query
 def hvg_select(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(filtered(spark, directory))
+    norm = normalised(saved(filtered(spark, directory)))
     return rounded(hvg.select_genes(norm.entries, hvg.hvg_cv2(norm.entries, N_HVG, axes=norm.axes)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallmat.functions.labels import clean_label, clean_names, header_names
 from tallmat.operators.axes import MAX_GENES, Axes
 from tallmat.operators.shape import melt, to_wide
-from tallmat.sources.tables import write_table
+from tallmat.sources.tables import read_table, write_table
 
 ORIENTATIONS = ("cells_by_genes", "genes_by_cells")
 
@@ -41,7 +41,7 @@ class Counts:
         """Write a tall table; its axes are taken from the written entries unless they are given."""
         spark = entries.sparkSession
         write_table(entries, f"{path}/entries", cluster_by=("cell", "variable"))
-        axes = axes or Axes.of(spark.read.parquet(f"{path}/entries"))
+        axes = axes or Axes.of(read_table(spark, f"{path}/entries"))
         write_table(axes.cells, f"{path}/cells")
         write_table(axes.genes, f"{path}/genes")
         return cls.load(spark, path, sparse)
@@ -49,8 +49,8 @@ class Counts:
     @classmethod
     def load(cls, spark: SparkSession, path: str, sparse: bool) -> Counts:
         """Read what :meth:`store` wrote."""
-        read = spark.read.parquet
-        return cls(read(f"{path}/entries"), Axes(read(f"{path}/cells"), read(f"{path}/genes")), sparse)
+        entries, cells, genes = (read_table(spark, f"{path}/{name}") for name in ("entries", "cells", "genes"))
+        return cls(entries, Axes(cells, genes), sparse)
 
 
 def read_counts(

@@ -6,13 +6,16 @@ data) or suppliers (dense). A value is the quantity ordered.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallmat.operators.shape import densify
 from tallmat.sources.counts import Counts
 from tallmat.sources.tables import scratch_dir
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple, Counts] = {}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -54,16 +57,20 @@ def supplier_entries(spark: SparkSession, directory: str) -> DataFrame:
     return _entries(lines, part_genes(spark, directory), F.concat(F.lit("S-"), "l_suppkey"))
 
 
-def counts(spark: SparkSession, directory: str, cells: str = "customer") -> Counts:
-    """The sparse matrix, written once per session to the shared scratch folder and read from there."""
-    key = (spark.sparkContext.applicationId, directory, cells)
+def counts(spark: SparkSession, directory: str, cells: str = "customer", dense: bool = False) -> Counts:
+    """The matrix, written once per session to the shared scratch folder and read from there."""
+    key = (spark.sparkContext.applicationId, id(spark), directory, cells, dense)
     if key not in _stored:
-        entries = {"customer": customer_entries, "supplier": supplier_entries}[cells](spark, directory)
-        name = f"{directory.strip('/').replace('/', '-')}-{cells}"
-        path = f"{scratch_dir(spark)}/counts-{key[0]}-{name}"
-        Counts.save(entries, path, sparse=True)
-        _stored[key] = path
-    return Counts.load(spark, _stored[key], sparse=True)
+        name = "-".join([*directory.strip("/").split("/"), cells, "dense" if dense else "sparse"])
+        path = f"{scratch_dir(spark)}/counts-{uuid.uuid4().hex}-{name}"
+        if dense:
+            source = counts(spark, directory, cells)
+            entries, axes = densify(source.entries, source.axes), source.axes
+        else:
+            entries = {"customer": customer_entries, "supplier": supplier_entries}[cells](spark, directory)
+            axes = None
+        _stored[key] = Counts.save(entries, path, sparse=not dense, axes=axes)
+    return _stored[key]
 
 
 def segments(spark: SparkSession, directory: str) -> DataFrame:
