@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Rows of one distance block. A task compares one block of queries with one of candidates.
 BLOCK = 2048
 # Reference points that partition the space; they and their radii are all that reaches the driver.
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 # Relative slack on distance bounds, far above rounding and far below any useful difference.
 SLACK = 1e-9
 BISECTION_STEPS = 64
@@ -33,9 +33,10 @@ def _matrix(points: pd.Series) -> np.ndarray:
     return np.stack(points.to_numpy()).astype(np.float64) if len(points) else np.empty((0, 0))
 
 
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of each row to each pivot, by differences (no cancellation)."""
-    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of two matrices, good to rounding of their norms."""
+    norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    return np.maximum(norms - 2.0 * (x @ y.T), 0.0)
 
 
 def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, same: bool):
@@ -43,7 +44,7 @@ def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, s
 
     Squared distances from a matrix product only preselect; the kept ones are computed by differences.
     """
-    rough = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * (q @ c.T)
+    rough = _squares(q, c)
     scale = (q * q).sum(axis=1) + (c * c).sum(axis=1).max() + 1e-300
     if same:
         np.fill_diagonal(rough, np.inf)
@@ -58,7 +59,7 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
 
     Equal distances go by label, and a cell gets fewer than k rows only where fewer others exist.
 
-    The search never pairs all cells. Points are assigned to the nearest of a few hundred pivots; a
+    The search never pairs all cells. Points are assigned to the nearest of up to a few thousand pivots; a
     first look within one block gives every point an upper bound on its k-th distance; the point is
     then compared only with partitions that can hold something nearer (triangle inequality and the
     separating plane). Large partitions, and the queries sent to them, are cut into blocks, so the work
@@ -89,21 +90,29 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
 
     @F.pandas_udf("struct<pivot int, radius double>")
     def assign(point: pd.Series) -> pd.DataFrame:
-        distances = _to_pivots(_matrix(point), pivots)
-        nearest = distances.argmin(axis=1)
-        return pd.DataFrame({"pivot": nearest.astype("int32"), "radius": distances.min(axis=1)})
+        x = _matrix(point)
+        pivot = _squares(x, pivots).argmin(axis=1)
+        radius = np.sqrt(((x - pivots[pivot]) ** 2).sum(axis=1))
+        return pd.DataFrame({"pivot": pivot.astype("int32"), "radius": radius})
 
     assigned = materialise(points.select("id", "point", assign("point").alias("at")).select("id", "point", "at.*"))
-    summary = {
-        row["pivot"]: (row["n"], row["low"], row["high"])
-        for row in assigned.groupBy("pivot")
+    # One row per pivot.
+    summary = (
+        assigned.groupBy("pivot")
         .agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+        .orderBy("pivot")
         .collect()
-    }
-    occupied = sorted(summary)
-    parts = {j: math.ceil(summary[j][0] / block) for j in occupied}
-    n_parts = F.element_at(_int_map(parts), F.col("pivot"))
-    candidates = assigned.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
+    )
+    occupied = np.array([row["pivot"] for row in summary])
+    low = np.array([row["low"] for row in summary])
+    high = np.array([row["high"] for row in summary])
+    centers = pivots[occupied]
+    parts = F.broadcast(
+        spark.createDataFrame(
+            [(row["pivot"], math.ceil(row["n"] / block)) for row in summary], "pivot int, parts int"
+        )
+    )
+    candidates = assigned.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
 
     # Upper bound on the k-th distance, from the point's own block.
     id_type = points.schema["id"].dataType.simpleString()
@@ -122,37 +131,44 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
         bound, f"id {id_type}, point array<double>, pivot int, limit double"
     )
 
-    low = np.array([summary[j][1] for j in occupied])
-    high = np.array([summary[j][2] for j in occupied])
-    centers = pivots[occupied]
-    position = {j: i for i, j in enumerate(occupied)}
-    gaps = _to_pivots(centers, centers)
-
     @F.pandas_udf("array<int>")
     def targets(point: pd.Series, pivot: pd.Series, limit: pd.Series) -> pd.Series:
-        distances = _to_pivots(_matrix(point), centers)
-        own = pivot.map(position).to_numpy()
-        to_own = distances[np.arange(len(own)), own][:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.nan_to_num((distances**2 - to_own**2) / (2.0 * gaps[own]), nan=0.0, posinf=0.0, neginf=0.0)
-        nearest = np.maximum.reduce([distances - high, low - distances, plane, np.zeros_like(distances)])
-        slack = SLACK * (distances + high + 1e-300)
-        reachable = nearest <= limit.to_numpy()[:, None] + slack
-        return pd.Series([[occupied[j] for j in np.flatnonzero(row)] for row in reachable])
+        x, own = _matrix(point), centers[np.searchsorted(occupied, pivot.to_numpy())]
+        squares = _squares(x, centers)
+        error = SLACK * ((x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] + 1e-300)
+        below, above = np.sqrt(np.maximum(squares - error, 0.0)), np.sqrt(squares + error)
+        # No point of a partition is nearer than the triangle inequality and the plane halfway
+        # between its pivot and the point's own allow.
+        to_own = ((x - own) ** 2).sum(axis=1)[:, None]
+        gap = np.sqrt(_squares(own, centers) + error)
+        plane = (squares - to_own - 2.0 * error) / (2.0 * gap)
+        nearest = np.maximum.reduce([below - high, low - above, plane])
+        reachable = nearest * (1.0 - SLACK) <= limit.to_numpy()[:, None]
+        return pd.Series([occupied[row] for row in reachable])
 
     queries = materialise(
         bounded.select("id", "point", "limit", F.explode(targets("point", "pivot", "limit")).alias("pivot"))
     )
-    query_parts = {
-        row["pivot"]: math.ceil(row["count"] / block) for row in queries.groupBy("pivot").count().collect()
-    }
-    n_query_parts = F.element_at(_int_map(query_parts), F.col("pivot"))
-    left = queries.select(
-        "*",
-        F.pmod(F.xxhash64("id", F.lit("query")), n_query_parts).cast("int").alias("query_part"),
-        F.explode(F.sequence(F.lit(0), (n_parts - 1).cast("int"))).alias("part"),
+    query_parts = materialise(
+        queries.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_parts"))
+    )
+    # At most one row per pivot.
+    sizes = parts.join(F.broadcast(query_parts), "pivot")
+    left = queries.join(F.broadcast(sizes), "pivot").select(
+        "id",
+        "point",
+        "limit",
+        "pivot",
+        F.pmod(F.xxhash64("id", F.lit("query")), "query_parts").cast("int").alias("query_part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
+    right = candidates.join(F.broadcast(query_parts), "pivot").select(
+        "id",
+        "point",
+        "pivot",
+        "part",
+        F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
     )
-    right = candidates.select("*", F.explode(F.sequence(F.lit(0), (n_query_parts - 1).cast("int"))).alias("query_part"))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
@@ -200,11 +216,6 @@ def _graph_schema(vectors: DataFrame) -> str:
     return f"cell {cell}, neighbor {cell}, distance double, rank int"
 
 
-def _int_map(values: dict[int, int]) -> Column:
-    pairs: Iterator[Column] = (F.lit(x) for item in sorted(values.items()) for x in item)
-    return F.create_map(*pairs)
-
-
 def _bisect(evaluate: Callable[[np.ndarray], np.ndarray], target: np.ndarray, rises: bool) -> np.ndarray:
     """Per row, the positive argument at which a monotone function meets its target."""
     low, high, at = np.zeros_like(target), np.full_like(target, np.inf), np.ones_like(target)
