@@ -101,7 +101,7 @@ def _dense_rows(tall: DataFrame, axes: Axes, value: str) -> DataFrame:
     axis because repeated pairs are merged (to their maximum, as in a pivot) before it is collected.
     """
     genes = indexed_genes(axes.genes)
-    last = genes.agg(F.max("position")).scalar()
+    last = genes.agg(F.coalesce(F.max("position"), F.lit(-1))).scalar()
     stored = (
         tall.join(F.broadcast(genes), "variable")
         .groupBy("cell", "position")
