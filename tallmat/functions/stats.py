@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 256 buckets per power of two: about 0.3 % relative width.
-BUCKETS_PER_OCTAVE = 256
+# 64 buckets per power of two: about 1 % relative width.
+BUCKETS_PER_OCTAVE = 64
 # Larger than BUCKETS_PER_OCTAVE * 1075, the widest exponent range of a double.
-_BUCKET_ORIGIN = 300_000
+_BUCKET_ORIGIN = 100_000
 NULL_BUCKET = -10_000_000
 
 

@@ -76,31 +76,37 @@ def grouped_median(
     """
     bucketed = rows.select(group, "value", value_bucket(F.col("value")).alias("bucket"))
     counted = bucketed.groupBy(group, "bucket").agg(F.count("value").alias("count"), F.count(F.lit(1)).alias("stored"))
-    whole = Window.partitionBy(group)
+    if zeros is not None:
+        filler = F.lit(0.0) if absent_value is None else absent_value
+        extra = zeros.select(group, "population", filler.cast("double").alias("filler"))
+        counted = extra.join(counted, group, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # One window, so one sort, for all running and total counts.
+    ordered = Window.partitionBy(group).orderBy("bucket")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = counted.withColumns(
+        {
+            "through": F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+            "present": F.sum("count").over(whole),
+            "all_stored": F.sum("stored").over(whole),
+        }
+    )
     if zeros is None:
         counted = counted.withColumns({"absent": F.lit(0).cast("bigint"), "filler": F.lit(0.0)})
     else:
-        filler = F.lit(0.0) if absent_value is None else absent_value
-        extra = zeros.select(group, "population", filler.cast("double").alias("filler"))
-        counted = (
-            extra.join(counted, group, "left")
-            .withColumn("absent", absent_zeros(F.col("population"), F.sum("stored").over(whole)))
-            .withColumn("count", F.coalesce("count", F.lit(0)))
-        )
+        counted = counted.withColumn("absent", absent_zeros(F.col("population"), F.col("all_stored")))
     # All absent entries share one value. They lie behind the stored entries of smaller buckets; within
     # their own bucket the second pass puts them behind the stored entries that are not larger.
-    through = F.sum("count").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     home = value_bucket(F.col("filler"))
     shift = F.when(F.col("bucket") > home, F.col("absent")).otherwise(F.lit(0))
     extra_size = F.when(F.col("bucket") == home, F.col("absent")).otherwise(F.lit(0))
-    total = F.sum("count").over(whole) + F.col("absent")
+    total = F.col("present") + F.col("absent")
     located = counted.select(
         group,
         "bucket",
         "count",
         "absent",
         "filler",
-        (through - F.col("count") + shift).alias("outer"),
+        (F.col("through") - F.col("count") + shift).alias("outer"),
         (F.col("count") + extra_size).alias("size"),
         F.floor((total + 1) / 2).alias("low"),
         F.ceil((total + 1) / 2).alias("high"),

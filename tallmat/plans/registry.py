@@ -289,7 +289,7 @@ def stage_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_global(spark: SparkSession, directory: str) -> DataFrame:
-    return rounded(normalised(filtered(spark, directory)).entries)
+    return rounded(normalised(saved(filtered(spark, directory))).entries)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def run(
     are saved below ``path`` (by default in the session's scratch folder) and read back, so nothing
     is computed twice and a lost executor costs one stage at most.
     """
-    path = path or f"{scratch_dir(spark)}/workflow-{spark.sparkContext.applicationId}-{id(settings)}"
+    path = path or f"{scratch_dir(spark)}/workflow-{uuid.uuid4().hex}"
     counts = read_counts(spark, source, orientation, keep_zeros=False) if isinstance(source, str) else source
     counts = counts.store(f"{path}/counts")
     tall, axes = counts.entries, counts.implied()
@@ -53,7 +54,9 @@ def run(
     cells_qc = materialise(qc.qc_cells(tall, axes, settings.match), f"{path}/qc_cells")
     genes_qc = materialise(qc.qc_genes(tall, axes), f"{path}/qc_genes")
     rules = (cells_qc, genes_qc, settings.apply_ercc, settings.apply_mito, settings.limits)
-    filtered = materialise(qc.filter_matrix(tall, *rules), f"{path}/filtered", cluster_by=("cell", "variable"))
+    # Neither the filter nor the join with the cell totals scatters the entries of a cell, so these
+    # stages are written as they come.
+    filtered = materialise(qc.filter_matrix(tall, *rules), f"{path}/filtered")
     if axes is not None:
         kept = qc.filter_axes(axes, *rules)
         axes = Axes(materialise(kept.cells, f"{path}/kept_cells"), materialise(kept.genes, f"{path}/kept_genes"))
@@ -63,7 +66,7 @@ def run(
         norm_axes = None if axes is None else normalize.defined_axes(filtered, axes)
     else:
         norm, norm_axes = normalize.norm_quantile(filtered, axes), None
-    norm = materialise(norm, f"{path}/normalised", cluster_by=("cell", "variable"))
+    norm = materialise(norm, f"{path}/normalised")
 
     if settings.mad_above is not None:
         genes = hvg.hvg_mad(norm, settings.mad_above, axes=norm_axes)

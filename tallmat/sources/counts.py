@@ -18,11 +18,16 @@ ORIENTATIONS = ("cells_by_genes", "genes_by_cells")
 
 @dataclass(frozen=True)
 class Counts:
-    """A tall matrix with its axes. ``sparse`` says whether zero entries are left out."""
+    """A tall matrix with its axes.
+
+    ``sparse`` says whether zero entries are left out, ``clustered`` whether the entries of a cell lie
+    together already, as they do when a file has one line per cell.
+    """
 
     entries: DataFrame
     axes: Axes
     sparse: bool
+    clustered: bool = False
 
     def implied(self) -> Axes | None:
         """What operators take as ``axes``: the axes of a sparse matrix, None for a dense one."""
@@ -34,13 +39,18 @@ class Counts:
 
     def store(self, path: str) -> Counts:
         """Write entries and axes below ``path`` and return the matrix as read back."""
-        return Counts.save(self.entries, path, self.sparse, self.axes)
+        return Counts.save(self.entries, path, self.sparse, self.axes, self.clustered)
 
     @classmethod
-    def save(cls, entries: DataFrame, path: str, sparse: bool, axes: Axes | None = None) -> Counts:
-        """Write a tall table; its axes are taken from the written entries unless they are given."""
+    def save(
+        cls, entries: DataFrame, path: str, sparse: bool, axes: Axes | None = None, clustered: bool = False
+    ) -> Counts:
+        """Write a tall table, clustered by cell; its axes are taken from the result unless they are given.
+
+        Entries that are clustered already are written as they come, without a shuffle.
+        """
         spark = entries.sparkSession
-        write_table(entries, f"{path}/entries", cluster_by=("cell", "variable"))
+        write_table(entries, f"{path}/entries", cluster_by=() if clustered else ("cell", "variable"))
         axes = axes or Axes.of(read_table(spark, f"{path}/entries"))
         write_table(axes.cells, f"{path}/cells")
         write_table(axes.genes, f"{path}/genes")
@@ -50,7 +60,7 @@ class Counts:
     def load(cls, spark: SparkSession, path: str, sparse: bool) -> Counts:
         """Read what :meth:`store` wrote."""
         entries, cells, genes = (read_table(spark, f"{path}/{name}") for name in ("entries", "cells", "genes"))
-        return cls(entries, Axes(cells, genes), sparse)
+        return cls(entries, Axes(cells, genes), sparse, clustered=True)
 
 
 def read_counts(
@@ -112,7 +122,7 @@ def read_counts(
     row_labels = labels.groupBy(F.col("label").alias(row_axis)).agg(F.count(F.lit(1)).alias("copies"))
     column_labels = spark.createDataFrame([(name, 1) for name in columns], f"{column_axis} string, copies bigint")
     axes = Axes(row_labels, column_labels) if by_cell else Axes(column_labels, row_labels)
-    return Counts(entries, axes, sparse=not keep_zeros)
+    return Counts(entries, axes, sparse=not keep_zeros, clustered=by_cell)
 
 
 def _text_body(lines: DataFrame, header: str, width: int) -> DataFrame:
