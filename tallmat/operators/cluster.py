@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -63,12 +65,25 @@ def kmeans(
 
 
 def kmeans_sweep(
-    df: DataFrame, ks: Iterable[int] = range(2, 20), features_col: str = "features", seed: int = 125
+    df: DataFrame,
+    ks: Iterable[int] = range(2, 20),
+    features_col: str = "features",
+    seed: int = 125,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """``(k, silhouette, sse)`` for every k, for an elbow plot. The vectors are cached meanwhile."""
+    """``(k, silhouette, sse)`` for every k, for an elbow plot.
+
+    The vectors are cached meanwhile, and ``parallelism`` fits are submitted at a time: one fit is a row
+    of short jobs that leave a cluster idle in between.
+    """
     vectors = df.select("cell", features_col).persist()
+
+    def fit(k: int) -> tuple[int, float, float]:
+        return kmeans(vectors, k, features_col, with_silhouette=True, seed=seed).metrics
+
     try:
-        rows = [kmeans(vectors, k, features_col, with_silhouette=True, seed=seed).metrics for k in ks]
+        with ThreadPool(parallelism) as pool:
+            rows = pool.map(inheritable_thread_target(df.sparkSession)(fit), list(ks))
     finally:
         vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, sse double")
