@@ -53,15 +53,18 @@ def dense_counts(spark: SparkSession, directory: str) -> DataFrame:
     return retail.counts(spark, directory, dense=True).entries
 
 
-def filtered(spark: SparkSession, directory: str, apply_ercc: bool = True, apply_mito: bool = False) -> Counts:
-    """The customer matrix after both filters, with the axes that go with it."""
+def filtered(
+    spark: SparkSession, directory: str, apply_ercc: bool = True, apply_mito: bool = False, save_qc: bool = False
+) -> Counts:
+    """The customer matrix after both filters, with the axes that go with it.
+
+    ``save_qc`` writes the summaries first, for callers that use entries and axes.
+    """
     counts = retail.counts(spark, directory)
-    rules = (
-        qc.qc_cells(counts.entries, counts.axes),
-        qc.qc_genes(counts.entries, counts.axes),
-        apply_ercc,
-        apply_mito,
-    )
+    cells, genes = qc.qc_cells(counts.entries, counts.axes), qc.qc_genes(counts.entries, counts.axes)
+    if save_qc:
+        cells, genes = materialise(cells), materialise(genes)
+    rules = (cells, genes, apply_ercc, apply_mito)
     return Counts(qc.filter_matrix(counts.entries, *rules), qc.filter_axes(counts.axes, *rules), sparse=True)
 
 
@@ -289,7 +292,7 @@ def stage_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_global(spark: SparkSession, directory: str) -> DataFrame:
-    return rounded(normalised(saved(filtered(spark, directory))).entries)
+    return rounded(normalised(saved(filtered(spark, directory, save_qc=True))).entries)
 
 
 @query
@@ -299,7 +302,7 @@ def norm_global_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_quantile(spark: SparkSession, directory: str) -> DataFrame:
-    counts = saved(filtered(spark, directory))
+    counts = saved(filtered(spark, directory, save_qc=True))
     return rounded(normalize.norm_quantile(counts.entries, counts.axes))
 
 
@@ -310,7 +313,7 @@ def norm_quantile_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def norm_quantile_by_cell(spark: SparkSession, directory: str) -> DataFrame:
-    counts = saved(filtered(spark, directory))
+    counts = saved(filtered(spark, directory, save_qc=True))
     return rounded(normalize.norm_quantile(counts.entries, counts.axes, by="cell"))
 
 
@@ -319,7 +322,7 @@ def norm_quantile_by_cell(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def hvg_stats(spark: SparkSession, directory: str) -> DataFrame:
-    norm = saved(normalised(saved(filtered(spark, directory))))
+    norm = saved(normalised(saved(filtered(spark, directory, save_qc=True))))
     return rounded(hvg.hvg_stats(norm.entries, norm.axes))
 
 
@@ -330,13 +333,13 @@ def hvg_stats_dense(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def hvg_cv2_desc(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(saved(filtered(spark, directory)))
+    norm = normalised(saved(filtered(spark, directory, save_qc=True)))
     return rounded(hvg.hvg_cv2(norm.entries, N_HVG, axes=norm.axes))
 
 
 @query
 def hvg_cv2_asc(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(saved(filtered(spark, directory)))
+    norm = normalised(saved(filtered(spark, directory, save_qc=True)))
     return rounded(hvg.hvg_cv2(norm.entries, N_HVG, "asc", norm.axes))
 
 
@@ -354,7 +357,7 @@ def hvg_mad_below(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def hvg_select(spark: SparkSession, directory: str) -> DataFrame:
-    norm = normalised(saved(filtered(spark, directory)))
+    norm = normalised(saved(filtered(spark, directory, save_qc=True)))
     return rounded(hvg.select_genes(norm.entries, hvg.hvg_cv2(norm.entries, N_HVG, axes=norm.axes)))
 
 
