@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import fresh, saved
+from tallmat.llm.common import each_text, fresh, saved
 from tallmat.llm.components import components
 
 SEED = 42
@@ -51,7 +50,6 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-@cache
 def coset_patterns(threshold: int) -> list[list[np.ndarray]]:
     """For each syndrome and each excess 0..threshold, the error patterns of that coset.
 
@@ -71,15 +69,15 @@ def coset_patterns(threshold: int) -> list[list[np.ndarray]]:
     return out
 
 
-def anchors(prints: np.ndarray, threshold: int = THRESHOLD) -> list[np.ndarray]:
+def anchors(prints: np.ndarray, table: list[list[np.ndarray]]) -> list[np.ndarray]:
     """For each fingerprint the anchors to compare it at, its own nearest anchor first.
 
     An anchor is a pair of codewords for bits 0-22 and 23-45. If x is within the covering radius of its
     anchor in both halves and y differs from x in at most ``threshold`` bits, y is within the radius plus its
     share of those bits, so y is sent to every anchor whose excesses over the radius add up to the threshold
-    or less: some 60 anchors at threshold 2.
+    or less: some 60 anchors at threshold 2. ``table`` is from :func:`coset_patterns`.
     """
-    table = coset_patterns(threshold)
+    threshold = len(table[0]) - 1
     mask = (1 << LENGTH) - 1
     low, high = prints & mask, (prints >> LENGTH) & mask
     splits = [(i, j) for i in range(threshold + 1) for j in range(threshold + 1 - i)]
@@ -93,10 +91,10 @@ def anchors(prints: np.ndarray, threshold: int = THRESHOLD) -> list[np.ndarray]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, print)``: one saved row per document, the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t) for t in each_text(texts)], dtype=np.uint64).view(np.int64))
 
     return saved(docs.select(F.col(id_col).alias("doc_id"), hashed(F.col(text_col)).alias("print")))
 
@@ -109,9 +107,14 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     an anchor with many rows is a skewed join key, which Spark splits.
     """
 
-    @F.pandas_udf("array<long>")
-    def sent(values: pd.Series) -> pd.Series:
-        return pd.Series(anchors(values.to_numpy(dtype=np.int64), threshold))
+    @F.arrow_udf("array<long>")
+    def sent(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = coset_patterns(threshold)
+        for values in batches:
+            found = anchors(values.to_numpy(zero_copy_only=False), table)
+            ends = np.cumsum([0, *map(len, found)])
+            flat = np.concatenate([np.empty(0, np.int64), *found])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     rows = prints.select("node", "print", sent("print").alias("anchors"))
     waiting = rows.select(F.col("node").alias("a"), F.col("print").alias("print_a"), F.col("anchors")[0].alias("anchor"))

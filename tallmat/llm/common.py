@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def each_text(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch one by one, so that a batch is never held twice."""
+    for i in range(len(texts)):
+        yield texts[i].as_py()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

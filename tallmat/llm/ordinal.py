@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import saved
+from tallmat.llm.common import each_text, saved
 
 BUCKETS = 1 << 20
 # Labelled rows used for fitting, those of smallest hash.
@@ -23,7 +24,7 @@ MIN_ROWS = 4
 PENALTY = 4e-4
 # Probability of the wanted grade from which a document is selected.
 LEAST = 0.4
-ROUNDS = 60
+ROUNDS = 40
 HISTORY = 8
 # Words of a text tokenised at a time.
 PIECE = 1 << 20
@@ -69,21 +70,24 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def scores(self, texts) -> np.ndarray:
-        """The latent score of each text."""
+    def scorer(self) -> Callable[[str | None], float]:
+        """A function from a text to its latent score, which keeps the weights of words seen before."""
         known = dict(zip(self.buckets.tolist(), self.weights.tolist(), strict=True))
-        words: dict[str, float] = {}
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        words: dict[str, int] = {}
+
+        def score(text: str | None) -> float:
             found = tokens(text)
-            new = found.difference(words)
+            new = [w for w in found if w not in words]
             if len(words) + len(new) > CACHED_WORDS:
-                words, new = {}, found
-            words.update((w, known.get(bucket(w), 0.0)) for w in new)
+                words.clear()
+                new = list(found)
+            for w in new:
+                at = bucket(w)
+                words[w] = at if at in known else -1
             # Words that share a bucket count once, as in fitting.
-            weights = {bucket(w): words[w] for w in found if words[w]}
-            out[i] = sum(sorted(weights.values()))
-        return out
+            return sum(known[at] for at in sorted({words[w] for w in found} - {-1}))
+
+        return score
 
     def beyond(self, scores: np.ndarray) -> np.ndarray:
         """For each score, the probability of exceeding each threshold."""
@@ -159,9 +163,11 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
     rated = usable.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = saved(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
 
-    @F.pandas_udf("array<int>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.array([bucket(t) for t in tokens(x)], dtype=np.int32)) for x in texts])
+    @F.arrow_udf("array<int>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [np.unique(np.array([bucket(t) for t in tokens(x)], dtype=np.int32)) for x in each_text(texts)]
+            yield pa.array(found, pa.list_(pa.int32()))
 
     pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
     rows = saved(pairs.select("grade", hashed("text").alias("buckets")))
@@ -171,6 +177,13 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
         return Model(np.empty(0, np.int64), np.empty(0), np.full(n_grades - 1, -30.0))
     common = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where(F.col("count") >= MIN_ROWS)
     used = np.sort(np.array([r["bucket"] for r in common.select("bucket").collect()], dtype=np.int64))
+
+    @F.arrow_udf("array<int>")
+    def positions(buckets: pa.Array) -> pa.Array:
+        held = [np.flatnonzero(np.isin(used, b.values.to_numpy(), assume_unique=True)) for b in buckets]
+        return pa.array([h.astype(np.int32) for h in held], pa.list_(pa.int32()))
+
+    rows = saved(rows.select("grade", positions("buckets").alias("at")))
     width = len(used) + n_grades - 1
 
     def value_at(point: np.ndarray) -> tuple[float, np.ndarray]:
@@ -181,12 +194,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
             for batch in batches:
                 if not len(batch):
                     continue
-                sizes = batch["buckets"].map(len).to_numpy()
-                row = np.repeat(np.arange(len(batch)), sizes)
-                flat = np.concatenate(batch["buckets"].to_list()).astype(np.int64)
-                at = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0))
-                held = used[at] == flat if len(used) else np.zeros(len(flat), bool)
-                at, row = at[held], row[held]
+                row = np.repeat(np.arange(len(batch)), batch["at"].map(len).to_numpy())
+                at = np.concatenate(batch["at"].to_list()).astype(np.int64)
                 scores = np.bincount(row, weights[at], len(batch))
                 loss, by_score, by_cut = loss_and_slopes(scores, batch["grade"].to_numpy(), cuts)
                 total[0] += loss
@@ -214,11 +223,12 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
 def graded(model: Model, text: Column, wanted: int) -> Column:
     """A struct: ``grade`` (expected) and ``tail`` (probability of ``wanted`` or better)."""
 
-    @F.pandas_udf("grade double, tail double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("grade double, tail double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = model.scorer()
         for texts in batches:
-            beyond = model.beyond(model.scores(texts))
-            yield pd.DataFrame({"grade": beyond.sum(axis=1), "tail": beyond[:, wanted - 1]})
+            beyond = model.beyond(np.array([scores(t) for t in each_text(texts)]))
+            yield pa.StructArray.from_arrays([pa.array(beyond.sum(axis=1)), pa.array(beyond[:, wanted - 1])], ["grade", "tail"])
 
     return score(text)
 

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm import anchors, mixture, ordinal, packing, surrogates
+from tallmat.llm import anchors, chatlog, crosspolytope, kmtree, language, mixture, ordinal, packing, rans, surrogates
 from tallmat.llm.common import table
+from tallmat.sources.tables import scratch_dir
 
 
 def op1_pareto_mixture(spark: SparkSession, directory: str) -> DataFrame:
     return mixture.mix_report(table(spark, directory, "documents"))
 
 
+def op2_kmeans_tree(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = table(spark, directory, "embeddings")
+    return kmtree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_anchor_simhash(spark: SparkSession, directory: str) -> DataFrame:
     groups = anchors.near_duplicates(table(spark, directory, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,16 +32,51 @@ def op4_ordinal_quality(spark: SparkSession, directory: str) -> DataFrame:
     return ordinal.grade_documents(table(spark, directory, "documents"), ratings)
 
 
+def op5_event_chat(spark: SparkSession, directory: str) -> DataFrame:
+    turns = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chatlog.digests(turns.unionByName(probe))
+
+
 def op6_surrogates(spark: SparkSession, directory: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, directory, "documents")).select("doc_id", "text")
 
 
+def op7_word_first_language(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = language.identify(docs, language.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_rans_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    rans.write_tokens(table(spark, directory, "documents"), path)
+    return rans.read_tokens(spark, path).select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_hierarchical_packing(spark: SparkSession, directory: str) -> DataFrame:
     pieces = packing.pack(table(spark, directory, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, directory, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pareto_mixture, op3_anchor_simhash, op4_ordinal_quality, op6_surrogates, op9_hierarchical_packing)
+    for f in (
+        op1_pareto_mixture,
+        op2_kmeans_tree,
+        op3_anchor_simhash,
+        op4_ordinal_quality,
+        op5_event_chat,
+        op6_surrogates,
+        op7_word_first_language,
+        op8_rans_tokens,
+        op9_hierarchical_packing,
+        op10_cross_polytope,
+    )
 }

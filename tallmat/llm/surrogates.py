@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,9 +109,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def hinted(texts: pd.Series) -> list[bool]:
-    """Which texts may hold an entity."""
-    return pc.match_substring_regex(pa.array(texts, type=pa.large_string()), HINT).fill_null(False).to_pylist()
+def hinted(texts: pa.Array) -> list[int]:
+    """The rows of those texts that may hold an entity."""
+    return np.flatnonzero(pc.match_substring_regex(texts, HINT).fill_null(False).to_numpy(zero_copy_only=False)).tolist()
 
 
 class Stream:
@@ -203,15 +204,14 @@ def dressed(mention: str, kind: str, replacement: str) -> str:
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, kind, canonical)``: the distinct entities of each document."""
 
-    @F.pandas_udf("array<struct<kind string, canonical string>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<kind: string, canonical: string>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pair = pa.struct([("kind", pa.string()), ("canonical", pa.string())])
         for texts in batches:
-            yield pd.Series(
-                [
-                    [{"kind": k, "canonical": c} for k, c in dict.fromkeys(e[2:] for e in entities(t))] if hint else []
-                    for t, hint in zip(texts, hinted(texts), strict=True)
-                ]
-            )
+            found: list[list[dict]] = [[] for _ in range(len(texts))]
+            for i in hinted(texts):
+                found[i] = [{"kind": k, "canonical": c} for k, c in dict.fromkeys(e[2:] for e in entities(texts[i].as_py()))]
+            yield pa.array(found, pa.list_(pair))
 
     hit = docs.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("found"))
     return hit.select("doc_id", F.explode("found").alias("found")).select("doc_id", "found.kind", "found.canonical")
@@ -262,23 +262,25 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("special"))
     )
 
-    @F.pandas_udf("string")
-    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, specials in batches:
-            out = []
-            for text, rows, hint in zip(texts, specials, hinted(texts), strict=True):
-                spans = entities(text) if hint else []
+            new, mask = [], np.zeros(len(texts), dtype=bool)
+            for i in hinted(texts):
+                text = texts[i].as_py()
+                spans = entities(text)
                 if not spans:
-                    out.append(text)
                     continue
-                other = {} if rows is None else {(r["kind"], r["canonical"]): r["surrogate"] for r in rows}
+                rows = specials[i].as_py() or []
+                other = {(r["kind"], r["canonical"]): r["surrogate"] for r in rows}
                 parts, at = [], 0
                 for start, end, kind, canonical in spans:
-                    new = other.get((kind, canonical)) or surrogate(kind, canonical, 0, key)
-                    parts += [text[at:start], dressed(text[start:end], kind, new)]
+                    value = other.get((kind, canonical)) or surrogate(kind, canonical, 0, key)
+                    parts += [text[at:start], dressed(text[start:end], kind, value)]
                     at = end
-                out.append("".join([*parts, text[at:]]))
-            yield pd.Series(out, dtype=object)
+                new.append("".join([*parts, text[at:]]))
+                mask[i] = True
+            yield pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type)) if new else texts
 
     own, extra = fresh(docs, "special_id", "special_rows")
     named = special.select(F.col("doc_id").alias(own), F.col("special").alias(extra))
