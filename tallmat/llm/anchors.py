@@ -63,9 +63,10 @@ def coset_patterns(threshold: int) -> list[list[np.ndarray]]:
         )
         at = _syndromes(patterns)
         order = np.argsort(at, kind="stable")
+        sorted_patterns = patterns[order]
         starts = np.searchsorted(at[order], np.arange(len(out) + 1))
         for s in range(len(out)):
-            out[s][excess] = patterns[order][starts[s] : starts[s + 1]]
+            out[s][excess] = sorted_patterns[starts[s] : starts[s + 1]]
     return out
 
 
