@@ -60,8 +60,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     start = time.perf_counter()
-    for cells in ("customer", "supplier"):
-        retail.counts(spark, directory, cells)
+    retail.prepare(spark, directory)
     setup = time.perf_counter() - start
 
     seconds = {}

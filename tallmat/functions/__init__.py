@@ -2,7 +2,7 @@
 
 from tallmat.functions.labels import clean_label, clean_names, header_names
 from tallmat.functions.markers import is_marker
-from tallmat.functions.stats import percent, two_tailed_p, value_bucket
+from tallmat.functions.stats import percent, two_tailed_p
 
 __all__ = [
     "clean_label",
@@ -11,5 +11,4 @@ __all__ = [
     "is_marker",
     "percent",
     "two_tailed_p",
-    "value_bucket",
 ]

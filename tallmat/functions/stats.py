@@ -5,37 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 64 buckets per power of two: about 1 % relative width.
-BUCKETS_PER_OCTAVE = 64
-# Larger than BUCKETS_PER_OCTAVE * 1075, the widest exponent range of a double.
-_BUCKET_ORIGIN = 100_000
-NULL_BUCKET = -10_000_000
-
 
 def percent(part: Column, whole: Column) -> Column:
     """``part / whole * 100``, NULL where ``whole`` is 0."""
     return F.try_divide(part, whole) * 100
 
 
-def value_bucket(value: Column) -> Column:
-    """A coarse, order-preserving bucket number of a numeric value.
-
-    It depends on the value alone, never on the data, so two evaluations always agree. Equal values
-    share a bucket and a smaller value never lands in a later one, which is what lets a long group be
-    ranked bucket by bucket in separate tasks. NULL sorts first.
-    """
-
-    def magnitude(x: Column) -> Column:
-        return F.floor(F.log2(x) * BUCKETS_PER_OCTAVE).cast("bigint") + _BUCKET_ORIGIN
-
-    return (
-        F.when(value.isNull(), F.lit(NULL_BUCKET).cast("bigint"))
-        .when(value == 0, F.lit(0).cast("bigint"))
-        .when(value > 0, magnitude(value))
-        .otherwise(-magnitude(-value))
-    )
-
-
 def two_tailed_p(t: Column, df: Column) -> Column:
     """Two-tailed p-value of Student's t, NULL where t is undefined.
 

@@ -10,12 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Genes are columns of the input matrix; wider inputs are refused. It is this bound that allows a
-# gene-sized table to be broadcast. No such bound exists for cells.
-MAX_GENES = 300_000
+from tallmat.operators.ordering import number_rows
 
 
 @dataclass(frozen=True)
@@ -41,7 +39,7 @@ class Axes:
         """Keep only the listed cells and/or genes."""
         return Axes(
             self.cells if cells is None else self.cells.join(cells, "cell", "left_semi"),
-            self.genes if genes is None else self.genes.join(small_genes(genes), "variable", "left_semi"),
+            self.genes if genes is None else self.genes.join(genes, "variable", "left_semi"),
         )
 
     def cell_total(self) -> Column:
@@ -75,30 +73,5 @@ def require(df: DataFrame, *names: str) -> DataFrame:
 
 
 def indexed_genes(genes: DataFrame) -> DataFrame:
-    """``(variable, position)``, positions from 0 in alphabetical order, at most ``MAX_GENES`` rows.
-
-    The window has no partition key; it sorts gene labels only, and refuses more than ``MAX_GENES``.
-    """
-    number = F.row_number().over(Window.orderBy("variable"))
-    bounded = F.when(
-        F.col("number") > MAX_GENES,
-        F.raise_error(F.lit(f"more than {MAX_GENES} genes")).cast("int"),
-    ).otherwise(F.col("number"))
-    return (
-        genes.select("variable")
-        .distinct()
-        .select("variable", number.alias("number"))
-        .select("variable", (bounded - 1).alias("position"))
-    )
-
-
-def small_genes(genes: DataFrame, rows_per_gene: int = 1, gene: str = "variable") -> DataFrame:
-    """A gene-keyed table marked for broadcast, its size proven by :data:`MAX_GENES`.
-
-    The row count is checked while the table is built; more than ``rows_per_gene`` times the maximal
-    number of genes fails.
-    """
-    limit = MAX_GENES * rows_per_gene
-    counted = genes.withColumn("_n", F.row_number().over(Window.orderBy(gene)))
-    ok = F.when(F.col("_n") > limit, F.raise_error(F.lit(f"more than {limit} rows by gene")).cast("boolean"))
-    return F.broadcast(counted.where(F.coalesce(ok, F.lit(True))).drop("_n"))
+    """``(variable, position)``, positions from 0 in alphabetical order; saved, which runs a job."""
+    return number_rows(genes.select("variable").distinct(), F.col("variable"), name="position")

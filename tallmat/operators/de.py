@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallmat.functions.stats import two_tailed_p
-from tallmat.operators.axes import Axes, require
+from tallmat.operators.axes import Axes, absent_zeros, require
 
 
 def label_cells(tall: DataFrame, predictions: DataFrame, label: str = "prediction") -> DataFrame:
@@ -38,9 +38,8 @@ def _groups(tall: DataFrame, axes: Axes | None) -> DataFrame:
         F.coalesce("total", F.lit(0.0)).alias("total"),
         F.coalesce("m2", F.lit(0.0)).alias("m2"),
     )
-    stored = stats.groupBy("variable").agg(F.collect_list(entry).alias("groups"))
     if axes is None:
-        return stored
+        return stats.groupBy("variable").agg(F.collect_list(entry).alias("groups"))
     require(axes.cells, "prediction")
     sizes = (
         axes.cells.groupBy("prediction")
@@ -48,74 +47,88 @@ def _groups(tall: DataFrame, axes: Axes | None) -> DataFrame:
         .agg(F.collect_list(F.struct("prediction", "cells")))
         .scalar()
     )
+    # Every gene with every cluster; what is stored joins by both, and absent zeros (mean 0, no deviation) are merged.
+    every = axes.genes.select("variable", "copies", F.explode(sizes).alias("cluster")).select(
+        F.col("variable").alias("gene"),
+        F.col("cluster.prediction").alias("label"),
+        (F.col("cluster.cells") * F.col("copies")).alias("full"),
+    )
+    same = (F.col("gene") == F.col("variable")) & F.col("label").eqNullSafe(F.col("prediction"))
+    zeros = absent_zeros(F.col("full"), F.col("size"))
+    n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    shift = F.coalesce(F.try_divide(total * total * F.col("zeros"), n * (n + F.col("zeros"))), F.lit(0.0))
+    merged = F.struct(
+        F.col("label").alias("prediction"),
+        F.col("full").alias("size"),
+        (n + F.col("zeros")).alias("n"),
+        total.alias("total"),
+        (F.coalesce("m2", F.lit(0.0)) + shift).alias("m2"),
+    )
+    joined = every.join(stats, same, "left").withColumn("zeros", zeros)
+    return joined.groupBy(F.col("gene").alias("variable")).agg(F.collect_list(merged).alias("groups"))
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """Moments of two sets of values together; equal means leave the deviation as it is."""
+    n = a["n"] + b["n"]
+    delta = F.coalesce(b["mean"] - a["mean"], F.lit(0.0))
+    share = F.coalesce(F.try_divide(b["n"].cast("double"), n), F.lit(0.0))
+    return F.struct(
+        (a["size"] + b["size"]).alias("size"),
+        n.alias("n"),
+        F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + delta * share).alias("mean"),
+        (a["m2"] + b["m2"] + delta * delta * a["n"] * share).alias("m2"),
+    )
 
-    def with_zeros(cluster: Column) -> Column:
-        # The cluster's stored part, merged with its absent zeros (mean 0, no deviation).
-        found = F.get(F.filter("groups", lambda g: g["prediction"].eqNullSafe(cluster["prediction"])), F.lit(0))
-        size = cluster["cells"] * F.col("copies")
-        zeros = size - F.coalesce(found["size"], F.lit(0))
-        n = F.coalesce(found["n"], F.lit(0))
-        total = F.coalesce(found["total"], F.lit(0.0))
-        shift = F.coalesce(F.try_divide(total * total * zeros, n * (n + zeros)), F.lit(0.0))
-        message = F.lit("sparse matrix holds more entries than its axes allow (repeated cell/gene pairs?)")
-        return F.struct(
-            cluster["prediction"].alias("prediction"),
-            F.when(zeros < 0, F.raise_error(message).cast("bigint")).otherwise(size).alias("size"),
-            (n + zeros).alias("n"),
-            total.alias("total"),
-            (F.coalesce(found["m2"], F.lit(0.0)) + shift).alias("m2"),
-        )
 
-    return (
-        axes.genes.join(stored, "variable", "left")
-        .withColumn("sizes", sizes)
-        .select("variable", F.transform("sizes", with_zeros).alias("groups"))
-    )
+def _before_each(groups: Column) -> Column:
+    """For each position of an array of moments, the merged moments of all entries before it."""
+    kind = "struct<size: bigint, n: bigint, mean: double, m2: double>"
+    nothing = F.struct(F.lit(0), F.lit(0), F.lit(None), F.lit(0.0)).cast(kind)
+    start = F.struct(nothing.alias("so_far"), F.array().cast(f"array<{kind}>").alias("list"))
+    return F.aggregate(
+        groups,
+        start,
+        lambda acc, g: F.struct(
+            _merge(acc["so_far"], g).cast(kind).alias("so_far"),
+            F.concat(acc["list"], F.array(acc["so_far"])).alias("list"),
+        ),
+    )["list"]
 
 
 def _one_vs_rest(groups: DataFrame) -> DataFrame:
     """One row per gene and labelled cluster: its statistics beside those of all other cells.
 
-    The other clusters are merged around their joint mean; nothing is obtained by subtraction, so a gene
-    that is constant outside the cluster keeps a deviation of exactly 0.
+    The other clusters are those before and those behind it in the list, each merged once along the list, so the
+    work is linear in the clusters. Nothing is obtained by subtraction, so a gene that is constant outside the
+    cluster keeps a deviation of exactly 0.
     """
-
-    def total(array: Column, field: str, zero: float | int) -> Column:
-        return F.aggregate(array, F.lit(zero).cast("double" if isinstance(zero, float) else "bigint"),
-                           lambda acc, g: acc + g[field])
-
-    rest = F.filter("groups", lambda g: ~g["prediction"].eqNullSafe(F.col("own.prediction")))
-    merged = (
-        groups.select("variable", "groups", F.explode("groups").alias("own"))
-        .where(F.col("own.prediction").isNotNull())
-        .select("variable", "own", rest.alias("rest"))
-        .select(
-            "variable",
-            "own",
-            "rest",
-            total(F.col("rest"), "size", 0).alias("out_size"),
-            total(F.col("rest"), "n", 0).alias("out_n"),
-            F.try_divide(total(F.col("rest"), "total", 0.0), total(F.col("rest"), "n", 0)).alias("out_mean"),
-        )
-    )
-    spread = F.aggregate(
-        "rest",
-        F.lit(0.0),
-        lambda acc, g: acc
-        + g["m2"]
-        + F.coalesce(
-            g["n"] * F.pow(F.try_divide(g["total"], g["n"]) - F.col("out_mean"), F.lit(2)), F.lit(0.0)
+    moments = F.transform(
+        "groups",
+        lambda g: F.struct(
+            g["size"].alias("size"), g["n"].alias("n"), F.try_divide(g["total"], g["n"]).alias("mean"), g["m2"].alias("m2")
         ),
     )
-    return merged.select(
+    listed = groups.select("variable", "groups", moments.alias("moments")).select(
+        "variable",
+        "groups",
+        _before_each(F.col("moments")).alias("before"),
+        F.reverse(_before_each(F.reverse("moments"))).alias("behind"),
+    )
+    each = (
+        listed.select("variable", F.explode(F.arrays_zip("groups", "before", "behind")).alias("at"))
+        .select("variable", F.col("at.groups").alias("own"), _merge(F.col("at.before"), F.col("at.behind")).alias("rest"))
+        .where(F.col("own.prediction").isNotNull())
+    )
+    return each.select(
         "variable",
         F.col("own.prediction").alias("prediction"),
         F.col("own.size").alias("in_size"),
         F.try_divide("own.total", "own.n").alias("in_mean"),
         F.sqrt(F.try_divide(F.col("own.m2"), F.col("own.n") - 1)).alias("in_sd"),
-        "out_size",
-        "out_mean",
-        F.sqrt(F.try_divide(spread, F.col("out_n") - 1)).alias("out_sd"),
+        F.col("rest.size").alias("out_size"),
+        F.col("rest.mean").alias("out_mean"),
+        F.sqrt(F.try_divide(F.col("rest.m2"), F.col("rest.n") - 1)).alias("out_sd"),
     )
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallmat.operators.axes import Axes, absent_zeros, require, small_genes
-from tallmat.operators.ranks import grouped_median
-from tallmat.sources.tables import materialise
+from tallmat.operators.axes import Axes, absent_zeros, require
+from tallmat.operators.ranks import distinct_values, weighted_median, weighted_values
+from tallmat.stages import materialise
 
 
 def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
@@ -52,26 +52,22 @@ def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_v
 def gene_mad(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
     """``(variable, median, MAD)``: exact median and (unscaled) median absolute deviation per gene.
 
-    The medians are written to the scratch folder, as each of them is needed in both passes over the
-    deviations and is costly to find again; that runs a job.
+    The matrix is read once, into distinct values with their counts; median and deviations come from those. They
+    and the medians are written to the scratch folder, which runs jobs.
     """
     require(norm, "variable", value)
-    rows = norm.select("variable", F.col(value).cast("double").alias("value"))
-    population = None if axes is None else axes.population("variable")
-    medians = materialise(grouped_median(rows, "variable", population))
-    deviations = rows.join(small_genes(medians), "variable").select(
-        "variable", F.abs(F.col("value") - F.col("median")).alias("value")
+    values = materialise(distinct_values(weighted_values(norm, "variable", value, axes), "variable"))
+    medians = materialise(weighted_median(values, "variable"))
+    deviations = values.join(medians, "variable").select(
+        "variable", F.abs(F.col("value") - F.col("median")).alias("value"), "n"
     )
-    if population is not None:
-        # An absent zero deviates by the median itself.
-        population = population.join(medians, "variable")
-    mads = grouped_median(deviations, "variable", population, F.abs("median"))
-    return medians.join(small_genes(mads.select("variable", F.col("median").alias("MAD"))), "variable")
+    mads = weighted_median(distinct_values(deviations, "variable"), "variable")
+    return medians.join(mads.select("variable", F.col("median").alias("MAD")), "variable")
 
 
 def hvg_stats(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
     """All per-gene statistics: moments, CV and CV2, median and MAD."""
-    return gene_moments(norm, axes, value).join(small_genes(gene_mad(norm, axes, value)), "variable", "left")
+    return gene_moments(norm, axes, value).join(gene_mad(norm, axes, value), "variable", "left")
 
 
 def hvg_cv2(
@@ -111,5 +107,5 @@ def hvg_mad(
 
 
 def select_genes(tall: DataFrame, genes: DataFrame) -> DataFrame:
-    """Rows of the listed genes; the gene list is bounded and broadcast."""
-    return tall.join(small_genes(genes.select("variable")), "variable", "left_semi")
+    """Rows of the listed genes; how to join is left to the optimizer, which knows the list's size."""
+    return tall.join(genes.select("variable"), "variable", "left_semi")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tallmat.sources.tables import materialise
+from tallmat.stages import materialise
 
 # Ship this module's functions to the executors themselves, so that these need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tallmat.functions.markers import ERCC, is_marker
 from tallmat.operators.axes import Axes, require
-from tallmat.operators.ranks import counts_before, distinct_values, running_total, weighted_values
+from tallmat.operators.ranks import counts_before, covering_sums, distinct_values, weighted_values
 from tallmat.operators.shape import densify
-from tallmat.sources.tables import materialise
+from tallmat.stages import materialise
 
 
 def drop_marker_genes(df: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -61,8 +61,8 @@ def norm_quantile(
     gets the mean at the lowest of its positions. NULLs sort first and take part in the ranking.
 
     The ranks of all rows are never laid out. Each distinct value of a group covers a run of
-    positions, so the sum over the groups changes only where a run starts or ends; a running total
-    over those changes gives the mean at every position that is looked up.
+    positions; the mean at a position that is looked up is taken over the runs that cover it, by
+    additions only.
 
     With ``axes`` the ranking works on the sparse entries, but the result is dense, as the rank of
     a zero need not have mean 0.
@@ -78,24 +78,14 @@ def norm_quantile(
         axes = Axes(axes.cells, drop_marker_genes(axes.genes, drop_markers))
 
     values = distinct_values(weighted_values(tall, group, "value", axes), group)
-    runs = materialise(counts_before(values, group).withColumn("start", F.col("before") + 1))
-    present = F.when(F.col("value").isNull(), 0).otherwise(1)
-    amount = F.coalesce("value", F.lit(0.0))
-    change = F.explode(
-        F.array(
-            F.struct(F.col("start").alias("position"), amount.alias("total"), present.alias("groups")),
-            F.struct(
-                (F.col("start") + F.col("n")).alias("position"), (-amount).alias("total"), (-present).alias("groups")
-            ),
-        )
-    )
-    changes = (
-        runs.select(change.alias("change"))
-        .select("change.*")
-        .groupBy("position")
-        .agg(F.sum("total").alias("total"), F.sum("groups").alias("groups"))
+    runs = materialise(counts_before(values, group).withColumn("start", F.col("before")))
+    amounts = runs.select(
+        "start",
+        "n",
+        F.coalesce("value", F.lit(0.0)).alias("total"),
+        F.when(F.col("value").isNull(), 0).otherwise(1).alias("groups"),
     )
-    means = running_total(changes, "position", "total", "groups").select(
+    means = covering_sums(amounts, "total", "groups").select(
         F.col("position").alias("start"), F.try_divide("total", "groups").alias("norm_value")
     )
     # Saved, so that the optimizer knows its size: small for counts, which take few distinct values.

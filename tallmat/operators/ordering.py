@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.sources.tables import materialise
+from tallmat.stages import materialise
 
 
 def number_rows(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallmat.functions.markers import ERCC, MITO, is_marker
 from tallmat.functions.stats import percent
-from tallmat.operators.axes import Axes, absent_zeros, require, small_genes
+from tallmat.operators.axes import Axes, absent_zeros, require
 
 
 def qc_cells(tall: DataFrame, axes: Axes | None = None, match: str = "contains") -> DataFrame:
@@ -162,7 +162,7 @@ def filter_cells(
 
 def filter_genes(tall: DataFrame, qc: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """Rows of the genes that pass; the gene list is bounded and broadcast."""
-    return tall.join(small_genes(kept_genes(qc, limits)), "variable", "left_semi")
+    return tall.join(kept_genes(qc, limits), "variable", "left_semi")
 
 
 def filter_matrix(

@@ -1,9 +1,9 @@
 """Ranking within groups whose size has no bound.
 
 A window over a group sorts the whole group in one task. Here a group is first reduced to its
-distinct values with their counts, and the running count is taken in two levels: over coarse value
-buckets per group (a few thousand rows at most), and over the values within one bucket. So a gene
-that holds a third of all rows is spread over many tasks.
+distinct values with their counts, which are cut into ranges of about equal length; running counts
+are taken within a range and over the sums of ranges. So a gene that holds a third of all rows, or
+whose values lie close together, is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallmat.functions.stats import value_bucket
-from tallmat.operators.axes import Axes, absent_zeros, small_genes
-from tallmat.sources.tables import materialise
+from tallmat.operators.axes import Axes, absent_zeros
+from tallmat.stages import materialise
 
 
 def weighted_values(tall: DataFrame, group: str, value: str, axes: Axes | None = None) -> DataFrame:
@@ -41,125 +40,92 @@ def distinct_values(weighted: DataFrame, group: str) -> DataFrame:
 
 
 def counts_before(values: DataFrame, group: str) -> DataFrame:
-    """Add ``before``: how many entries of the group are smaller. NULL comes first.
+    """Add ``before``: how many entries of the group are smaller. NULL comes first, NaN last.
 
     ``values`` has one row per distinct value. The tie rank of a value is ``before + 1``, and it takes
-    the gap-free positions ``before + 1 .. before + n``.
+    the gap-free positions ``before + 1 .. before + n``. Rows are range-partitioned by group and value and saved;
+    the ranges follow the data, so a group of any size and spread is cut into parts of about equal
+    length, and only the sums of parts are added up across them.
     """
-    bucketed = values.withColumn("bucket", value_bucket(F.col("value")))
+    ranged = values.select(group, "value", "n").repartitionByRange(group, "value")
+    parts = materialise(ranged.withColumn("part", F.spark_partition_id()))
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    within = earlier.partitionBy(group, "bucket").orderBy("value")
-    across = earlier.partitionBy(group).orderBy("bucket")
-    inner = bucketed.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    within = earlier.partitionBy(group, "part").orderBy("value")
+    across = earlier.partitionBy(group).orderBy("part")
+    inner = parts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
     outer = (
-        bucketed.groupBy(group, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .select(group, "bucket", F.coalesce(F.sum("bucket_n").over(across), F.lit(0)).alias("outer"))
-    )
-    return inner.join(outer, [group, "bucket"]).select(
-        group, "value", "n", (F.col("outer") + F.col("inner")).alias("before")
+        parts.groupBy(group, "part")
+        .agg(F.sum("n").alias("part_n"))
+        .select(
+            F.col(group).alias("_group"),
+            F.col("part").alias("_part"),
+            F.coalesce(F.sum("part_n").over(across), F.lit(0)).alias("outer"),
+        )
     )
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("part") == F.col("_part"))
+    return inner.join(outer, same).select(group, "value", "n", (F.col("outer") + F.col("inner")).alias("before"))
 
 
-def grouped_median(
-    rows: DataFrame, group: str, zeros: DataFrame | None = None, absent_value: Column | None = None
-) -> DataFrame:
-    """``(group, median)``: the exact median per group, NULLs left out.
-
-    ``rows`` has the group and ``value``. ``zeros (group, population)`` adds the entries that are not
-    stored; each stands for ``absent_value``, a column of ``zeros`` (0 by default). Every group of
-    ``zeros`` is reported.
+def weighted_median(values: DataFrame, group: str) -> DataFrame:
+    """``(group, median)``: the exact median per group of ``(group, value, n)``, NULLs left out.
 
-    Two passes over the rows, neither of which moves them. The first counts rows per bucket and finds
-    the one or two buckets that hold the middle positions; that table, one row per group, is written to
-    the scratch folder. The second looks only at rows of those buckets. No task sees all values of a group.
+    ``values`` has one row per distinct value. NaN is the largest value, as in Spark's own median. A group
+    without values has a NULL median.
     """
-    bucketed = rows.select(group, "value", value_bucket(F.col("value")).alias("bucket"))
-    counted = bucketed.groupBy(group, "bucket").agg(F.count("value").alias("count"), F.count(F.lit(1)).alias("stored"))
-    if zeros is not None:
-        filler = F.lit(0.0) if absent_value is None else absent_value
-        extra = zeros.select(group, "population", filler.cast("double").alias("filler"))
-        counted = extra.join(counted, group, "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    # One window, so one sort, for all running and total counts.
-    ordered = Window.partitionBy(group).orderBy("bucket")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = counted.withColumns(
-        {
-            "through": F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
-            "present": F.sum("count").over(whole),
-            "all_stored": F.sum("stored").over(whole),
-        }
-    )
-    if zeros is None:
-        counted = counted.withColumns({"absent": F.lit(0).cast("bigint"), "filler": F.lit(0.0)})
-    else:
-        counted = counted.withColumn("absent", absent_zeros(F.col("population"), F.col("all_stored")))
-    # All absent entries share one value. They lie behind the stored entries of smaller buckets; within
-    # their own bucket the second pass puts them behind the stored entries that are not larger.
-    home = value_bucket(F.col("filler"))
-    shift = F.when(F.col("bucket") > home, F.col("absent")).otherwise(F.lit(0))
-    extra_size = F.when(F.col("bucket") == home, F.col("absent")).otherwise(F.lit(0))
-    total = F.col("present") + F.col("absent")
-    located = counted.select(
-        group,
-        "bucket",
-        "count",
-        "absent",
-        "filler",
-        (F.col("through") - F.col("count") + shift).alias("outer"),
-        (F.col("count") + extra_size).alias("size"),
-        F.floor((total + 1) / 2).alias("low"),
-        F.ceil((total + 1) / 2).alias("high"),
-    )
-    hit = (
-        (F.col("count") > 0)
-        & (F.col("outer") + F.col("size") >= F.col("low"))
-        & (F.col("outer") < F.col("high"))
-    )
-    places = materialise(
-        located.groupBy(group, "absent", "filler", "low", "high").agg(
-            F.collect_list(F.when(hit, F.struct("bucket", "outer"))).alias("targets")
-        )
-    )
+    positions = materialise(counts_before(values.where(F.col("value").isNotNull() & (F.col("n") > 0)), group))
+    totals = positions.groupBy(group).agg(F.sum("n").alias("total"))
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
 
-    target = places.select(group, "absent", "filler", "low", "high", F.explode("targets").alias("target")).select(
-        group, "absent", "filler", "low", "high", "target.*"
-    )
-    within = Window.partitionBy(group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    behind = F.when(
-        (F.col("bucket") == value_bucket(F.col("filler"))) & (F.col("value") > F.col("filler")), F.col("absent")
-    ).otherwise(F.lit(0))
-    # One or two buckets per gene, so this side is bounded as the genes are.
-    middle = (
-        bucketed.join(small_genes(target, rows_per_gene=2, gene=group), [group, "bucket"])
-        .groupBy(group, "bucket", "outer", "low", "high", "absent", "filler", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("last", F.col("outer") + F.sum("n").over(within) + behind)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-    )
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("before") < position) & (position <= F.col("before") + F.col("n")), F.col("value")))
 
-    def at(position: str) -> Column:
-        return F.max(F.when(F.col(position).between(F.col("first"), F.col("last")), F.col("value")))
+    middle = positions.join(totals, group).groupBy(group).agg(((at(low) + at(high)) / 2).alias("median"))
+    return values.select(group).distinct().join(middle, group, "left")
 
-    found = middle.groupBy(group).agg(at("low").alias("at_low"), at("high").alias("at_high"))
-    # A middle position that no stored entry covers is that of an absent one.
-    absent = F.when(F.col("absent") > 0, F.col("filler"))
-    median = (F.coalesce("at_low", absent) + F.coalesce("at_high", absent)) / 2
-    return places.join(found, group, "left").select(group, median.alias("median"))
+
+def grouped_median(rows: DataFrame, group: str, zeros: DataFrame | None = None) -> DataFrame:
+    """``(group, median)`` of plain rows with ``value``; ``zeros (group, population)`` adds zeros not stored."""
+    weighted = rows.select(group, F.col("value").cast("double").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    if zeros is not None:
+        stored = rows.groupBy(group).agg(F.count(F.lit(1)).alias("stored"))
+        absent = absent_zeros(F.col("population"), F.col("stored"))
+        extra = zeros.join(stored, group, "left").select(group, F.lit(0.0).alias("value"), absent.alias("n"))
+        weighted = weighted.unionByName(extra)
+    return weighted_median(distinct_values(weighted, group), group)
 
 
-def running_total(df: DataFrame, position: str, *amounts: str, block: int = 1 << 14) -> DataFrame:
-    """Replace each amount by its running total in the order of a unique integer ``position``.
+def covering_sums(runs: DataFrame, *amounts: str) -> DataFrame:
+    """``(position, amounts...)``: for every ``start``, the sums over all runs that cover it.
 
-    The total over all rows has no partition key, so it is taken per block of positions and then
-    over the block sums, which are fewer by the block size.
+    ``runs`` has ``start`` and ``n``: a run covers ``start .. start + n - 1``. Each run is cut into intervals whose
+    length is a power of two and divides their beginning, at most two of a length; a position lies in one
+    interval of each length. Sums are taken by interval, then over the intervals of a position: nothing
+    is subtracted, so small runs keep their digits beside huge ones, and no order is needed.
     """
-    blocked = df.withColumn("block", F.floor(F.col(position) / block))
-    within = Window.partitionBy("block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy("block").agg(*[F.sum(a).alias(a) for a in amounts])
-    offsets = sums.select("block", *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(f"{a}_offset") for a in amounts])
-    inner = blocked.select("block", position, *[F.sum(a).over(within).alias(a) for a in amounts])
-    return inner.join(offsets, "block").select(
-        position, *[(F.col(a) + F.col(f"{a}_offset")).alias(a) for a in amounts]
+    begin, end = F.col("start"), F.col("start") + F.col("n")
+
+    def pieces(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level).cast("bigint")
+        first, last = F.ceil(begin / size).cast("bigint"), F.floor(end / size).cast("bigint")
+        left = F.when((first < last) & (first % 2 == 1), first)
+        right = F.when((first < last) & (last % 2 == 1) & ~((last - 1 == first) & (first % 2 == 1)), last - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda i: F.struct(level.alias("level"), i.alias("at")))
+
+    deepest = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), deepest), pieces))
+    sums = (
+        runs.where(F.col("n") > 0)
+        .select(*amounts, F.explode(cut).alias("piece"))
+        .groupBy("piece.level", "piece.at")
+        .agg(*[F.sum(a).alias(a) for a in amounts])
+    )
+    most = runs.agg(F.floor(F.log2(F.greatest(F.max("n"), F.lit(1)))).cast("int")).scalar()
+    level = F.explode(F.sequence(F.lit(0), F.coalesce(most, F.lit(0)))).alias("level")
+    looked = runs.select(F.col("start").alias("position")).distinct().select("position", level)
+    at = F.floor(F.col("position") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    return (
+        looked.select("position", "level", at.alias("at"))
+        .join(sums, ["level", "at"])
+        .groupBy("position")
+        .agg(*[F.sum(a).alias(a) for a in amounts])
     )

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, LongType, NumericType
 
 from tallmat.functions.labels import clean_label, clean_names
-from tallmat.operators.axes import MAX_GENES, Axes, indexed_genes, require, small_genes
+from tallmat.operators.axes import Axes, indexed_genes, require
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -29,21 +30,30 @@ def melt(
     var_name: str = "variable",
     value_name: str = "value",
 ) -> DataFrame:
-    """Wide to tall. NULL entries are kept; values are widened to double where their types differ."""
+    """Wide to tall. NULL entries are kept.
+
+    Values of different types are widened without loss: whole numbers to bigint, numbers to double, and, as soon as
+    a column is no number or a bigint stands beside a fraction, all to string.
+    """
     values = list(value_vars) if value_vars is not None else [c for c in df.columns if c not in id_vars]
     types = {df.schema[name].dataType for name in values}
     if len(types) > 1:
-        df = df.withColumns({name: F.col(f"`{name}`").try_cast("double") for name in values})
+        df = df.withColumns({name: F.col(f"`{name}`").cast(_common_type(types)) for name in values})
     ids = [F.col(f"`{name}`") for name in id_vars]
     return df.unpivot(ids, [F.col(f"`{name}`") for name in values], var_name, value_name)
 
 
+def _common_type(types: set[DataType]) -> str:
+    if all(isinstance(t, IntegralType) for t in types):
+        return "bigint"
+    if all(isinstance(t, NumericType) for t in types) and LongType() not in types:
+        return "double"
+    return "string"
+
+
 def pivot_values(tall: DataFrame, column: str = "variable") -> list[str]:
-    """The sorted distinct labels that become columns of a wide table, at most ``MAX_GENES``."""
-    names = [row[0] for row in tall.select(column).distinct().limit(MAX_GENES + 1).collect()]
-    if len(names) > MAX_GENES:
-        raise ValueError(f"a wide table is limited to {MAX_GENES} columns; stay with the tall form")
-    return sorted(name for name in names if name is not None)
+    """The sorted distinct labels that become columns of a wide table; a plan has an expression for each."""
+    return sorted(row[0] for row in tall.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def to_wide(
@@ -66,16 +76,16 @@ def to_wide(
         return tall.groupBy(index).pivot(columns, names).agg(F.max(value))
     rows, cols = (axes.cells, axes.genes) if index == "cell" else (axes.genes, axes.cells)
     names = list(values) if values is not None else pivot_values(cols, columns)
-    # The row count tells a missing pair from a pair whose value is NULL.
-    both = tall.groupBy(index).pivot(columns, names).agg(F.max(value).alias("max"), F.count(F.lit(1)).alias("rows"))
+    # The row count tells a missing pair from a pair whose value is NULL. Columns are named by position, as labels
+    # may differ in case only.
+    pivoted = tall.groupBy(index).pivot(columns, names).agg(F.struct(F.max(value).alias("max"), F.count(F.lit(1)).alias("rows")))
+    both = pivoted.toDF(index, *[f"p{i}" for i in range(len(names))])
     zero = F.lit(0).cast(tall.schema[value].dataType)
     return rows.select(index).join(both, index, "left").select(
         index,
         *[
-            F.when(F.coalesce(F.col(f"`{name}_rows`"), F.lit(0)) == 0, zero)
-            .otherwise(F.col(f"`{name}_max`"))
-            .alias(name)
-            for name in names
+            F.when(F.coalesce(F.col(f"p{i}.rows"), F.lit(0)) == 0, zero).otherwise(F.col(f"p{i}.max")).alias(name)
+            for i, name in enumerate(names)
         ],
     )
 
@@ -93,17 +103,16 @@ def sparsify(tall: DataFrame, value: str = "value") -> DataFrame:
     return tall.where(F.col(value).isNull() | (F.col(value) != 0))
 
 
-def _dense_rows(tall: DataFrame, axes: Axes, value: str) -> DataFrame:
+def _dense_rows(tall: DataFrame, axes: Axes, genes: DataFrame, value: str) -> DataFrame:
     """``(cell, entries)``: per cell its values in alphabetical gene order, absent ones as 0.
 
     The sparse entries are shuffled, never the dense rows: zeros appear after the last shuffle, as
     the gaps between the stored positions are filled. A cell's list is at most as long as the gene
     axis because repeated pairs are merged (to their maximum, as in a pivot) before it is collected.
     """
-    genes = indexed_genes(axes.genes)
     last = genes.agg(F.coalesce(F.max("position"), F.lit(-1))).scalar()
     stored = (
-        tall.join(F.broadcast(genes), "variable")
+        tall.join(genes, "variable")
         .groupBy("cell", "position")
         .agg(F.max(value).alias("value"))
         .groupBy("cell")
@@ -138,8 +147,8 @@ def densify(tall: DataFrame, axes: Axes | None = None, value: str = "value") ->
     """
     axes = axes or Axes.of(tall)
     # The outer form keeps the optimizer from computing the array twice to test its size.
-    rows = _dense_rows(tall, axes, value).select("cell", F.posexplode_outer("entries").alias("position", value))
-    genes = F.broadcast(indexed_genes(axes.genes))
+    genes = indexed_genes(axes.genes)
+    rows = _dense_rows(tall, axes, genes, value).select("cell", F.posexplode_outer("entries").alias("position", value))
     return rows.join(genes, "position").select("cell", "variable", value)
 
 
@@ -159,11 +168,9 @@ def to_vectors(
     if impute is not None:
         tall = tall.withColumn(value, F.coalesce(value, F.lit(impute)))
     if axes is None:
-        genes = small_genes(tall.select("variable").distinct())
         n_genes = tall.select("variable").distinct().agg(F.count(F.lit(1))).scalar()
         rows = (
-            tall.join(genes, "variable", "left_semi")
-            .groupBy("cell", "variable")
+            tall.groupBy("cell", "variable")
             .agg(F.max(value).alias("value"))
             .groupBy("cell")
             .agg(F.sort_array(F.collect_list(F.struct("variable", "value"))).alias("stored"))
@@ -171,7 +178,7 @@ def to_vectors(
         )
         incomplete = F.size("entries") != n_genes
     else:
-        rows = _dense_rows(tall, axes, value)
+        rows = _dense_rows(tall, axes, indexed_genes(axes.genes), value)
         incomplete = F.lit(False)
     failed = F.raise_error(F.lit("a cell lacks a gene or has a NULL value")).cast("array<double>")
     bad = incomplete | F.exists("entries", lambda x: x.isNull())

@@ -15,7 +15,15 @@ from tallmat.operators.shape import densify
 from tallmat.sources.counts import Counts
 from tallmat.sources.tables import scratch_dir
 
-_stored: dict[tuple, Counts] = {}
+
+# Matrices that a benchmark has built beforehand, by directory and cells; empty otherwise.
+prepared: dict[tuple[str, str, bool], Counts] = {}
+
+
+def prepare(spark: SparkSession, directory: str) -> None:
+    """Build the matrices of a directory once, for a benchmark of the steps behind them."""
+    for key in ((directory, "customer", False), (directory, "supplier", False), (directory, "customer", True)):
+        prepared[key] = counts(spark, *key)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -58,19 +66,16 @@ def supplier_entries(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, directory: str, cells: str = "customer", dense: bool = False) -> Counts:
-    """The matrix, written once per session to the shared scratch folder and read from there."""
-    key = (spark.sparkContext.applicationId, id(spark), directory, cells, dense)
-    if key not in _stored:
-        name = "-".join([*directory.strip("/").split("/"), cells, "dense" if dense else "sparse"])
-        path = f"{scratch_dir(spark)}/counts-{uuid.uuid4().hex}-{name}"
-        if dense:
-            source = counts(spark, directory, cells)
-            entries, axes = densify(source.entries, source.axes), source.axes
-        else:
-            entries = {"customer": customer_entries, "supplier": supplier_entries}[cells](spark, directory)
-            axes = None
-        _stored[key] = Counts.save(entries, path, sparse=not dense, axes=axes)
-    return _stored[key]
+    """The matrix, written to the shared scratch folder and read from there."""
+    if (directory, cells, dense) in prepared:
+        return prepared[directory, cells, dense]
+    name = "-".join([*directory.strip("/").split("/")[-1:], cells, "dense" if dense else "sparse"])
+    path = f"{scratch_dir(spark)}/counts-{uuid.uuid4().hex}-{name}"
+    if dense:
+        source = counts(spark, directory, cells)
+        return Counts.save(densify(source.entries, source.axes), path, sparse=False, axes=source.axes)
+    entries = {"customer": customer_entries, "supplier": supplier_entries}[cells](spark, directory)
+    return Counts.save(entries, path, sparse=True)
 
 
 def segments(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.functions.labels import clean_label
-from tallmat.operators.shape import clean_columns
-
-
-def write_table(df: DataFrame, path: str, cluster_by: tuple[str, ...] = ()) -> None:
-    """Write Parquet, replacing what is there.
+from tallmat.functions.labels import clean_label, clean_names
+from tallmat.stages import materialise, scratch_dir, write_table
 
-    ``cluster_by`` range-partitions and sorts the rows first. Keyed by ``('cell', 'variable')`` the
-    rows of a cell lie together, so aggregates by cell collapse before their shuffle and the files
-    carry useful min/max statistics, while a cell with very many rows still spreads over several files.
-    """
-    if cluster_by:
-        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    df.write.mode("overwrite").parquet(path)
+__all__ = ["export_csv", "materialise", "read_metadata", "read_table", "scratch_dir", "write_bucketed", "write_table"]
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "cell", path: str | None = None) -> None:
@@ -40,31 +27,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate results: the session's ``spark.checkpoint.dir``.
-
-    Where the cluster names none, as in local tests, a temporary folder is set for the session.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tallmat-")
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    return configured
-
-
-def materialise(df: DataFrame, path: str | None = None, cluster_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` and read it back, which cuts its lineage.
-
-    Unlike a cached table the result survives the loss of executors, and its size is known to the
-    optimizer, so a small result is broadcast in later joins and a large one is not.
-    """
-    spark = df.sparkSession
-    path = path or f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-    write_table(df, path, cluster_by)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write CSV with a header, in parallel, or as one file where the result is small."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
@@ -80,5 +42,5 @@ def read_metadata(spark: SparkSession, path: str, cell_column: str | None = None
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if cell_column and cell_column != "cell":
         df = df.withColumnRenamed(cell_column, "cell")
-    df = clean_columns(df)
+    df = df.toDF(*clean_names(df.columns))
     return df.withColumn("cell", clean_label(F.col("cell").cast("string")))

@@ -127,10 +127,50 @@ def test_grouped_median_equals_sorting(spark, sparse):
     assert got == {g: pytest.approx(statistics.median(v)) for g, v in groups.items()}
 
 
-def test_running_total_over_blocks(spark):
-    df = spark.range(100).select((F.col("id") * 3).alias("position"), (F.col("id") + 1).alias("x"))
-    got = {r["position"]: r["x"] for r in ranks.running_total(df, "position", "x", block=16).collect()}
-    assert got == {3 * i: (i + 1) * (i + 2) // 2 for i in range(100)}
+def test_median_of_close_and_non_finite_values(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "narrow": [1000 + i * 0.005 for i in range(1001)],
+        "nan": [0.5, 2.0, 3.0, nan, nan],
+        "infinite": [-inf, -inf, 1.0, inf],
+        "mixed": [inf, 2.0, -inf],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "variable string, value double")
+    got = {r["variable"]: r["median"] for r in ranks.grouped_median(df, "variable").collect()}
+    plain = {r["variable"]: r["m"] for r in df.groupBy("variable").agg(F.median("value").alias("m")).collect()}
+    assert got == plain and got["nan"] == 3.0
+    values = ranks.distinct_values(df.select("variable", "value", F.lit(1).alias("n")), "variable")
+    before = {(r["variable"], repr(r["value"])): r["before"] for r in ranks.counts_before(values, "variable").collect()}
+    assert before["narrow", "1002.5"] == 500 and before["nan", "nan"] == 3 and before["infinite", "1.0"] == 2
+
+
+def test_sums_of_covering_runs(spark):
+    rng = random.Random(4)
+    runs = [(rng.randrange(200), rng.randrange(1, 90), rng.choice([1e16, 0.1, 3.0])) for _ in range(300)]
+    df = spark.createDataFrame(runs, "start bigint, n bigint, x double")
+    got = {r["position"]: r["x"] for r in ranks.covering_sums(df, "x").collect()}
+    for p in {s for s, _, _ in runs}:
+        assert got[p] == pytest.approx(sum(x for s, n, x in runs if s <= p < s + n), rel=1e-12)
+
+
+def test_small_groups_keep_their_digits_beside_huge_ones(spark):
+    rows = [(f"c{i}", "BIG", 1e16) for i in range(3)] + [(f"c{i}", "SMALL", i / 10) for i in range(1, 9)]
+    tall = spark.createDataFrame(rows, "cell string, variable string, value double")
+    small = {r["cell"]: r["norm_value"] for r in normalize.norm_quantile(tall).where("variable = 'SMALL'").collect()}
+    assert [small[f"c{i}"] for i in range(4, 9)] == [0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+def test_many_clusters_equal_single_tests(spark):
+    rng = random.Random(6)
+    rows = [(f"c{i}", f"g{j}", rng.randrange(9)) for i in range(60) for j in range(3)]
+    tall = spark.createDataFrame(rows, TALL)
+    labels = spark.createDataFrame([(f"c{i}", i % 12 if i % 13 else None) for i in range(60)], "cell string, prediction int")
+    labelled = de.label_cells(tall, labels)
+    every = table(de.one_vs_rest_stats(labelled), "prediction", "variable")
+    for cluster_id in (0, 5, 11):
+        for gene, stats in table(de.two_group_stats(labelled, cluster_id), "variable").items():
+            assert every[cluster_id, gene] == pytest.approx(stats)
 
 
 def test_de_with_everything_in_or_out_of_the_cluster(spark, dense, labels):
