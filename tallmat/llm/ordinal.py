@@ -18,8 +18,8 @@ from tallmat.llm.common import each_text, saved
 BUCKETS = 1 << 20
 # Labelled rows used for fitting, those of smallest hash.
 MAX_ROWS = 20_000
-# A bucket takes part if so many fitted rows have it.
-MIN_ROWS = 4
+# A bucket takes part if so many fitted rows have it, and such a share of them.
+MIN_ROWS, MIN_SHARE = 4, 1 / 2500
 # Strength of the quadratic penalty on weights, for each fitted row.
 PENALTY = 4e-4
 # Probability of the wanted grade from which a document is selected.
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
     n_rows = sum(by_grade.values())
     if n_rows == 0:
         return Model(np.empty(0, np.int64), np.empty(0), np.full(n_grades - 1, -30.0))
-    common = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where(F.col("count") >= MIN_ROWS)
+    common = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where(F.col("count") >= max(MIN_ROWS, n_rows * MIN_SHARE))
     used = np.sort(np.array([r["bucket"] for r in common.select("bucket").collect()], dtype=np.int64))
 
     @F.arrow_udf("array<int>")
@@ -184,12 +184,13 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
         return pa.array([h.astype(np.int32) for h in held], pa.list_(pa.int32()))
 
     rows = saved(rows.select("grade", positions("buckets").alias("at")))
-    width = len(used) + n_grades - 1
+    size, width = len(used), len(used) + n_grades - 1
 
     def value_at(point: np.ndarray) -> tuple[float, np.ndarray]:
-        weights, cuts = point[: len(used)], _thresholds(point[len(used) :])
+        shared = docs.sparkSession.sparkContext.broadcast((point[:size], _thresholds(point[size:])))
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weights, cuts = shared.value
             total = np.zeros(width + 1)
             for batch in batches:
                 if not len(batch):
@@ -199,11 +200,14 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
                 scores = np.bincount(row, weights[at], len(batch))
                 loss, by_score, by_cut = loss_and_slopes(scores, batch["grade"].to_numpy(), cuts)
                 total[0] += loss
-                total[1 : len(used) + 1] += np.bincount(at, by_score[row], len(used))
-                total[len(used) + 1 :] += by_cut
+                total[1 : size + 1] += np.bincount(at, by_score[row], size)
+                total[size + 1 :] += by_cut
             yield pd.DataFrame({"part": [total.tobytes()]})
 
         parts = [np.frombuffer(r["part"]) for r in rows.mapInPandas(part, "part binary").collect()]
+        # The files that hold it on the executors go with it.
+        shared.destroy()
+        weights = point[:size]
         total = np.sum(parts, axis=0) / n_rows
         by_cut = total[len(used) + 1 :]
         # A gap moves every later threshold.

@@ -18,10 +18,10 @@ END_ID = 2
 PRECISION = 20
 LOW = 1 << 31
 # Interleaved states of a block; token i belongs to state i mod LANES.
-LANES = 512
+LANES = 1024
 # Tokens of a block, about: it ends with the document that reaches so many. Tokens between checkpoints.
-BLOCK_TOKENS = 1 << 18
-CHECKPOINT = 1 << 17
+BLOCK_TOKENS = 1 << 19
+CHECKPOINT = 1 << 18
 FORMAT = b"RANS1"
 
 

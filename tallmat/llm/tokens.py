@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words whose ids a Python worker keeps; when full, it starts anew.
-CACHED = 500_000
-# Characters of text that are split at a time, about.
-SLICE = 4_000_000
+# Words whose ids a task keeps; when full, it starts anew.
+CACHED = 400_000
+# Bytes of text that are split at a time, about.
+SLICE = 2_000_000
 # A space between two of these is a place where both kinds of tokenizer split whatever stands around it.
 SOLID = r"!-~\p{L}\p{N}"
 # Marks a word without a space before it. A text that has one itself is tokenised as a whole.
@@ -24,8 +22,6 @@ IRREGULAR = rf"(^ )|( $)|( [^{SOLID}])|([^{SOLID}] )"
 MARK = r"(\p{L})([^\s\p{L}\p{N}'])"
 LINE = r"([^\s\p{L}\p{N}'])\n(\p{L})"
 
-MEMORY = "tallmat_worker_memory"
-
 
 class WordTokenizer:
     """Ids of the tokenizers library, the same as for each text as a whole.
@@ -38,12 +34,14 @@ class WordTokenizer:
 
     def __init__(self, path: str, leading_space: bool, lower: bool = False):
         self.path, self.leading_space, self.lower = path, leading_space, lower
+        self.loaded = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"loaded": None}
 
     def _state(self):
-        """The tokenizer and the ids known so far, one per worker process."""
-        memory = sys.modules.setdefault(MEMORY, types.ModuleType(MEMORY)).__dict__
-        key = (self.path, self.leading_space, self.lower)
-        if key not in memory:
+        """The tokenizer and the ids known so far; they live as long as the task."""
+        if self.loaded is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
@@ -53,8 +51,8 @@ class WordTokenizer:
                 first[i] = token.startswith("Ġ") if self.leading_space else token.endswith("</w>")
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
             odd = "|".join([r"\x00", *map(re.escape, special), *[IRREGULAR] * self.leading_space])
-            memory[key] = (tokenizer, first, odd, {})
-        return memory[key]
+            self.loaded = (tokenizer, first, odd, {})
+        return self.loaded
 
     def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
         """Add ids of new words.
