@@ -208,7 +208,7 @@ def calibrate(tree: Tree, placed: DataFrame, queries: DataFrame, k: int, recall:
     turn = {i: {leaf: n for n, leaf in enumerate(tree.visit(v, leaves))} for i, v in asked}
     turns = np.array([turn[r["query_id"]][r["leaf"]] for r in truth.select("query_id", "leaf").collect()], dtype=np.int64)
     reached = np.cumsum(np.bincount(turns, minlength=leaves)) / max(len(turns), 1)
-    visits = int(np.searchsorted(reached, recall - 1e-12)) + 1
+    visits = min(leaves, int(np.searchsorted(reached, recall - 1e-12)) + 1)
     return (visits, float(reached[visits - 1])) if len(turns) else (1, 1.0)
 
 
@@ -263,7 +263,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFra
 
     def compare(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(held):
-            return pd.DataFrame({"query_id": [], "best": []})
+            return pd.DataFrame({"query_id": [], "best": []}, dtype=object)
         ids = wanted["query_id"].to_numpy()
         found = _best(_matrix(wanted["query"]), ids, _matrix(held["vector"]), held["vec_id"].to_numpy(), k)
         return pd.DataFrame([_listed(int(ids[q]), near, s) for q, near, s in found], columns=["query_id", "best"])

@@ -1,7 +1,103 @@
-"""SQL of those queries that SQL can express."""
+"""SQL of those queries that SQL can express.
+
+The others hash with XXH64, use a tokenizer or a fitted model, or search approximately; tests hold them against
+plain versions.
+"""
 
 from __future__ import annotations
 
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+PARETO_MIXTURE = rf"""
+WITH measured AS (
+  SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('mixture' || chr(10) || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 13)
+      AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS uniform
+  FROM documents),
+sources AS (
+  SELECT *, CAST(((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * words AS ceiling
+  FROM (SELECT source, CAST(sum(size) AS DOUBLE) AS words FROM measured GROUP BY source)),
+-- Sources that reach their ceiling first, in order; the level is that of the first that does not.
+filled AS (
+  SELECT *, (sum(words) OVER () - sum(ceiling) OVER o + ceiling) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
+  FROM sources WINDOW o AS (ORDER BY ceiling / weight, source NULLS LAST)),
+level AS (SELECT min_by(level, ceiling / weight) AS level FROM filled WHERE weight * level <= ceiling),
+targets AS (
+  SELECT source, words, CASE WHEN weight * level > ceiling THEN ceiling ELSE weight * level END AS target FROM sources, level),
+weighed AS (
+  SELECT m.*, words, target, pow(size + 1.0::DOUBLE, -0.25::DOUBLE) AS weigh
+  FROM measured m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source),
+rated AS (
+  SELECT *, sum(size * 3) OVER b AS full_words, sum(size * weigh) OVER (PARTITION BY source) - sum(size * weigh) OVER b AS open_words
+  FROM weighed WINDOW b AS (PARTITION BY source ORDER BY weigh DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+-- The rate with nothing at its ceiling, and those with the documents up to one there.
+rates AS (
+  SELECT source, target / nullif(sum(size * weigh), 0) AS rate, max(weigh) AS next_weigh, 0 AS turn FROM weighed GROUP BY source, target
+  UNION ALL
+  SELECT source, (target - full_words) / open_words, lead_weigh, n FROM (
+    SELECT source, target, full_words, open_words, lead(weigh) OVER (PARTITION BY source ORDER BY weigh DESC) AS lead_weigh,
+      row_number() OVER (PARTITION BY source ORDER BY weigh DESC) AS n
+    FROM (SELECT DISTINCT source, target, weigh, full_words, open_words FROM rated))
+  WHERE lead_weigh IS NOT NULL AND open_words > 0),
+rate AS (SELECT source, min_by(rate, turn) AS rate FROM rates WHERE rate * next_weigh < 3 GROUP BY source),
+expected AS (
+  SELECT w.*, CASE WHEN target >= words * 3 OR rate IS NULL THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, rate * weigh) END AS copies
+  FROM weighed w LEFT JOIN rate r ON w.source IS NOT DISTINCT FROM r.source),
+ranked AS (
+  SELECT *, floor(copies) AS whole,
+    CASE WHEN copies > floor(copies) AND size > 0
+      THEN (uniform / (1 - uniform)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS rank
+  FROM expected),
+missing AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS missing FROM ranked),
+running AS (
+  SELECT *, CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER
+    (PARTITION BY source ORDER BY rank NULLS LAST, uniform RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS so_far
+  FROM missing),
+inside AS (SELECT *, coalesce(so_far <= missing, FALSE) AS inside FROM running),
+gaps AS (SELECT *, missing - sum(CASE WHEN inside THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM inside),
+closing AS (
+  SELECT *, CASE WHEN rank IS NOT NULL AND NOT inside AND abs(size - gap) < gap THEN
+    rank() OVER (PARTITION BY source, rank IS NOT NULL AND NOT inside AND abs(size - gap) < gap ORDER BY abs(size - gap), rank, uniform) END AS turn
+  FROM gaps)
+SELECT doc_id, source, size, CAST(words AS BIGINT) AS source_size, target, copies_taken AS copies, copies_taken * size AS taken
+FROM (SELECT *, CAST(whole AS BIGINT) + CASE WHEN inside OR turn = 1 THEN 1 ELSE 0 END AS copies_taken FROM closing)
+"""
+
+EVENT_CHAT = r"""
+WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
+rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', text FROM said UNION ALL SELECT -1, 1, 'assistant', text FROM said),
+learned AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  replace(replace(text, '\', '\\'), '<|', '<\|') AS shown, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS named FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(length(named) + length(shown) + 24) AS BIGINT) AS formatted_chars
+FROM learned GROUP BY conv_id
+"""
+
+CROSS_POLYTOPE = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a AS start, b AS node FROM links UNION SELECT start, b FROM reach JOIN links ON node = a),
+smallest AS (SELECT start, min(node) AS node FROM reach GROUP BY start),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(node, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(node, vec_id)) AS kept
+FROM embeddings LEFT JOIN degree ON vec_id = a LEFT JOIN smallest ON vec_id = start
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_pareto_mixture": PARETO_MIXTURE,
+        "op5_event_chat": EVENT_CHAT,
+        "op10_cross_polytope": CROSS_POLYTOPE,
+    }

@@ -18,8 +18,8 @@ SOLID = r"!-~\p{L}\p{N}"
 # Marks a word without a space before it. A text that has one itself is tokenised as a whole.
 GLUED = "\x00"
 IRREGULAR = rf"(^ )|( $)|( [^{SOLID}])|([^{SOLID}] )"
-# A run of marks starts behind a letter, unless it may be a contraction; a word starts behind a line end.
-MARK = r"(\p{L})([^\s\p{L}\p{N}'])"
+# A run of marks starts behind a letter, unless it may be a contraction or an accent; a word starts behind a line end.
+MARK = r"(\p{L})([^\s\p{L}\p{N}\p{M}'])"
 LINE = r"([^\s\p{L}\p{N}'])\n(\p{L})"
 
 
@@ -50,7 +50,9 @@ class WordTokenizer:
             for token, i in tokenizer.get_vocab().items():
                 first[i] = token.startswith("Ġ") if self.leading_space else token.endswith("</w>")
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            odd = "|".join([r"\x00", *map(re.escape, special), *[IRREGULAR] * self.leading_space])
+            # The dotted capital I is lower-cased to a letter and an accent.
+            own = [IRREGULAR] if self.leading_space else ["İ"]
+            odd = "|".join([r"\x00", *map(re.escape, special), *own])
             self.loaded = (tokenizer, first, odd, {})
         return self.loaded
 

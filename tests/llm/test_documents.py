@@ -192,8 +192,8 @@ def test_given_documents_are_kept_or_rejected(spark, tables):
     df, labels = (spark.read.parquet(f"{tables.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
     found = ordinal.grade_documents(df, ordinal.grade_labels(labels)).join(ordinal.grade_labels(labels), "doc_id")
     share = {k: [] for k in range(3)}
-    for r in found.select("selected", labels["doc_id"], "doc_id").collect() if False else found.collect():
-        share[r[-1]].append(r["selected"])
+    for r in found.toDF("doc_id", "expected", "tail", "selected", "truth").collect():
+        share[r["truth"]].append(r["selected"])
     assert np.mean(share[2]) > 0.99 and np.mean(share[0] + share[1]) < 0.2
 
 
@@ -320,7 +320,7 @@ def test_words_beyond_the_vocabulary_fall_back(spark, tables, monkeypatch):
 ODD_TEXTS = [
     "", "  ", " a", "a  b", "it's the 're x", "a\n b \n c", "<|endoftext|> x <|endoftext|>y <|startoftext|>", "don't ' s",
     "3.5 x²  … “q” ,.", "a b c　d", "\x1c a \x1d b", "İstanbul ΣΑΣ x", "tab\tx y\x0bz  ", "e ́ x", "a!!, b. c.\n\n\nd.\n e ...",
-    "End.\nNext, it.\nFoo.", "x\x00y z, w", "<|STARTOFTEXT|> a", None, "word, word. word!! (word)  _x_ 12ab ab12", "é é.",
+    "İ<", "e\u0301 E\u0301, e\u0301.", "<\u0338 a<\u0338", "End.\nNext, it.\nFoo.", "x\x00y z, w", "<|STARTOFTEXT|> a", None, "word, word. word!! (word)  _x_ 12ab ab12", "é é.",
 ]
 
 
@@ -336,8 +336,8 @@ def test_ids_are_those_of_the_whole_text(make, tables):
         assert whole.encode(text or "", add_special_tokens=False).ids == ids[offsets[i] : offsets[i + 1]].tolist(), text
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="aB é.,!'\n\t 1_-<|>́İ", max_size=30), max_size=4))
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.text(alphabet="aB é.,!'\n\t 1_-<|>\u0301\u0338İ", max_size=30), max_size=4))
 def test_ids_of_random_texts(texts):
     from tokenizers import Tokenizer
 
@@ -394,7 +394,6 @@ def check_packing(rows, lengths):
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
         assert len(r["ids"]) == 4 * r["length"] and r["tier"] <= r["padded"] <= 1024
     for doc, pieces in by_doc.items():
-        assert Counter(x for s, n in pieces for x in (s, -(s + n))) is not None
         assert sum(n for _, n in pieces) == lengths[doc]
     padding = 0
     for pieces in by_sequence.values():
