@@ -18,10 +18,12 @@ END_ID = 2
 PRECISION = 20
 LOW = 1 << 31
 # Interleaved states of a block; token i belongs to state i mod LANES.
-LANES = 1024
+LANES = 2048
 # Tokens of a block, about: it ends with the document that reaches so many. Tokens between checkpoints.
-BLOCK_TOKENS = 1 << 19
-CHECKPOINT = 1 << 18
+BLOCK_TOKENS = 1 << 20
+CHECKPOINT = 1 << 19
+# Documents tokenised at a time.
+ROWS = 2000
 FORMAT = b"RANS1"
 
 
@@ -148,8 +150,8 @@ def _tokenised(docs: DataFrame, words: WordTokenizer, end_id: int, id_col: str,
 
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 ids, offsets = words.encode(some.column(1))
                 whole = np.insert(ids, offsets[1:], end_id)
                 ends = offsets + np.arange(len(offsets))
@@ -187,9 +189,8 @@ def write_tokens(docs: DataFrame, path: str, words: WordTokenizer | None = None,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            column = batch.column(0)
-            for i in range(len(column)):
-                held += np.bincount(np.frombuffer(column[i].as_buffer(), "<u2"), minlength=1 << 16)
+            flat = b"".join(batch.column(0).to_pylist())
+            held += np.bincount(np.frombuffer(flat, "<u2"), minlength=1 << 16)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["id", "n"])
 

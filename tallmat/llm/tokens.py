@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words whose ids a task keeps; when full, it starts anew.
-CACHED = 400_000
+CACHED = 500_000
 # Bytes of text that are split at a time, about.
-SLICE = 2_000_000
+SLICE = 6_000_000
 # A space between two of these is a place where both kinds of tokenizer split whatever stands around it.
 SOLID = r"!-~\p{L}\p{N}"
 # Marks a word without a space before it. A text that has one itself is tokenised as a whole.
