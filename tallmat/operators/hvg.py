@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallmat.operators.axes import Axes, absent_zeros, require
+from tallmat.operators.ordering import number_rows
 from tallmat.operators.ranks import distinct_values, weighted_median, weighted_values
 from tallmat.stages import materialise
 
@@ -72,12 +73,12 @@ def hvg_stats(norm: DataFrame, axes: Axes | None = None, value: str = "norm_valu
 
 def hvg_cv2(
     norm: DataFrame,
-    n: int = 2000,
+    n: int | None = 2000,
     order: str = "desc",
     axes: Axes | None = None,
     value: str = "norm_value",
 ) -> DataFrame:
-    """``(variable, CV2, rank)`` of the first ``n`` genes by CV2.
+    """``(variable, CV2, rank)`` of the first ``n`` genes by CV2, of all with ``n=None``. Ranking runs jobs.
 
     ``order='desc'`` gives the most variable genes, those without a CV2 last. ``order='asc'`` gives the
     least variable ones, those without a CV2 (mean 0) first. Ties go by name.
@@ -85,8 +86,10 @@ def hvg_cv2(
     if order not in ("desc", "asc"):
         raise ValueError(f"order must be 'desc' or 'asc', not {order!r}")
     by = F.col("CV2").desc_nulls_last() if order == "desc" else F.col("CV2").asc_nulls_first()
-    top = gene_moments(norm, axes, value).select("variable", "CV2").orderBy(by, "variable").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(by, "variable")))
+    stats = gene_moments(norm, axes, value).select("variable", "CV2")
+    top = stats if n is None else stats.orderBy(by, "variable").limit(n)
+    ranked = number_rows(top, by, F.col("variable"), name="rank")
+    return ranked.select("variable", "CV2", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def hvg_mad(

@@ -54,8 +54,13 @@ def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, s
     return rows, cols, np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
 
 
-def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", block: int = BLOCK) -> DataFrame:
-    """``(cell, neighbor, distance, rank)``: the exact k nearest other cells, Euclidean.
+def knn_graph(
+    vectors: DataFrame, k: int = 15, input_col: str = "features", block: int = BLOCK, metric: str = "euclidean"
+) -> DataFrame:
+    """``(cell, neighbor, distance, rank)``: the exact k nearest other cells, as a saved table.
+
+    ``metric='cosine'`` gives ``1 - cosine``, which orders like the Euclidean distance of vectors of length 1;
+    a zero vector has no direction and fails. So does a null or non-finite coordinate.
 
     Equal distances go by label, and a cell gets fewer than k rows only where fewer others exist.
 
@@ -70,7 +75,15 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
     vector = F.col(input_col)
     if isinstance(vectors.schema[input_col].dataType, VectorUDT):
         vector = vector_to_array(vector)
-    cells = vectors.select("cell", vector.cast("array<double>").alias("point"))
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"metric must be 'euclidean' or 'cosine', not {metric!r}")
+    point = vector.cast("array<double>")
+    sound = F.forall(point, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    if metric == "cosine":
+        length = F.sqrt(F.aggregate(point, F.lit(0.0), lambda s, x: s + x * x))
+        sound, point = sound & (length > 0), F.transform(point, lambda x: x / length)
+    failed = F.raise_error(F.lit("a point is null, not finite, or zero under the cosine metric")).cast("array<double>")
+    cells = vectors.select("cell", F.when(sound, point).otherwise(failed).alias("point"))
 
     # One row per distinct point with its first k + 1 labels; more of them can never be among the k
     # nearest of any cell. The rank limit is applied before the shuffle, so copies do not pile up.
@@ -133,7 +146,15 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
 
     @F.pandas_udf("array<int>")
     def targets(point: pd.Series, pivot: pd.Series, limit: pd.Series) -> pd.Series:
-        x, own = _matrix(point), centers[np.searchsorted(occupied, pivot.to_numpy())]
+        # In slices, as each row has a number for every pivot in several arrays.
+        step, found = max(1, 2_000_000 // len(centers)), []
+        for start in range(0, len(point), step):
+            part = slice(start, start + step)
+            found += reach(_matrix(point.iloc[part]), pivot.iloc[part].to_numpy(), limit.iloc[part].to_numpy())
+        return pd.Series(found)
+
+    def reach(x: np.ndarray, pivot: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
+        own = centers[np.searchsorted(occupied, pivot)]
         squares = _squares(x, centers)
         error = SLACK * ((x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] + 1e-300)
         below, above = np.sqrt(np.maximum(squares - error, 0.0)), np.sqrt(squares + error)
@@ -143,8 +164,8 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
         gap = np.sqrt(_squares(own, centers) + error)
         plane = (squares - to_own - 2.0 * error) / (2.0 * gap)
         nearest = np.maximum.reduce([below - high, low - above, plane])
-        reachable = nearest * (1.0 - SLACK) <= limit.to_numpy()[:, None]
-        return pd.Series([occupied[row] for row in reachable])
+        reachable = nearest * (1.0 - SLACK) <= limit[:, None]
+        return [occupied[row] for row in reachable]
 
     queries = materialise(
         bounded.select("id", "point", "limit", F.explode(targets("point", "pivot", "limit")).alias("pivot"))
@@ -204,10 +225,14 @@ def knn_graph(vectors: DataFrame, k: int = 15, input_col: str = "features", bloc
     )
     per_point = points.select("id", "point").join(lists, "id").select("point", "nearest")
     others = F.slice(F.filter("nearest", lambda e: e["neighbor"] != F.col("cell")), 1, k)
-    return (
+    distance = F.col("entry.distance")
+    if metric == "cosine":
+        distance = distance * distance / 2
+    # Saved, as callers use the graph more than once.
+    return materialise(
         cells.join(per_point, "point")
         .select("cell", F.posexplode(others).alias("position", "entry"))
-        .select("cell", "entry.neighbor", "entry.distance", (F.col("position") + 1).alias("rank"))
+        .select("cell", "entry.neighbor", distance.alias("distance"), (F.col("position") + 1).alias("rank"))
     )
 
 

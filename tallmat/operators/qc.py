@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallmat.functions.markers import ERCC, MITO, is_marker
 from tallmat.functions.stats import percent
 from tallmat.operators.axes import Axes, absent_zeros, require
+from tallmat.stages import materialise
 
 
 def qc_cells(tall: DataFrame, axes: Axes | None = None, match: str = "contains") -> DataFrame:
@@ -225,7 +226,7 @@ def shape_counts(tall: DataFrame, axes: Axes | None = None, approximate: bool =
         return tall.agg(
             F.approx_count_distinct("cell").alias("cells"), F.approx_count_distinct("variable").alias("genes")
         )
-    # Two separate distinct counts: a joint one would first duplicate every row.
+    # Two separate distinct counts: a joint one would first duplicate every row. Save a table that is costly to make.
     cells = (tall if axes is None else axes.cells).agg(F.count_distinct("cell").alias("cells"))
     genes = (tall if axes is None else axes.genes).agg(F.count_distinct("variable")).scalar()
     return cells.select("cells", genes.alias("genes"))
@@ -238,7 +239,8 @@ def histogram_bins(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     by one half on both sides.
     """
     x = F.col(column).cast("double")
-    data = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    # Saved, as it is read for the span and for the counts.
+    data = materialise(df.select(x.alias("x")).where(F.col("x").isNotNull()))
     widen = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
     span = data.agg(F.struct((F.min("x") - widen).alias("low"), (F.max("x") + widen).alias("high"))).scalar()
     counts = (

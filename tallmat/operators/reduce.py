@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallmat.stages import materialise
+
+# Ship this module's functions to the executors themselves, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Further directions that are carried along, rounds at most, and the residual, relative to the largest variance,
+# at which rounds end.
+OVERSAMPLE, MAX_ROUNDS, TOLERANCE = 32, 200, 1e-8
+# Rows of a product that are added up in one task.
+CHUNK = 1024
+SEED = 17
+
 
 class PcaResult(NamedTuple):
-    """Components per cell, explained variance per component, and the fitted model."""
+    """Components per cell, explained variance per component, and the loadings (genes x components)."""
 
     components: DataFrame
     explained: DataFrame
-    model: PCAModel
+    loadings: np.ndarray
+
+
+def _product(rows: DataFrame, mean: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Covariance times ``q``: every task multiplies its own centred rows, and sums are taken by chunk of genes."""
+    shared = rows.sparkSession.sparkContext.broadcast((mean, q))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean, q = shared.value
+        total = np.zeros_like(q)
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy()) - mean
+                total += x.T @ (x @ q)
+        starts = range(0, len(q), CHUNK)
+        yield pd.DataFrame({"chunk": list(starts), "part": [total[s : s + CHUNK].tobytes() for s in starts]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p) for p in parts["part"]], axis=0)
+        return pd.DataFrame({"chunk": parts["chunk"].iloc[:1], "part": [total.tobytes()]})
+
+    kind = "chunk long, part binary"
+    sums = rows.mapInPandas(partial, kind).groupBy("chunk").applyInPandas(add, kind).collect()
+    shared.destroy()
+    return np.concatenate([np.frombuffer(r["part"]) for r in sorted(sums, key=lambda r: r["chunk"])]).reshape(q.shape) / (n - 1)
 
 
 def pca(vectors: DataFrame, k: int = 2, input_col: str = "features") -> PcaResult:
     """Project ``(cell, vector)`` on ``k`` principal components: ``(cell, components)``.
 
-    The sign of a component is arbitrary; here the loading of largest magnitude is made positive. As
-    in Spark ML the uncentred vectors are projected, so a component need not have mean 0. The
-    covariance matrix is held on the driver: its size is that of the selected genes squared.
+    The leading directions are found by repeated multiplication of a narrow matrix with the covariance, which is
+    never formed: the driver holds genes times ``k`` plus a few, and tasks multiply their own rows. The sign
+    of a component is arbitrary; here the loading of largest magnitude is made positive. As in Spark ML
+    the uncentred vectors are projected, so a component need not have mean 0. Runs jobs; the vectors are saved.
     """
-    model = PCA(k=k, inputCol=input_col, outputCol="components").fit(vectors)
-    loadings = model.pc.toArray()
-    signs = np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
-    factor = F.array(*[F.lit(float(sign)) for sign in signs])
-    flipped = F.zip_with(vector_to_array("components"), factor, lambda x, s: x * s)
-    projected = model.transform(vectors.select("cell", input_col))
+    values = vector_to_array(F.col(input_col)).alias("x")
+    rows = materialise(vectors.select("cell", values))
+    row = vectors.select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col(input_col)).alias("s")
+    ).select("s.mean", "s.variance", "s.count").first()
+    mean, n = row["mean"].toArray(), max(int(row["count"]), 2)
+    total = float(row["variance"].toArray().sum())
+    width = min(len(mean), k + OVERSAMPLE)
+    q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(len(mean), width)))[0]
+    for _ in range(MAX_ROUNDS):
+        image = _product(rows.select("x"), mean, q, n)
+        sizes, turn = np.linalg.eigh((q.T @ image + image.T @ q) / 2)
+        sizes, turn = sizes[::-1], turn[:, ::-1]
+        loadings = (q @ turn)[:, :k]
+        residual = np.linalg.norm(image @ turn[:, :k] - loadings * sizes[:k], axis=0).max()
+        if residual <= TOLERANCE * max(sizes[0], 1e-300):
+            break
+        q = np.linalg.qr(image @ turn)[0]
+    loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+
+    @F.pandas_udf("array<double>")
+    def projected(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()) @ loadings)) if len(x) else x
+
+    shares = np.maximum(sizes[:k], 0.0) / total if total > 0 else np.zeros(k)
     return PcaResult(
-        projected.select("cell", array_to_vector(flipped).alias("components")),
-        explained_variance(model, vectors),
-        model,
+        rows.select("cell", array_to_vector(projected("x")).alias("components")), explained_variance(shares, vectors), loadings
     )
 
 
-def explained_variance(model: PCAModel, vectors: DataFrame) -> DataFrame:
-    """``(component, explained, cumulative)``: the shares of variance of a fitted model."""
-    shares = model.explainedVariance.toArray()
-    rows = [(i, float(x), float(c)) for i, (x, c) in enumerate(zip(shares, np.cumsum(shares)))]
-    return vectors.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double")
+def explained_variance(shares: np.ndarray, vectors: DataFrame) -> DataFrame:
+    """``(component, explained, cumulative)`` from shares of variance."""
+    listed = [(i, float(x), float(c)) for i, (x, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))]
+    return vectors.sparkSession.createDataFrame(listed, "component int, explained double, cumulative double")
 
 
 def components(df: DataFrame, *index: int, vector: str = "components") -> DataFrame:

@@ -296,6 +296,10 @@ SELECT c_custkey AS cell, round(c_acctbal, 6) + 0.0 AS f0, CAST(c_nationkey AS D
 FROM customer JOIN idx USING (c_mktsegment)""",
         "kmeans_k6": """SELECT count(*) AS cells, CAST(6 AS BIGINT) AS clusters, CAST(0 AS INTEGER) AS first,
   CAST(5 AS INTEGER) AS last FROM embeddings""",
+        "pca_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
+  0.0::DOUBLE AS overlap FROM range(10) r(i)""",
+        "kmeans_nearest": "SELECT count(*) AS cells, CAST(0 AS BIGINT) AS misplaced, 0.0::DOUBLE AS sse_gap FROM embeddings",
+        "sweep_bounds": "SELECT CAST(k AS INTEGER) AS k, TRUE AS inside FROM range(2, 20) r(k)",
         "silhouette_labels": f"""WITH {_POINTS},
 sums AS (SELECT a.cell, a.label AS own, b.label, sum(power(list_distance(a.v, b.v), 2)) AS total, count(*) AS n
   FROM pts a, pts b GROUP BY 1, 2, 3),

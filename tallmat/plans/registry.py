@@ -172,7 +172,7 @@ def removal_report(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def shape_counts(spark: SparkSession, directory: str) -> DataFrame:
-    return qc.shape_counts(filtered(spark, directory).entries)
+    return qc.shape_counts(materialise(filtered(spark, directory, save_qc=True).entries))
 
 
 @query
@@ -420,6 +420,68 @@ def pca_explained(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(reduce.pca(embedding_vectors(spark, directory), k=50).explained)
 
 
+@query
+def pca_residuals(spark: SparkSession, directory: str) -> DataFrame:
+    """Per component how far it is from an eigenvector of the covariance, and from the other components.
+
+    The covariance of every coordinate with a component's score must be its variance times its loading.
+    """
+    vectors = embedding_vectors(spark, directory)
+    result = reduce.pca(vectors, k=10)
+    scores = result.components.select("cell", F.posexplode(vector_to_array("components")).alias("component", "score"))
+    values = vectors.select("cell", F.posexplode(vector_to_array("features")).alias("gene", "x"))
+    joint = values.join(scores, "cell").groupBy("component", "gene").agg(F.covar_samp("x", "score").alias("c"))
+    loadings = spark.createDataFrame(
+        [(i, j, float(v)) for j, row in enumerate(result.loadings) for i, v in enumerate(row)],
+        "component int, gene int, loading double",
+    )
+    spread = scores.groupBy("component").agg(F.var_samp("score").alias("variance"))
+    off = joint.join(loadings, ["component", "gene"]).join(spread, "component").groupBy("component").agg(
+        F.sqrt(F.sum(F.pow(F.col("c") - F.col("variance") * F.col("loading"), F.lit(2)))).alias("residual"),
+        F.sum(F.col("loading") * F.col("loading")).alias("length"),
+    )
+    other = loadings.select(F.col("component").alias("other"), "gene", F.col("loading").alias("l2"))
+    overlap = loadings.join(other, "gene").where("component <> other").groupBy("component", "other").agg(
+        F.abs(F.sum(F.col("loading") * F.col("l2"))).alias("o")
+    )
+    worst = overlap.groupBy("component").agg(F.max("o").alias("overlap"))
+    return rounded(off.join(worst, "component").select("component", "residual", "length", "overlap"), 5)
+
+
+@query
+def kmeans_nearest(spark: SparkSession, directory: str) -> DataFrame:
+    """Cells whose centre is not the nearest, and what the reported SSE lacks of the sum of squared distances."""
+    result = cluster.kmeans(embedding_vectors(spark, directory).drop("prediction"), k=6)
+    centers = [[float(v) for v in c] for c in result.model.clusterCenters()]
+    point = vector_to_array("features")
+    squares = F.array(
+        *[
+            F.aggregate(
+                F.zip_with(point, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
+            )
+            for c in centers
+        ]
+    )
+    each = result.predictions.select("cell", "prediction", squares.alias("d"))
+    own = F.get("d", F.col("prediction"))
+    found = each.agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_if(own > F.array_min("d") + 1e-9).alias("misplaced"),
+        F.sum(own).alias("sse"),
+    )
+    return rounded(found.select("cells", "misplaced", (F.col("sse") - F.lit(result.metrics[2])).alias("sse_gap")), 4)
+
+
+@query
+def sweep_bounds(spark: SparkSession, directory: str) -> DataFrame:
+    """For each k of the sweep: SSE within that of one cluster, silhouette between -1 and 1."""
+    vectors = embedding_vectors(spark, directory)
+    values = vectors.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
+    whole = values.groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("s")).agg(F.sum("s")).scalar()
+    inside = (F.col("sse") > 0) & (F.col("sse") < whole) & F.col("silhouette").between(-1, 1)
+    return cluster.kmeans_sweep(vectors).select("k", inside.alias("inside"))
+
+
 @query
 def vector_components(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(reduce.components(embedding_vectors(spark, directory), 0, 1, 63, vector="features"))

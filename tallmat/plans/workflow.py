@@ -68,10 +68,11 @@ def run(
         norm, norm_axes = normalize.norm_quantile(filtered, axes), None
     norm = materialise(norm, f"{path}/normalised")
 
+    # With both limits a gene must pass both.
+    genes = hvg.hvg_cv2(norm, settings.n_genes, settings.order, axes=norm_axes)
     if settings.mad_above is not None:
-        genes = hvg.hvg_mad(norm, settings.mad_above, axes=norm_axes)
-    else:
-        genes = hvg.hvg_cv2(norm, settings.n_genes or 2**31 - 1, settings.order, axes=norm_axes)
+        spread = hvg.hvg_mad(norm, settings.mad_above, axes=norm_axes).select("variable", "median", "MAD")
+        genes = genes.join(spread, "variable")
     genes = materialise(genes, f"{path}/hvg")
     chosen = hvg.select_genes(norm, genes)
     vector_axes = None if norm_axes is None else norm_axes.restrict(genes=genes.select("variable"))
