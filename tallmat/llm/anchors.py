@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import each_text, fresh, saved
+from tallmat.llm.common import each_text, fresh, saved, small_batches
 from tallmat.llm.components import components
 
 SEED = 42
@@ -92,6 +92,8 @@ def anchors(prints: np.ndarray, table: list[list[np.ndarray]]) -> list[np.ndarra
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, print)``: one saved row per document, the fingerprint as a signed long."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("long")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

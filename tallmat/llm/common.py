@@ -36,10 +36,23 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+# Bytes of an Arrow batch of texts. Spark's own limit of 64 MB, held by both sides of a Python worker, is much for
+# an executor with little memory.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes for the session, unless it has set a limit itself."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if str(spark.conf.get(key, str(usual))).lower() in (str(usual), "64mb", "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def each_text(texts: pa.Array) -> Iterator[str | None]:
-    """The texts of a batch one by one, so that a batch is never held twice."""
+    """The texts of a batch one by one, so that a batch is never held twice; free memory then goes back."""
     for i in range(len(texts)):
         yield texts[i].as_py()
+    pa.default_memory_pool().release_unused()
 
 
 def word_count(text: Column) -> Column:

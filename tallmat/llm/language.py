@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import saved
+from tallmat.llm.common import saved, small_batches
 
 UNKNOWN = "und"
 # The model's size: words known in all, and hashed n-grams of each length.
@@ -133,6 +133,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     its parameters say, whatever the data.
     """
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
@@ -201,6 +203,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     every text if nothing was learned. Ties go to the first language in order. Null and repeated ids are
     handled like others; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import each_text, saved
+from tallmat.llm.common import each_text, saved, small_batches
 
 BUCKETS = 1 << 20
 # Labelled rows used for fitting, those of smallest hash.
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col="doc_id", tex
     Spark, and each round adds up gradients over partitions; the driver holds a vector as long as the
     buckets in use. Without any usable rating every document gets the top grade.
     """
+    small_batches(docs.sparkSession)
     usable = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
     rated = usable.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = saved(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallmat.llm.common import small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 WINDOW = 1024
@@ -149,6 +150,7 @@ def pack(docs: DataFrame, words: WordTokenizer | None = None, end_id: int = END_
     A null or empty text is its end id alone. Null and repeated ids are packed like others, each row for
     itself. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     words = words or tokenizer()
     id_type = docs.schema[id_col].dataType
 

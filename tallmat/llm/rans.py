@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallmat.llm.common import small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 END_ID = 2
@@ -142,6 +143,7 @@ def decode(block: bytes, table: Table, slots: np.ndarray | None = None) -> np.nd
 
 def _tokenised(docs: DataFrame, words: WordTokenizer, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``(part, start, doc_id, n, ids)`` in ascending order of id; ``start`` counts ids from the start of the part."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 

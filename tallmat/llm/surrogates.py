@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import fixed_point, fresh, saved
+from tallmat.llm.common import fixed_point, fresh, saved, small_batches
 
 KEY = "surrogate-key"
 
@@ -204,6 +204,8 @@ def dressed(mention: str, kind: str, replacement: str) -> str:
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, kind, canonical)``: the distinct entities of each document."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("array<struct<kind: string, canonical: string>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pair = pa.struct([("kind", pa.string()), ("canonical", pa.string())])

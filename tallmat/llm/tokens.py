@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words whose ids a task keeps; when full, it starts anew.
-CACHED = 500_000
+CACHED = 300_000
 # Bytes of text that are split at a time, about.
 SLICE = 6_000_000
 # A space between two of these is a place where both kinds of tokenizer split whatever stands around it.
