@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, LongType, NumericType
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from tallmat.functions.labels import clean_label, clean_names
 from tallmat.operators.axes import Axes, indexed_genes, require
@@ -32,8 +32,8 @@ def melt(
 ) -> DataFrame:
     """Wide to tall. NULL entries are kept.
 
-    Values of different types are widened without loss: whole numbers to bigint, numbers to double, and, as soon as
-    a column is no number or a bigint stands beside a fraction, all to string.
+    Values of different types are widened: whole numbers to bigint, other numbers to double, and all to string as soon as
+    one column is no number.
     """
     values = list(value_vars) if value_vars is not None else [c for c in df.columns if c not in id_vars]
     types = {df.schema[name].dataType for name in values}
@@ -46,7 +46,7 @@ def melt(
 def _common_type(types: set[DataType]) -> str:
     if all(isinstance(t, IntegralType) for t in types):
         return "bigint"
-    if all(isinstance(t, NumericType) for t in types) and LongType() not in types:
+    if all(isinstance(t, NumericType) for t in types):
         return "double"
     return "string"
 
