@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,7 +40,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 # Bytes of an Arrow batch of texts. Spark's own limit of 64 MB, held by both sides of a Python worker, is much for
 # an executor with little memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,11 +50,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return free memory of a Python worker, which outlives its tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def each_text(texts: pa.Array) -> Iterator[str | None]:
     """The texts of a batch one by one, so that a batch is never held twice; free memory then goes back."""
     for i in range(len(texts)):
         yield texts[i].as_py()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def word_count(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import small_batches
+from tallmat.llm.common import give_back, small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 WINDOW = 1024
@@ -209,6 +209,8 @@ def pack(docs: DataFrame, words: WordTokenizer | None = None, end_id: int = END_
         packer.finish()
         if id_arrow is not None:
             yield from emitted()
+        words.loaded = None
+        give_back()
 
     names = ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

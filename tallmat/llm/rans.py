@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import small_batches
+from tallmat.llm.common import give_back, small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 END_ID = 2
@@ -168,6 +168,8 @@ def _tokenised(docs: DataFrame, words: WordTokenizer, end_id: int, id_col: str,
                     ["part", "start", "doc_id", "n", "ids"],
                 )
                 start += int(ends[-1])
+        words.loaded = None
+        give_back()
 
     return ranged.mapInArrow(tokenised, "part int, start long, doc_id long, n long, ids binary")
 

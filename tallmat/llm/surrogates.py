@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import fixed_point, fresh, saved, small_batches
+from tallmat.llm.common import fixed_point, fresh, give_back, saved, small_batches
 
 KEY = "surrogate-key"
 
@@ -214,6 +214,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i in hinted(texts):
                 found[i] = [{"kind": k, "canonical": c} for k, c in dict.fromkeys(e[2:] for e in entities(texts[i].as_py()))]
             yield pa.array(found, pa.list_(pair))
+            give_back()
 
     hit = docs.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("found"))
     return hit.select("doc_id", F.explode("found").alias("found")).select("doc_id", "found.kind", "found.canonical")
@@ -283,6 +284,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 new.append("".join([*parts, text[at:]]))
                 mask[i] = True
             yield pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type)) if new else texts
+            give_back()
 
     own, extra = fresh(docs, "special_id", "special_rows")
     named = special.select(F.col("doc_id").alias(own), F.col("special").alias(extra))
