@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import give_back, small_batches
+from tallmat.llm.common import gathered, give_back, small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 WINDOW = 1024
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, words: WordTokenizer | None = None, end_id: int = END_
 
         count = tokens = 0
         id_arrow = None
-        for batch in batches:
+        for batch in gathered(batches):
             id_arrow = batch.column(0).type
             ids, offsets = words.encode(batch.column(1))
             for row, key in enumerate(batch.column(0).to_pylist()):

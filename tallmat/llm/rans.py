@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import give_back, small_batches
+from tallmat.llm.common import gathered, give_back, small_batches
 from tallmat.llm.tokens import WordTokenizer
 
 END_ID = 2
@@ -24,14 +24,14 @@ LANES = 2048
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT = 1 << 19
 # Documents tokenised at a time.
-ROWS = 2000
+ROWS = 4000
 FORMAT = b"RANS1"
 
 
 def tokenizer() -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), leading_space=False, lower=True)
+    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), leading_space=False, lower=True, cached=700_000)
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def _tokenised(docs: DataFrame, words: WordTokenizer, end_id: int, id_col: str,
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches):
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 ids, offsets = words.encode(some.column(1))

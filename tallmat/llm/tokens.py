@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words whose ids a task keeps; when full, it starts anew.
+# Words whose ids a task keeps unless told otherwise; when full, it starts anew.
 CACHED = 300_000
 # Bytes of text that are split at a time, about.
-SLICE = 6_000_000
+SLICE = 8_000_000
 # A space between two of these is a place where both kinds of tokenizer split whatever stands around it.
 SOLID = r"!-~\p{L}\p{N}"
 # Marks a word without a space before it. A text that has one itself is tokenised as a whole.
@@ -32,8 +32,8 @@ class WordTokenizer:
     cut, so the ids of the parts are those of the text. ``lower``: A-Z may be lower-cased first.
     """
 
-    def __init__(self, path: str, leading_space: bool, lower: bool = False):
-        self.path, self.leading_space, self.lower = path, leading_space, lower
+    def __init__(self, path: str, leading_space: bool, lower: bool = False, cached: int | None = None):
+        self.path, self.leading_space, self.lower, self.cached = path, leading_space, lower, cached
         self.loaded = None
 
     def __getstate__(self):
@@ -131,7 +131,7 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > CACHED:
+        if len(known) + len(new) > (self.cached or CACHED):
             known.clear()
             new = distinct
         self._learn(new, known)
