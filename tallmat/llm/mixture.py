@@ -15,7 +15,7 @@ WEIGHTS = (1, 2, 3)
 # Longer documents are drawn less often: expected copies go with words to this power.
 POWER = -0.25
 # Rows of one source that are ordered in one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _uniform(id_column: Column, text: Column) -> Column:
