@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -49,6 +50,17 @@ def silhouette(predictions: DataFrame, features_col: str = "features", predictio
     return ClusteringEvaluator(featuresCol=features_col, predictionCol=prediction_col).evaluate(predictions)
 
 
+def sum_of_squares(model: KMeansModel, predictions: DataFrame, features_col: str, prediction_col: str) -> float:
+    """Summed squared distances of the cells to their centres, as they are in the end.
+
+    The cost that training reports is that of the centres before their last move.
+    """
+    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    point, own = vector_to_array(features_col), F.get(centers, F.col(prediction_col))
+    squares = F.aggregate(F.zip_with(point, own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return predictions.agg(F.coalesce(F.sum(squares), F.lit(0.0))).first()[0]
+
+
 def kmeans(
     df: DataFrame,
     k: int = 2,
@@ -61,7 +73,7 @@ def kmeans(
     model = KMeans(featuresCol=features_col, predictionCol=prediction_col, k=k, seed=seed).fit(df)
     predictions = model.transform(df).select("cell", features_col, prediction_col)
     score = silhouette(predictions, features_col, prediction_col) if with_silhouette else 0.0
-    return KMeansResult(model, predictions, (k, score, model.summary.trainingCost))
+    return KMeansResult(model, predictions, (k, score, sum_of_squares(model, predictions, features_col, prediction_col)))
 
 
 def kmeans_sweep(
