@@ -27,10 +27,10 @@ SCHEMA = (
 )
 
 
-def tokenizer() -> WordTokenizer:
+def tokenizer(cached: int | None = None) -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), leading_space=True)
+    return WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), leading_space=True, cached=cached)
 
 
 class Packer:
