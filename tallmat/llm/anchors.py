@@ -144,7 +144,11 @@ def near_duplicates(
     nodes = saved(
         prints.where("doc_id IS NOT NULL").groupBy("print").agg(F.min(F.col("doc_id").cast("long")).alias("node"))
     )
-    found = saved(links(nodes, threshold))
+    return grouped(prints, nodes, saved(links(nodes, threshold)))
+
+
+def grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(doc_id, print, component_id)`` of ``(doc_id, print)`` rows, their ``(print, node)`` and the links of nodes."""
     # An id on several rows may stand in several nodes; it joins them.
     ids = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("last"))
     spread = ids.where("print <> last").select("doc_id")
@@ -162,7 +166,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows whose id is null stay. Of rows that repeat the kept id one stays. Only the ids to remove are joined.
     """
-    groups = saved(near_duplicates(docs, id_col, text_col, threshold))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, threshold), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each group of ``(doc_id, component_id)``, as :func:`deduplicate` says."""
+    groups = saved(found)
     gone = fresh(docs, "gone_id")[0]
     removed = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
     kept = docs.join(removed, F.col(id_col) == F.col(gone), "left_anti")
