@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tallmat.llm.common import fixed_point, fresh, give_back, saved, small_batches
 
 KEY = "surrogate-key"
+# After so many attempts each, surrogates become one step longer.
+GROWTH = 2
 
 # Titles by gender, and given names by script and gender. Replacements come from the same list.
 TITLES = {
@@ -92,6 +94,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         kind = next(k for k, _ in PATTERNS if match[f"k_{k}"] is not None)
         start, end = match.span(kind if kind in INNER else 0)
         value = text[start:end]
+        if kind == "secret" and not any(map(str.isalnum, value)):
+            # A mask hides nothing.
+            continue
         if kind == "email":
             canonical = value.lower()
         elif kind in ("card", "phone", "ssn"):
@@ -149,28 +154,30 @@ def _shaped(value: str, numbers: Stream) -> str:
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
-    """The canonical replacement of an entity."""
-    numbers = Stream(key, kind, canonical, attempt)
+    """The canonical replacement of an entity; later attempts draw from ever larger spaces."""
+    numbers, more = Stream(key, kind, canonical, attempt), attempt // GROWTH
+    letters = "".join("abcdefghijklmnopqrstuvwxyz"[numbers.below(26)] for _ in range(more))
     if kind == "email":
         local, _, domain = canonical.partition("@")
         reserved = re.search(r"(?:^|\.)example\.(?:com|org|net)$", domain)
         host = domain[: reserved.start()] if reserved else domain.rpartition(".")[0]
         tail = f"example.{('com', 'org', 'net')[numbers.below(3)]}" if not reserved else reserved[0].lstrip(".")
-        return _shaped(local, numbers) + "@" + (_shaped(host, numbers) + "." if host else "") + tail
+        return _shaped(local, numbers) + letters + "@" + (_shaped(host, numbers) + "." if host else "") + tail
     if kind == "ip":
-        # 240.0.0.0/4 is reserved, so no host is named.
-        return ".".join(str(n) for n in (240 + numbers.below(15), numbers.below(256), numbers.below(256), numbers.below(256)))
+        # 240.0.0.0/4 is reserved, so no host is named while one of it is free.
+        first = numbers.below(256) if more > 4 else 240 + numbers.below(15)
+        return ".".join(str(n) for n in (first, numbers.below(256), numbers.below(256), numbers.below(256)))
     if kind == "card":
         digits = canonical[0] + "".join(str(numbers.below(10)) for _ in canonical[1:-1])
         right = [d for d in "0123456789" if luhn(digits + d)][0]
         return digits + (right if luhn(canonical) else str((int(right) + 1 + numbers.below(9)) % 10))
     if kind == "ssn":
-        # No such number begins with 9.
-        return "9" + "".join(str(numbers.below(10)) for _ in canonical[1:])
+        # No such number begins with 9; others are taken when those run out.
+        return (str(numbers.below(10)) if more > 4 else "9") + "".join(str(numbers.below(10)) for _ in canonical[1:])
     if kind == "phone":
         lead = 2 if canonical.startswith("+1") else min(3, len(canonical) - 4) if canonical[0] == "+" else 0
         rest = canonical[lead:]
-        return canonical[:lead] + str(2 + numbers.below(8)) + "".join(str(numbers.below(10)) for _ in rest[1:])
+        return canonical[:lead] + str(2 + numbers.below(8)) + "".join(str(numbers.below(10)) for _ in range(len(rest) - 1 + more))
     if kind == "iban":
         body = _shaped(canonical[4:], numbers)
         value = "".join(str(int(c, 36)) for c in body + canonical[:2] + "00")
@@ -180,22 +187,28 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
         lists = [GIVEN[writing, g].split() for g in ([gender] if gender else "mf")]
         names = [n for given in lists for n in given]
         out = []
+        parts = SYLLABLES[writing].split()
+
+        def built(extra: int) -> str:
+            return "".join(parts[numbers.below(len(parts))] for _ in range(2 + numbers.below(2) + extra)).capitalize()
+
         for part in canonical.split(" "):
             if part in NAMES:
                 new = names[numbers.below(len(names))]
+                if more:
+                    new = f"{new}-{built(more - 1)}"
             else:
-                parts = SYLLABLES[writing].split()
-                new = "".join(parts[numbers.below(len(parts))] for _ in range(2 + numbers.below(2))).capitalize()
+                new = built(more)
             out.append(new.upper() if part.isupper() and len(part) > 1 else new)
         return " ".join(out)
-    return _shaped(canonical, numbers)
+    return _shaped(canonical, numbers) + letters
 
 
 def dressed(mention: str, kind: str, replacement: str) -> str:
     """A canonical replacement in the format of one mention: its case, or its separators."""
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(replacement)
-        return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in mention)
+        return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in mention) + "".join(rest)
     if kind == "email" and mention.isupper():
         return replacement.upper()
     return replacement
@@ -224,7 +237,8 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, canonical, attempt, surrogate)``: one row per distinct entity, no two surrogates of a kind equal.
 
     Every entity proposes a surrogate. Where several propose the same one, or one that is itself an entity of
-    that kind, all but the first try again with the next attempt, until nothing collides.
+    that kind, all but the first try again with the next attempt, until nothing collides. The space grows with the attempt,
+    so that this ends however many entities there are.
     """
 
     @F.pandas_udf("string")
