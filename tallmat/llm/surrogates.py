@@ -36,7 +36,33 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης",
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα",
 }
-NAMES = {name: at for at, names in GIVEN.items() for name in names.split()}
+# Given names that are found too, but not given out.
+FURTHER = {
+    ("latin", "m"): (
+        "Aaron Adam Adrian Alan Albert Alejandro Alex Alexander Alfred Ali Andrea Andreas Andrew Anthony Arthur Ben Benjamin Bernd Brandon Brian Bruno "
+        "Carl Christian Christoph Christopher Dave Dennis Diego Dieter Donald Douglas Edward Emil Eric Ethan Felix Fernando Florian Francisco "
+        "Frank Franz Fred Gabriel Gary George Georg Gerald Giovanni Giuseppe Gregory Günter Guillaume Harry Heinrich Henri Henry Hugo Ian Ivan Jack "
+        "Jacob Jacques Jan Jason Javier Jeff Jeffrey Jeremy Jerry Jesse Jim Joe Jonas Jonathan Jorge Jose José Joseph Joshua Juan Jürgen Justin "
+        "Karl Keith Kenneth Kevin Larry Lars Laurent Leo Leon Louis Lucas Lukas Marc Marco Marcus Mario Mark Markus Martin Matthew Max Michel Miguel Mike "
+        "Mohamed Mohammed Muhammad Nathan Nicholas Nicolas Nick Noah Oliver Olivier Oscar Otto Pablo Patrick Philip Philipp Philippe Rafael Ralph Ramón Raymond "
+        "Ricardo Richard Roger Roland Ronald Roy Russell Ryan Samuel Scott Sean Sebastian Simon Stefan Stephen Steve Steven Terry Theo Tim Timothy Tom "
+        "Uwe Victor Vincent Walter Wolfgang Xavier Yves Zachary"
+    ),
+    ("latin", "f"): (
+        "Abigail Agnes Alice Alicia Amanda Amelia Amy Ana Andrea Angela Angelika Anita Anja Ann Anne Annette Antonia Ashley Ava Beatrice Beatriz Betty Birgit Brenda "
+        "Brigitte Camille Carol Caroline Carolyn Catherine Cecilia Charlotte Chloe Christina Christine Cynthia Deborah Debra Denise Diana Diane Donna Dorothy "
+        "Ella Ellen Emily Emma Erika Eva Evelyn Fatima Florence Frances Gabriela Gisela Gloria Grace Hanna Hannah Heather Heidi Helen Helena Helga Inès Ines Ingrid Irene Isabel "
+        "Isabella Jacqueline Jane Janet Janice Jean Jessica Joan Johanna Joyce Judith Judy Julie Karin Katharina Katherine Kathleen Kelly Kimberly "
+        "Laura Lauren Lea Lena Lily Lisa Louise Lucy Madison Manuela Margaret María Maria Marilyn Marta Martha Martina Megan Melissa Mia Michelle Monica Monika "
+        "Natalie Nicole Nina Nora Olga Olivia Pamela Paula Pauline Rachel Rebecca Renate Rosa Rose Ruth Samantha Sandra Sara Sharon Shirley Silvia Simone "
+        "Sophia Sophie Stefanie Stephanie Susanne Teresa Theresa Tina Ursula Valerie Vanessa Vera Veronica Victoria Virginia Yvonne Zoe"
+    ),
+    ("cyrillic", "m"): "Александр Антон Артём Борис Василий Виктор Григорий Денис Евгений Игорь Илья Кирилл Константин Максим Никита Олег Павел Роман Степан Фёдор",
+    ("cyrillic", "f"): "Александра Алина Анастасия Валентина Вера Виктория Галина Дарья Евгения Ксения Лариса Людмила Любовь Марина Надежда Нина Полина Софья Тамара",
+    ("greek", "m"): "Αλέξανδρος Ανδρέας Αντώνης Βασίλης Θανάσης Μιχάλης Παναγιώτης Παύλος Πέτρος Σπύρος Στέλιος Χρήστος",
+    ("greek", "f"): "Αγγελική Αικατερίνη Αναστασία Βασιλική Γεωργία Δήμητρα Ειρήνη Ευαγγελία Ιωάννα Χριστίνα",
+}
+NAMES = {name: at for lists in (FURTHER, GIVEN) for at, names in lists.items() for name in names.split()}
 SYLLABLES = {
     "latin": "ba den for gan hol ker lin mar nor pel ras sten tor val win zel bro dan fel gre",
     "cyrillic": "бар вел гор дан зол кам лан мор нов пет рад сок тар фед чер",
@@ -45,10 +71,28 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CAPITAL = r"[^\W\d_a-z]\w*(?:[-'’][^\W\d_]\w*)?"
+
+
+def _one_of(names: list[str]) -> str:
+    """A pattern of names by their first letter, so that most words are turned down at once."""
+    tails: dict[str, list[str]] = {}
+    for name in sorted(names, key=len, reverse=True):
+        tails.setdefault(name[0], []).append(name[1:])
+    return f"(?=[{''.join(sorted(tails))}])(?:{'|'.join(f'{c}(?:{"|".join(t)})' for c, t in sorted(tails.items()))})"
+
+
+KEYWORDS = r"token|secret|password|passwd|passphrase|pwd|credentials?|api[_ -]?key|(?:access|private|encryption|signing)[_ -]?key|auth(?:orization)?"
+# Names of settings about a secret.
+ABOUT = r"count|counts|type|limit|length|len|size|policy|expiry|expires|url|uri|endpoint|name|field|file|path|index|max|min|ttl"
+SCHEMES = r"bearer|basic|token|digest|negotiate|apikey"
+CUES = r"(?i:my name is|full name:|name:|signed by|attn:|attention:|contact person:|sincerely,|(?:kind |best )?regards,)"
 # In order of precedence; the inner group of a kind, where there is one, is the entity, else the whole match.
 PATTERNS = [
-    ("secret", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|auth(?:orization)?)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[^\s\"'<>,;#]{6,})"),
+    # The keyword may stand within an identifier; a scheme before the value is no part of it.
+    ("secret", rf"(?:(?<![^\W_])|(?<=[a-z])(?=[A-Z]))(?i:{KEYWORDS})(?!(?i:[_-]?(?:{ABOUT}))(?![A-Za-z0-9]))(?:[_-][A-Za-z0-9]+|(?<=[a-z])[A-Z][a-z0-9]*){{0,4}}[\"']?\s*[:=]\s*[\"']?"
+               rf"(?:(?i:{SCHEMES})\s+)?(?!(?i:{SCHEMES})(?:\s|$))(?P<secret>[^\s\"'<>,;#]{{6,}})"),
     ("secret2", r"\b(?:AKIA|ASIA|AIza|gh[pousr]_|sk-|pk_|xox[abp]-)[A-Za-z0-9_\-]{12,}"),
+    ("secret3", r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"),
     ("email", r"[\w.%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
     ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -56,14 +100,15 @@ PATTERNS = [
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ \-]?\d{2,4}){1,4}(?![\w.])"),
     ("titled", rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<titled>{_CAPITAL}(?:[ ]{_CAPITAL})?)"),
-    ("person", rf"\b(?P<person>(?:{'|'.join(sorted(NAMES, key=len, reverse=True))})[ ]{_CAPITAL})"),
+    ("person", rf"\b(?P<person>{_one_of(list(NAMES))}[ ]{_CAPITAL})"),
+    ("cued", rf"(?<!\w){CUES}\s+(?P<cued>{_CAPITAL}[ ]{_CAPITAL})"),
 ]
-INNER = ("secret", "titled", "person")
+INNER = ("secret", "titled", "person", "cued")
 FINDER = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PATTERNS))
 # A text without a match of this, for an automaton that scans whole columns fast, holds no entity.
 HINT = (
     r"@|\p{Nd}|AKIA|ASIA|AIza|gh[pousr]_|sk-|pk_|xox[abp]-"
-    r"|(?i:token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|auth)(?:\w*)[\"']?\s*[:=]"
+    rf"|eyJ[A-Za-z0-9_\-]{{8}}|(?i:{KEYWORDS})[A-Za-z0-9_-]*[\"']?[\s\x0B\x1C-\x1F\pZ\x{{85}}]*[:=]|(?i:{CUES[4:]}"
     rf"|(?:^|[^\pL])(?:{'|'.join(TITLES)})\.? \pL|(?:^|[^\pL])(?:{'|'.join(NAMES)}) \pL"
 )
 
@@ -103,13 +148,13 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             canonical = re.sub(r"[^\d+]", "", value)
         elif kind == "iban":
             canonical = value.replace(" ", "")
-        elif kind in ("titled", "person"):
+        elif kind in ("titled", "person", "cued"):
             gender = NAMES.get(value.split(" ")[0], ("", ""))[1]
             if kind == "titled":
                 gender = TITLES[text[match.start() : start].rstrip(". ")] or gender
             canonical, kind = value, f"person-{gender}-{script(value)}"
         else:
-            canonical, kind = value, kind.rstrip("2")
+            canonical, kind = value, kind.rstrip("23")
         out.append((start, end, kind, canonical))
     return out
 

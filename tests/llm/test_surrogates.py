@@ -28,3 +28,25 @@ def test_crowded_spaces_have_a_surrogate_for_every_entity(spark):
 
 def test_a_longer_number_is_written_whole():
     assert surrogates.dressed("+49 12-34", "phone", "+49567890") == "+49 56-7890"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("access_token=abc123def456", ["abc123def456"]),
+        ("DB_PASSWORD=hunter22hunter", ["hunter22hunter"]),
+        ("client_secret: s3cr3tvalue", ["s3cr3tvalue"]),
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7", ["wJalrXUtnFEMI/K7"]),
+        ('"accessToken": "abc123def456", "apiKeyValue": "q1w2e3r4"', ["abc123def456", "q1w2e3r4"]),
+        ("SECRET_KEY_BASE='0a1b2c3d4e'", ["0a1b2c3d4e"]),
+        ("Authorization: Bearer abc.def.ghi", ["abc.def.ghi"]),
+        ("authorization: Basic dXNlcjpwYXNz", ["dXNlcjpwYXNz"]),
+        ("see eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbg here", ["eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbg"]),
+        ("then Emily Johnson wrote to Виктор Смирнов", ["Emily Johnson", "Виктор Смирнов"]),
+        ("My name is Thandiwe Nkosi.", ["Thandiwe Nkosi"]),
+        ("token_count: 1000000, the secretary: somebody, tokenizer = sentencepiece, Authorization: Bearer", []),
+    ],
+)
+def test_secrets_in_identifiers_and_further_names(text, found):
+    assert [text[s:e] for s, e, _, _ in surrogates.entities(text)] == found
+    assert bool(found) <= bool(surrogates.hinted(pa.array([text])))
