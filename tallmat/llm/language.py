@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from tallmat.llm.common import saved, small_batches
 
 UNKNOWN = "und"
-# The model's size: words known in all, and hashed n-grams of each length.
+# Words known in all.
 VOCABULARY = 200_000
 LENGTHS = (4, 3, 2, 1)
-BUCKETS = 1 << 15
 # Added to every count.
 SMOOTH_WORD, SMOOTH_GRAM = 0.1, 0.5
 # Share of a word's n-grams that must be known for their length to be used.
@@ -54,8 +53,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-def gram_buckets(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-grams of words, marked at both ends, and the word of each."""
+def gram_keys(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the n-grams of words, marked at both ends, and the word of each."""
     flat = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -66,21 +65,20 @@ def gram_buckets(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]
         mixed = (mixed ^ flat[i : len(flat) - length + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     inside = owner[: len(mixed)] == owner[length - 1 :]
-    return (mixed[inside] % np.uint64(BUCKETS)).astype(np.int64), owner[: len(mixed)][inside]
+    return mixed[inside].view(np.int64), owner[: len(mixed)][inside]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language: ``words`` (one row each), and for each n-gram length all buckets.
-
-    ``seen`` says which buckets of a length occurred in learning.
+    """Log frequencies by language: ``words`` (one row each), and for each length the n-grams that
+    occurred in learning: their sorted keys in ``grams``, a row each in ``gram_logs``.
     """
 
     languages: list[str]
     words: dict[str, int]
     word_logs: np.ndarray
     gram_logs: dict[int, np.ndarray]
-    seen: dict[int, np.ndarray]
+    grams: dict[int, np.ndarray]
 
     def vectors(self, distinct: list[str]) -> np.ndarray:
         """A row of log frequencies for each word."""
@@ -92,8 +90,10 @@ class Model:
         for length in LENGTHS:
             if not len(left):
                 break
-            grams, owner = gram_buckets([distinct[i] for i in left], length)
-            some = self.seen[length][grams]
+            keys, owner = gram_keys([distinct[i] for i in left], length)
+            grams = np.searchsorted(self.grams[length], keys)
+            some = grams < len(self.grams[length])
+            some[some] = self.grams[length][grams[some]] == keys[some]
             total = np.bincount(owner, minlength=len(left))
             hits = np.bincount(owner[some], minlength=len(left))
             for j in range(len(self.languages)):
@@ -129,8 +129,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     Words are counted within a task first. The model knows the most frequent words of each language, as many as
     the vocabulary holds; where to cut is read from a histogram of counts, so no list of all words is sorted.
-    N-grams count once for each distinct word, as unseen words are like rare ones. The model is as large as
-    its parameters say, whatever the data.
+    N-grams count once for each distinct word, as unseen words are like rare ones. Every n-gram
+    that occurred is kept, so the model grows with their number.
     """
 
     small_batches(docs.sparkSession)
@@ -175,23 +175,21 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     mass = np.array([totals[lang][0] + SMOOTH_WORD * totals[lang][1] for lang in languages])
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((len(LENGTHS), BUCKETS, size), dtype=np.int64)
         for batch in batches:
             for lang, part in batch.groupby("lang")["word"]:
-                for k, length in enumerate(LENGTHS):
-                    held[k, :, code[lang]] += np.bincount(gram_buckets(part.to_list(), length)[0], minlength=BUCKETS)
-        at = np.flatnonzero(held.ravel())
-        yield pd.DataFrame({"at": at, "n": held.ravel()[at]})
-
-    sums = counts.select("lang", "word").mapInPandas(grams, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(len(LENGTHS) * BUCKETS * size)
-    pulled = sums.toPandas()
-    flat[pulled["at"].to_numpy()] = pulled["n"].to_numpy()
-    by_length = flat.reshape(len(LENGTHS), BUCKETS, size)
+                for length in LENGTHS:
+                    keys, n = np.unique(gram_keys(part.to_list(), length)[0], return_counts=True)
+                    yield pd.DataFrame({"length": length, "lang": code[lang], "key": keys, "n": n})
+
+    sums = counts.select("lang", "word").mapInPandas(grams, "length int, lang int, key long, n long")
+    pulled = sums.groupBy("length", "lang", "key").agg(F.sum("n").alias("n")).toPandas()
     logs, seen = {}, {}
-    for k, length in enumerate(LENGTHS):
-        seen[length] = by_length[k].sum(axis=1) > 0
-        logs[length] = np.log((by_length[k] + SMOOTH_GRAM) / (by_length[k].sum(axis=0) + SMOOTH_GRAM * BUCKETS))
+    for length in LENGTHS:
+        of_length = pulled[pulled["length"] == length]
+        seen[length], at = np.unique(of_length["key"].to_numpy(dtype=np.int64), return_inverse=True)
+        grown = np.full((len(seen[length]), size), SMOOTH_GRAM)
+        grown[at, of_length["lang"].to_numpy(dtype=np.int64)] += of_length["n"].to_numpy()
+        logs[length] = np.log(grown / np.maximum(grown.sum(axis=0), 1e-9)).astype(np.float32)
     return Model(languages, words, np.log(table / np.maximum(mass, 1e-9)) if size else table, logs, seen)
 
 
