@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm import anchors, chatlog, crosspolytope, kmtree, language, mixture, ordinal, packing, rans, surrogates
+from tallmat.llm import (
+    anchors,
+    chatlog,
+    crosspolytope,
+    kmtree,
+    language,
+    mixture,
+    ordinal,
+    packing,
+    periodic,
+    rans,
+    repair,
+    surrogates,
+    urltree,
+)
 from tallmat.llm.common import table
 from tallmat.sources.tables import scratch_dir
 
@@ -65,6 +79,29 @@ def op10_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, directory, "embeddings"))
 
 
+def op11_survivor_repair(spark: SparkSession, directory: str) -> DataFrame:
+    turns = table(spark, directory, "conversations")
+    return repair.report(turns, repair.damaged(turns))
+
+
+def op12_minimizer_runs(spark: SparkSession, directory: str) -> DataFrame:
+    return periodic.digests(periodic.planted(table(spark, directory, "documents")))
+
+
+# The rules of the registered query.
+URL_RULES = (
+    urltree.Rule(urltree.BLOCK, "net", "/"),
+    urltree.Rule(urltree.ALLOW, "example.net", "/en/"),
+    urltree.Rule(urltree.BLOCK, "example.com", "/de/"),
+    urltree.Rule(urltree.ALLOW, "org", "/fr/"),
+)
+
+
+def op13_path_templates(spark: SparkSession, directory: str) -> DataFrame:
+    judged = urltree.judge(table(spark, directory, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,5 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_rans_tokens,
         op9_hierarchical_packing,
         op10_cross_polytope,
+        op11_survivor_repair,
+        op12_minimizer_runs,
+        op13_path_templates,
     )
 }
