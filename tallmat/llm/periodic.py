@@ -242,9 +242,11 @@ def planted(docs: DataFrame) -> DataFrame:
     a = F.try_mod(g, F.col("n"))
     p = 1 + F.floor((F.col("n") - a) / (3 + g % 8))
     rows = rows.select("doc_id", "text", "n", ((F.col("h") % 10 == 0) & (F.col("n") > 0)).alias("plant"), a.alias("a"), p.alias("p"))
+    # Slices, not a place per word: the words inside a lambda function would be cut out anew for each of them.
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
-    changed = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get(words, at(i).cast("int"))), " ")
+    a, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil(rest / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, 1, a), F.slice(again, 1, rest)), " ")
     return rows.select("doc_id", F.when(F.col("plant"), changed).otherwise(F.col("text")).alias("text"))
 
 
