@@ -43,11 +43,28 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
+# Rows that the Parquet reader decodes at a time. With Spark's own 4,096 one batch of long texts takes arrays of
+# many megabytes, for which the heap of an executor grows and stays large.
+READ_ROWS = 512
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes for the session, unless it has set a limit itself."""
+    """Limit batches of texts for the session, Arrow's by bytes and Parquet's by rows, unless it has set limits itself."""
     key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
     if str(spark.conf.get(key, str(usual))).lower() in (str(usual), "64mb", "64m"):
         spark.conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(key, "4096") == "4096":
+        spark.conf.set(key, str(READ_ROWS))
+
+
+def let_go(spark: SparkSession) -> None:
+    """Free what finished work left on the executors.
+
+    Broadcasts and shuffle files go when the driver's garbage collector finds that nothing refers to them, and a
+    driver with little to do collects seldom, so a long session would keep them all.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

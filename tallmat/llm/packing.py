@@ -27,10 +27,10 @@ SCHEMA = (
 )
 
 
-def tokenizer(cached: int | None = None) -> WordTokenizer:
+def tokenizer(cached: int | None = None, slice_bytes: int | None = None) -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), leading_space=True, cached=cached)
+    return WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), leading_space=True, cached=cached, slice_bytes=slice_bytes)
 
 
 class Packer:

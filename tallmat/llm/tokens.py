@@ -32,8 +32,9 @@ class WordTokenizer:
     cut, so the ids of the parts are those of the text. ``lower``: A-Z may be lower-cased first.
     """
 
-    def __init__(self, path: str, leading_space: bool, lower: bool = False, cached: int | None = None):
+    def __init__(self, path: str, leading_space: bool, lower: bool = False, cached: int | None = None, slice_bytes: int | None = None):
         self.path, self.leading_space, self.lower, self.cached = path, leading_space, lower, cached
+        self.slice_bytes = slice_bytes or SLICE
         self.loaded = None
 
     def __getstate__(self):
@@ -98,7 +99,7 @@ class WordTokenizer:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         parts, counts, start = [], [], 0
         while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE)))
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + self.slice_bytes)))
             ids, n = self._encode(texts.slice(start, stop - start))
             parts.append(ids)
             counts.append(n)
