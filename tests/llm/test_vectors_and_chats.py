@@ -248,7 +248,7 @@ def test_escaping_is_reversible(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     text, line = chatlog.escaped(F.col("t")), chatlog.escaped(F.col("t"), one_line=True)
     for t, a, b, x, y in df.select("t", text, line, chatlog.unescaped(text), chatlog.unescaped(line)).collect():
-        assert x == y == t and "<|" not in a + b and "\n" not in b
+        assert x == y == t and "<|" not in a and "<|" not in b and "\n" not in b
 
 
 def test_chat_plan_has_no_python(spark):
