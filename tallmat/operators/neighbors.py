@@ -24,6 +24,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 2048
 # Reference points that partition the space; they and their radii are all that reaches the driver.
 MAX_PIVOTS = 4096
+# Approximate search: points of a leaf of a projection tree, trees, rounds of descent at most, share of changed
+# neighbours at which rounds end, and the seed of the projections.
+LEAF, TREES, ROUNDS, SETTLED, SEED = 512, 3, 8, 0.01, 29
 # Relative slack on distance bounds, far above rounding and far below any useful difference.
 SLACK = 1e-9
 BISECTION_STEPS = 64
@@ -54,24 +57,8 @@ def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, s
     return rows, cols, np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
 
 
-def knn_graph(
-    vectors: DataFrame, k: int = 15, input_col: str = "features", block: int = BLOCK, metric: str = "euclidean"
-) -> DataFrame:
-    """``(cell, neighbor, distance, rank)``: the exact k nearest other cells, as a saved table.
-
-    ``metric='cosine'`` gives ``1 - cosine``, which orders like the Euclidean distance of vectors of length 1;
-    a zero vector has no direction and fails. So does a null or non-finite coordinate.
-
-    Equal distances go by label, and a cell gets fewer than k rows only where fewer others exist.
-
-    The search never pairs all cells. Points are assigned to the nearest of up to a few thousand pivots; a
-    first look within one block gives every point an upper bound on its k-th distance; the point is
-    then compared only with partitions that can hold something nearer (triangle inequality and the
-    separating plane). Large partitions, and the queries sent to them, are cut into blocks, so the work
-    of a task is bounded however many points lie close together. Identical points are searched once,
-    whatever their number.
-    """
-    spark = vectors.sparkSession
+def _distinct_points(vectors: DataFrame, k: int, input_col: str, metric: str) -> tuple[DataFrame, DataFrame]:
+    """``(cell, point)``, and ``(id, point, labels)`` saved: one row per distinct point with its first k + 1 labels."""
     vector = F.col(input_col)
     if isinstance(vectors.schema[input_col].dataType, VectorUDT):
         vector = vector_to_array(vector)
@@ -94,6 +81,55 @@ def knn_graph(
         .agg(F.sort_array(F.collect_list("cell")).alias("labels"))
         .select(F.col("labels")[0].alias("id"), "point", "labels")
     )
+    return cells, points
+
+
+def _to_cells(cells: DataFrame, points: DataFrame, kept: DataFrame, k: int, metric: str) -> DataFrame:
+    """The graph of cells, saved, from ``(id, other, distance)`` of the k nearest other points."""
+    # Back to cells: the k + 1 nearest labels of a point, its own among them, serve all its copies.
+    labels = points.select(F.col("id").alias("other"), "labels")
+    near = kept.join(labels, "other").select("id", "distance", F.explode("labels").alias("neighbor"))
+    own = points.select("id", F.lit(0.0).alias("distance"), F.explode("labels").alias("neighbor"))
+    by_distance = Window.partitionBy("id").orderBy("distance", "neighbor")
+    lists = (
+        near.unionByName(own)
+        .withColumn("number", F.row_number().over(by_distance))
+        .where(F.col("number") <= k + 1)
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))).alias("nearest"))
+    )
+    per_point = points.select("id", "point").join(lists, "id").select("point", "nearest")
+    others = F.slice(F.filter("nearest", lambda e: e["neighbor"] != F.col("cell")), 1, k)
+    distance = F.col("entry.distance")
+    if metric == "cosine":
+        distance = distance * distance / 2
+    # Saved, as callers use the graph more than once.
+    return materialise(
+        cells.join(per_point, "point")
+        .select("cell", F.posexplode(others).alias("position", "entry"))
+        .select("cell", "entry.neighbor", distance.alias("distance"), (F.col("position") + 1).alias("rank"))
+    )
+
+
+def knn_graph(
+    vectors: DataFrame, k: int = 15, input_col: str = "features", block: int = BLOCK, metric: str = "euclidean"
+) -> DataFrame:
+    """``(cell, neighbor, distance, rank)``: the exact k nearest other cells, as a saved table.
+
+    ``metric='cosine'`` gives ``1 - cosine``, which orders like the Euclidean distance of vectors of length 1;
+    a zero vector has no direction and fails. So does a null or non-finite coordinate.
+
+    Equal distances go by label, and a cell gets fewer than k rows only where fewer others exist.
+
+    The search never pairs all cells. Points are assigned to the nearest of up to a few thousand pivots; a
+    first look within one block gives every point an upper bound on its k-th distance; the point is
+    then compared only with partitions that can hold something nearer (triangle inequality and the
+    separating plane). Large partitions, and the queries sent to them, are cut into blocks, so the work
+    of a task is bounded however many points lie close together. Identical points are searched once,
+    whatever their number.
+    """
+    spark = vectors.sparkSession
+    cells, points = _distinct_points(vectors, k, input_col, metric)
     n_points = points.count()
     n_pivots = max(1, min(MAX_PIVOTS, math.ceil(n_points / block)))
     sample = points.select("point").orderBy(F.xxhash64("point"), "id").limit(n_pivots).collect()
@@ -211,29 +247,170 @@ def knn_graph(
     nearest = Window.partitionBy("id").orderBy("distance", "other")
     kept = pairs.withColumn("number", F.row_number().over(nearest)).where(F.col("number") <= k)
 
-    # Back to cells: the k + 1 nearest labels of a point, its own among them, serve all its copies.
-    labels = points.select(F.col("id").alias("other"), "labels")
-    near = kept.join(labels, "other").select("id", "distance", F.explode("labels").alias("neighbor"))
-    own = points.select("id", F.lit(0.0).alias("distance"), F.explode("labels").alias("neighbor"))
-    by_distance = Window.partitionBy("id").orderBy("distance", "neighbor")
-    lists = (
-        near.unionByName(own)
-        .withColumn("number", F.row_number().over(by_distance))
-        .where(F.col("number") <= k + 1)
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))).alias("nearest"))
-    )
-    per_point = points.select("id", "point").join(lists, "id").select("point", "nearest")
-    others = F.slice(F.filter("nearest", lambda e: e["neighbor"] != F.col("cell")), 1, k)
-    distance = F.col("entry.distance")
-    if metric == "cosine":
-        distance = distance * distance / 2
-    # Saved, as callers use the graph more than once.
-    return materialise(
-        cells.join(per_point, "point")
-        .select("cell", F.posexplode(others).alias("position", "entry"))
-        .select("cell", "entry.neighbor", distance.alias("distance"), (F.col("position") + 1).alias("rank"))
-    )
+    return _to_cells(cells, points, kept, k, metric)
+
+
+def _leaves(points: DataFrame, n_points: int) -> DataFrame:
+    """``(pid, tree, leaf)``, saved: every point in a leaf of about ``LEAF`` points of each tree.
+
+    A tree halves its nodes at the median of a random projection, level by level; what travels are projections and
+    medians, never points, and all nodes of a level are halved in one aggregation.
+    """
+    levels = max(0, math.ceil(math.log2(max(1, n_points) / LEAF)))
+    if not levels:
+        return materialise(points.select("pid", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("leaf")))
+
+    @F.pandas_udf("array<array<double>>")
+    def projections(point: pd.Series) -> pd.Series:
+        x = _matrix(point)
+        directions = np.random.default_rng(SEED).normal(size=(x.shape[1], TREES * levels)) if len(x) else np.empty((0, 0))
+        return pd.Series([list(row) for row in (x @ directions).reshape(len(x), TREES, levels)] if len(x) else [])
+
+    # In one table of scalars per tree and point, so that points are read once.
+    rows = materialise(points.select("pid", F.posexplode(projections("point")).alias("tree", "at")).withColumn("leaf", F.lit(1).cast("long")))
+    for level in range(levels):
+        here = F.col("at")[level]
+        halves = rows.groupBy("tree", "leaf").agg(F.percentile_approx(here, 0.5, 1000).alias("middle"))
+        rows = materialise(
+            rows.join(halves, ["tree", "leaf"]).select("pid", "tree", "at", (F.col("leaf") * 2 + (here > F.col("middle")).cast("long")).alias("leaf"))
+        )
+    return rows.select("pid", "tree", "leaf")
+
+
+def _best(rows: np.ndarray, cols: np.ndarray, squares: np.ndarray, size: int) -> np.ndarray:
+    """Places of the ``size`` smallest squares of every row, a repeated pair once."""
+    order = np.lexsort((cols, squares, rows))
+    rows, cols = rows[order], cols[order]
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (cols[1:] != cols[:-1])
+    order, rows = order[first], rows[first]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < size]
+
+
+def _pairs(pid: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+    """Pairs with their distances, computed by differences in slices."""
+    distance = np.empty(len(rows))
+    for start in range(0, len(rows), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        distance[part] = np.sqrt(((x[rows[part]] - x[cols[part]]) ** 2).sum(axis=1))
+    return pd.DataFrame({"src": pid[rows], "dst": pid[cols], "distance": distance})
+
+
+def _merged(graph: DataFrame | None, found: DataFrame, size: int) -> DataFrame:
+    """``(src, dst, distance, new)``, saved: the ``size`` nearest of both; ``new`` are those that ``graph`` did not hold."""
+    rows = found.select("src", "dst", "distance", F.lit(True).alias("new"))
+    if graph is not None:
+        rows = graph.select("src", "dst", "distance", F.lit(False).alias("new")).unionByName(rows)
+    once = rows.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("new").alias("new"))
+    nearest = Window.partitionBy("src").orderBy("distance", "dst")
+    return materialise(once.withColumn("number", F.row_number().over(nearest)).where(F.col("number") <= size).drop("number"))
+
+
+def knn_approx(
+    vectors: DataFrame, k: int = 15, input_col: str = "features", metric: str = "euclidean", list_size: int | None = None, rounds: int = ROUNDS
+) -> DataFrame:
+    """``(cell, neighbor, distance, rank)``: about the k nearest other cells, as a saved table, in near-linear work.
+
+    Leaves of a few random projection trees, compared whole, give every point a first list of ``list_size`` neighbours
+    (``2 k``, 30 at least). Then rounds of neighbour descent: all points on the list of a point, or with it on theirs, meet
+    each other, unless they met there before, and enter lists that they improve; lists twice as long as asked for
+    reach most of the true neighbours. Rounds end when less than one in a hundred listed neighbours changed, or after
+    ``rounds``. A point takes part in the lists of so many others at most as a list is long (smallest hash first), so that
+    points near everything gather nothing.
+
+    Points of a leaf are handled as one block, whose size does not depend on the data but for ties of projections;
+    a point travels to the blocks that list it. Distances are exact, copies are searched once, and tables of up to
+    ``LEAF`` distinct points are searched exactly. Nulls, metrics and small tables are as in :func:`knn_graph`.
+    """
+    spark = vectors.sparkSession
+    size = list_size or max(2 * k, 30)
+    cells, points = _distinct_points(vectors, k, input_col, metric)
+    # Numbered once and saved, so that the numbers stay.
+    points = materialise(points.withColumn("pid", F.monotonically_increasing_id()))
+    n_points = points.count()
+    if not n_points:
+        return spark.createDataFrame([], _graph_schema(vectors))
+    leaves = _leaves(points, n_points)
+    pair = "src long, dst long, distance double"
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        x, pid = _matrix(rows["point"]), rows["pid"].to_numpy()
+        squares = _squares(x, x)
+        np.fill_diagonal(squares, np.inf)
+        few = min(size, len(x) - 1)
+        if not few:
+            return _pairs(pid, x, np.empty(0, np.int64), np.empty(0, np.int64))
+        near = np.argpartition(squares, few - 1, axis=1)[:, :few]
+        return _pairs(pid, x, np.repeat(np.arange(len(x)), few), near.ravel())
+
+    located = points.select("pid", "point")
+    graph = _merged(None, leaves.join(located, "pid").groupBy("tree", "leaf").applyInPandas(compare, pair), size)
+    homes = materialise(leaves.where("tree = 0").select(F.col("pid").alias("mid"), F.col("leaf").alias("block")))
+
+    def meet(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if members.empty:
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        order = np.argsort(known["pid"].to_numpy())
+        pid, limit = known["pid"].to_numpy()[order], known["farthest"].to_numpy()[order] ** 2
+        x = _matrix(known["point"].iloc[order])
+        lists = [np.asarray(v, dtype=np.int64) for v in known["listed"].iloc[order]]
+        members = members.sort_values("mid")
+        at, fresh = np.searchsorted(pid, members["member"].to_numpy()), members["new"].to_numpy()
+        bounds = np.flatnonzero(np.diff(members["mid"].to_numpy(), prepend=-1, append=-1))
+        rows, cols, squares, held = [], [], [], 0
+
+        def shrink() -> None:
+            r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(squares)
+            best = _best(r, c, s, size)
+            rows[:], cols[:], squares[:] = [r[best]], [c[best]], [s[best]]
+
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            who, recent = at[start:stop], fresh[start:stop]
+            if recent.any():
+                apart = _squares(x[who], x[who])
+                np.fill_diagonal(apart, np.inf)
+                a, b = np.nonzero((apart < limit[who][:, None]) & (recent[:, None] | recent[None, :]))
+                rows.append(who[a])
+                cols.append(who[b])
+                squares.append(apart[a, b])
+                held += len(a)
+                if held > 2_000_000:
+                    shrink()
+                    held = 0
+        if not rows:
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        shrink()
+        r, c = rows[0], cols[0]
+        # What a list holds already is no news.
+        span = len(pid)
+        old_rows = np.repeat(np.arange(span), [len(v) for v in lists])
+        old = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        places = np.minimum(np.searchsorted(pid, old), span - 1)
+        here = pid[places] == old
+        news = ~np.isin(r * span + c, old_rows[here] * span + places[here])
+        return _pairs(pid, x, r[news], c[news])
+
+    for _ in range(rounds if n_points > LEAF else 0):
+        by_hash = Window.partitionBy("dst").orderBy(F.xxhash64("src", "dst"))
+        back = graph.withColumn("number", F.row_number().over(by_hash)).where(F.col("number") <= size)
+        both = graph.select(F.col("src").alias("mid"), F.col("dst").alias("member"), "new").unionByName(
+            back.select(F.col("dst").alias("mid"), F.col("src").alias("member"), "new")
+        )
+        members = materialise(both.groupBy("mid", "member").agg(F.max("new").alias("new")).join(homes, "mid"))
+        lists = graph.groupBy(F.col("src").alias("pid")).agg(
+            F.when(F.count(F.lit(1)) >= size, F.max("distance")).otherwise(F.lit(float("inf"))).alias("farthest"),
+            F.collect_list("dst").alias("listed"),
+        )
+        known = members.select(F.col("block").alias("home"), F.col("member").alias("pid")).distinct().join(located, "pid").join(lists, "pid")
+        found = members.groupBy("block").cogroup(known.groupBy("home")).applyInPandas(meet, pair)
+        graph = _merged(graph, found, size)
+        if graph.where("new").count() < SETTLED * n_points * min(size, n_points - 1):
+            break
+    nearest = Window.partitionBy("src").orderBy("distance", "dst")
+    kept = graph.withColumn("number", F.row_number().over(nearest)).where(F.col("number") <= k)
+    names = points.select("pid", "id")
+    named = kept.join(names.toDF("src", "id"), "src").join(names.toDF("dst", "other"), "dst").select("id", "other", "distance")
+    return _to_cells(cells, points.select("id", "point", "labels"), named, k, metric)
 
 
 def _graph_schema(vectors: DataFrame) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,9 @@ def number_rows(df: DataFrame, *order: Column, name: str = "number") -> DataFram
     rows = materialise(ranged.select("*", F.monotonically_increasing_id().alias(at)))
     part = F.shiftright(at, 33)
     sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets, total = [], 0
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        offsets.append((row["part"], total))
-        total += row["n"]
-    if not offsets:
+    if not sizes:
         return rows.select(*columns, F.lit(0).cast("long").alias(name))
-    before = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-    return rows.select(*columns, (F.element_at(before, part) + F.col(at) % F.lit(1 << 33)).alias(name))
+    counts = {row["part"]: row["n"] for row in sizes}
+    # An array by partition, as a place in it is found in one step.
+    before = F.array(*[F.lit(x).cast("long") for x in accumulate((counts.get(i, 0) for i in range(max(counts))), initial=0)])
+    return rows.select(*columns, (F.get(before, part.cast("int")) + F.col(at) % F.lit(1 << 33)).alias(name))

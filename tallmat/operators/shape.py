@@ -184,3 +184,37 @@ def to_vectors(
     bad = incomplete | F.exists("entries", lambda x: x.isNull())
     checked = F.when(bad, failed).otherwise(F.col("entries").cast("array<double>"))
     return rows.select("cell", array_to_vector(checked).alias(output))
+
+
+def to_sparse(
+    tall: DataFrame,
+    axes: Axes | None = None,
+    value: str = "norm_value",
+    impute: float | None = None,
+    output: str = "features",
+) -> DataFrame:
+    """Tall to ``(cell, sparse row)`` from the stored entries alone: a struct of ``size``, ``indices`` and ``values``.
+
+    Indices are those of the genes in alphabetical order, rising; what is not stored is 0 and costs nothing. Cells
+    without an entry have empty lists. A NULL value fails, or is replaced by ``impute``; repeated pairs give their
+    maximum. :func:`tallmat.operators.reduce.pca` takes these rows as they are.
+    """
+    require(tall, "cell", "variable", value)
+    axes = axes or Axes.of(tall)
+    genes = indexed_genes(axes.genes)
+    size = genes.agg(F.coalesce(F.max("position") + 1, F.lit(0))).scalar()
+    given = F.col(value) if impute is None else F.coalesce(value, F.lit(impute))
+    failed = F.raise_error(F.lit("a cell has a NULL value")).cast("double")
+    entries = tall.select("cell", "variable", F.coalesce(given.cast("double"), failed).alias("value"))
+    stored = (
+        entries.join(genes, "variable")
+        .groupBy("cell", F.col("position").cast("int").alias("position"))
+        .agg(F.max("value").alias("value"))
+        .where("value <> 0")
+        .groupBy("cell")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("stored"))
+    )
+    indices = F.coalesce("stored.position", F.array().cast("array<int>"))
+    values = F.coalesce("stored.value", F.array().cast("array<double>"))
+    row = F.struct(size.cast("int").alias("size"), indices.alias("indices"), values.alias("values"))
+    return axes.cells.select("cell").join(stored, "cell", "left").select("cell", row.alias(output))

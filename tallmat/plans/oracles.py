@@ -298,6 +298,13 @@ FROM customer JOIN idx USING (c_mktsegment)""",
   CAST(5 AS INTEGER) AS last FROM embeddings""",
         "pca_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
   0.0::DOUBLE AS overlap FROM range(10) r(i)""",
+        "pca_sparse_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
+  0.0::DOUBLE AS overlap FROM range(5) r(i)""",
+        "pca_sparse_explained": "SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS gap FROM range(5) r(i)",
+        "to_sparse": _with(_global("tall"))
+        + """, numbered AS (SELECT *, CAST(dense_rank() OVER (ORDER BY variable) - 1 AS INTEGER) AS position FROM norm)
+SELECT c.cell, (SELECT CAST(count(DISTINCT variable) AS INTEGER) FROM norm) AS size, position, round(norm_value, 6) + 0.0 AS value
+FROM (SELECT DISTINCT cell FROM norm) c LEFT JOIN numbered n ON n.cell = c.cell AND norm_value <> 0""",
         "kmeans_nearest": "SELECT count(*) AS cells, CAST(0 AS BIGINT) AS misplaced, 0.0::DOUBLE AS sse_gap FROM embeddings",
         "sweep_bounds": "SELECT CAST(k AS INTEGER) AS k, TRUE AS inside FROM range(2, 20) r(k)",
         "silhouette_labels": f"""WITH {_POINTS},
@@ -312,6 +319,8 @@ SELECT count(*) AS cells, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0)
 LEFT JOIN customer ON cell = 'C-' || c_custkey""",
         "knn_exact": f"""WITH {_knn(15)}
 SELECT cell, neighbor, round(distance, 5) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM knn""",
+        "knn_approx": """SELECT count(*) AS cells, count(*) * least(15, count(*) - 1) AS edges, CAST(0 AS BIGINT) AS wrong, TRUE AS found
+FROM embeddings""",
         "fuzzy_weights": f"""WITH RECURSIVE {_knn(15)}, {_FUZZY}
 SELECT cell, neighbor, round(weight, 5) + 0.0 AS weight FROM fuzzy""",
         "fuzzy_graph": f"""WITH RECURSIVE {_knn(15)}, {_FUZZY},

@@ -420,14 +420,12 @@ def pca_explained(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(reduce.pca(embedding_vectors(spark, directory), k=50).explained)
 
 
-@query
-def pca_residuals(spark: SparkSession, directory: str) -> DataFrame:
+def residuals(vectors: DataFrame, result: reduce.PcaResult) -> DataFrame:
     """Per component how far it is from an eigenvector of the covariance, and from the other components.
 
     The covariance of every coordinate with a component's score must be its variance times its loading.
     """
-    vectors = embedding_vectors(spark, directory)
-    result = reduce.pca(vectors, k=10)
+    spark = vectors.sparkSession
     scores = result.components.select("cell", F.posexplode(vector_to_array("components")).alias("component", "score"))
     values = vectors.select("cell", F.posexplode(vector_to_array("features")).alias("gene", "x"))
     joint = values.join(scores, "cell").groupBy("component", "gene").agg(F.covar_samp("x", "score").alias("c"))
@@ -448,6 +446,40 @@ def pca_residuals(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(off.join(worst, "component").select("component", "residual", "length", "overlap"), 5)
 
 
+@query
+def pca_residuals(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = embedding_vectors(spark, directory)
+    return residuals(vectors, reduce.pca(vectors, k=10))
+
+
+@query
+def pca_sparse_residuals(spark: SparkSession, directory: str) -> DataFrame:
+    """The same of components from sparse rows, held against the dense vectors."""
+    norm = saved(normalised(retail.counts(spark, directory, "supplier")))
+    sparse = shape.to_sparse(norm.entries, norm.axes)
+    return residuals(shape.to_vectors(norm.entries, norm.axes), reduce.pca(sparse, k=5))
+
+
+@query
+def pca_sparse_explained(spark: SparkSession, directory: str) -> DataFrame:
+    """Shares of variance from sparse rows, less the variance of the scores over the total variance of the dense vectors."""
+    norm = saved(normalised(retail.counts(spark, directory, "supplier")))
+    result = reduce.pca(shape.to_sparse(norm.entries, norm.axes), k=5)
+    dense = shape.to_vectors(norm.entries, norm.axes).select(F.posexplode(vector_to_array("features")).alias("gene", "x"))
+    total = dense.groupBy("gene").agg(F.var_samp("x").alias("v")).agg(F.sum("v")).scalar()
+    scores = result.components.select(F.posexplode(vector_to_array("components")).alias("component", "score"))
+    shares = scores.groupBy("component").agg((F.var_samp("score") / total).alias("share")).join(result.explained, "component")
+    return rounded(shares.select("component", (F.col("explained") - F.col("share")).alias("gap")))
+
+
+@query
+def to_sparse(spark: SparkSession, directory: str) -> DataFrame:
+    norm = normalised(retail.counts(spark, directory))
+    rows = shape.to_sparse(norm.entries, norm.axes).select("cell", "features.*")
+    entries = F.explode_outer(F.arrays_zip("indices", "values")).alias("e")
+    return rounded(rows.select("cell", "size", entries).select("cell", "size", F.col("e.indices").alias("position"), F.col("e.values").alias("value")))
+
+
 @query
 def kmeans_nearest(spark: SparkSession, directory: str) -> DataFrame:
     """Cells whose centre is not the nearest, and what the reported SSE lacks of the sum of squared distances."""
@@ -540,6 +572,21 @@ def knn_exact(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(neighbors.knn_graph(embedding_vectors(spark, directory), k=15), 5)
 
 
+@query
+def knn_approx(spark: SparkSession, directory: str) -> DataFrame:
+    """Cells, edges, edges whose distance is wrong, and whether nine in ten of the true neighbours were found."""
+    vectors = embedding_vectors(spark, directory)
+    found, true = neighbors.knn_approx(vectors, k=15), neighbors.knn_graph(vectors, k=15)
+    point = vector_to_array("features")
+    here, there = (vectors.select(F.col("cell").alias(c), point.alias(f"{c}_point")) for c in ("cell", "neighbor"))
+    squares = F.aggregate(F.zip_with("cell_point", "neighbor_point", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    wrong = found.join(here, "cell").join(there, "neighbor").agg(F.count_if(F.abs(F.sqrt(squares) - F.col("distance")) > 1e-9).alias("wrong"))
+    hits = found.join(true.select("cell", "neighbor"), ["cell", "neighbor"]).agg(F.count(F.lit(1)).alias("hits"))
+    sizes = found.agg(F.count_distinct("cell").alias("cells"), F.count(F.lit(1)).alias("edges"))
+    total = true.agg(F.count(F.lit(1)).alias("total"))
+    return sizes.select("cells", "edges", wrong.scalar().alias("wrong"), (hits.scalar() >= 0.9 * total.scalar()).alias("found"))
+
+
 @query
 def fuzzy_weights(spark: SparkSession, directory: str) -> DataFrame:
     knn = neighbors.knn_graph(embedding_vectors(spark, directory), k=15)

@@ -76,7 +76,9 @@ def run(
     genes = materialise(genes, f"{path}/hvg")
     chosen = hvg.select_genes(norm, genes)
     vector_axes = None if norm_axes is None else norm_axes.restrict(genes=genes.select("variable"))
-    vectors = materialise(shape.to_vectors(chosen, vector_axes), f"{path}/vectors")
+    # A sparse matrix stays sparse up to its components.
+    rows = shape.to_vectors(chosen) if vector_axes is None else shape.to_sparse(chosen, vector_axes)
+    vectors = materialise(rows, f"{path}/vectors")
 
     reduced = reduce.pca(vectors, settings.n_components)
     components = materialise(reduced.components, f"{path}/pca")
