@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from multiprocessing.pool import ThreadPool
+import sys
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,6 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tallmat.operators.sums import partition_count, summed
+from tallmat.stages import materialise
+
+# Ship this module's functions to the executors themselves, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# The sweep: cells that starting centres are taken from, rounds on these, rounds on all cells, and how little centres move
+# in the end.
+SAMPLE, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 10_000, 10, 20, 1e-4
 
 class KMeansResult(NamedTuple):
     """The model, ``(cell, features, prediction)``, and ``(k, silhouette, sse)``."""
@@ -76,29 +87,112 @@ def kmeans(
     return KMeansResult(model, predictions, (k, score, sum_of_squares(model, predictions, features_col, prediction_col)))
 
 
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centers.T) + (centers * centers).sum(axis=1)[None, :]
+
+
+def _first_centers(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Up to ``k`` starting centres, spread out: each is the best of a few points drawn by their distance from those before."""
+    rng = np.random.default_rng(seed)
+    centers = [x[rng.integers(len(x))]]
+    nearest = ((x - centers[0]) ** 2).sum(axis=1)
+    while len(centers) < k and nearest.sum() > 0:
+        drawn = rng.choice(len(x), size=2 + int(np.log(k)), p=nearest / nearest.sum())
+        after = np.minimum(nearest, np.maximum(_squares(x, x[drawn]).T, 0.0))
+        best = after.sum(axis=1).argmin()
+        centers.append(x[drawn[best]])
+        nearest = np.minimum(nearest, ((x - centers[-1]) ** 2).sum(axis=1))
+    return np.stack(centers)
+
+
+def _tallied(batches: Iterator[pd.DataFrame], centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For every k, by cluster: sums of coordinates, number of cells, squared lengths, and squared distances to the centre."""
+    out = {k: np.zeros((len(c), c.shape[1] + 3)) for k, c in centers.items()}
+    for batch in batches:
+        if not len(batch):
+            continue
+        x = np.stack(batch["x"].to_numpy())
+        lengths = (x * x).sum(axis=1)
+        for k, c in centers.items():
+            own = _squares(x, c).argmin(axis=1)
+            off = ((x - c[own]) ** 2).sum(axis=1)
+            tally = out[k]
+            for j, column in enumerate(x.T):
+                tally[:, j] += np.bincount(own, column, len(c))
+            for j, weights in enumerate((None, lengths, off)):
+                tally[:, x.shape[1] + j] += np.bincount(own, weights, len(c))
+    return {k: t.ravel() for k, t in out.items()}
+
+
+def _silhouettes(batches: Iterator[pd.DataFrame], shared: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """For every k, the sum of the cells' silhouettes, from the tallies of the clusters."""
+    out = {k: np.zeros(1) for k in shared}
+    for batch in batches:
+        if not len(batch):
+            continue
+        x = np.stack(batch["x"].to_numpy())
+        lengths, rows = (x * x).sum(axis=1), np.arange(len(x))
+        for k, (centers, tally) in shared.items():
+            own = _squares(x, centers).argmin(axis=1)
+            sums, sizes, squares = tally[:, : x.shape[1]], tally[:, -3], tally[:, -2]
+            total = np.maximum(sizes * lengths[:, None] + squares - 2.0 * (x @ sums.T), 0.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mean = np.where(sizes > 0, total / sizes, np.inf)
+                inner = total[rows, own] / (sizes[own] - 1)
+                mean[rows, own] = np.inf
+                outer = mean.min(axis=1)
+                score = (outer - inner) / np.maximum(inner, outer)
+            out[k] += np.where((sizes[own] > 1) & np.isfinite(score), score, 0.0).sum()
+    return out
+
+
 def kmeans_sweep(
     df: DataFrame,
     ks: Iterable[int] = range(2, 20),
     features_col: str = "features",
     seed: int = 125,
-    parallelism: int = 4,
+    max_rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``(k, silhouette, sse)`` for every k, for an elbow plot.
+    """``(k, silhouette, sse)`` for every k, for an elbow plot; all k advance together, in one scan of the cells a round.
 
-    The vectors are cached meanwhile, and ``parallelism`` fits are submitted at a time: one fit is a row
-    of short jobs that leave a cluster idle in between.
+    The driver holds the centres of every k and gets sums by cluster. Centres start from at most ``SAMPLE`` cells (those of
+    smallest hash), spread out and moved on that sample; then every round assigns all cells to the centres of each k
+    that still moves. After ``max_rounds``, or when none moves further than ``TOLERANCE``, one more scan gives the sums
+    of squared distances and another the silhouettes (squared Euclidean distance, 0 for a cell alone in its cluster).
+    A k beyond the number of distinct cells gets as many clusters as there are such cells.
     """
-    vectors = df.select("cell", features_col).persist()
-
-    def fit(k: int) -> tuple[int, float, float]:
-        return kmeans(vectors, k, features_col, with_silhouette=True, seed=seed).metrics
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            rows = pool.map(inheritable_thread_target(df.sparkSession)(fit), list(ks))
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, sse double")
+    ks = sorted(set(ks))
+    rows = materialise(df.select(vector_to_array(features_col).alias("x")))
+    sample = rows.orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()
+    if not sample or not ks:
+        return df.sparkSession.createDataFrame([], "k int, silhouette double, sse double")
+    partitions = partition_count(rows)
+    x = np.array([r["x"] for r in sample])
+    first = _first_centers(x, max(ks), seed)
+
+    def moved(centers: np.ndarray, tally: np.ndarray) -> np.ndarray:
+        tally = tally.reshape(len(centers), -1)
+        sizes = tally[:, -3:-2]
+        return np.where(sizes > 0, tally[:, :-3] / np.maximum(sizes, 1.0), centers)
+
+    centers = {k: first[:k] for k in ks}
+    frame = [pd.DataFrame({"x": list(x)})]
+    for _ in range(SAMPLE_ROUNDS):
+        tallies = _tallied(iter(frame), centers)
+        centers = {k: moved(c, tallies[k]) for k, c in centers.items()}
+    moving = dict(centers)
+    for _ in range(max_rounds):
+        tallies, _ = summed(rows, moving, _tallied, partitions)
+        after = {k: moved(c, tallies[k]) for k, c in moving.items()}
+        centers |= after
+        moving = {k: c for k, c in after.items() if np.sqrt(((c - moving[k]) ** 2).sum(axis=1)).max() > TOLERANCE}
+        if not moving:
+            break
+    tallies, _ = summed(rows, centers, _tallied, partitions)
+    shared = {k: (c, tallies[k].reshape(len(c), -1)) for k, c in centers.items()}
+    scores, _ = summed(rows, shared, _silhouettes, partitions)
+    found = [(k, float(scores[k][0] / t[:, -3].sum()), float(t[:, -1].sum())) for k, (_, t) in shared.items()]
+    return df.sparkSession.createDataFrame(found, "k int, silhouette double, sse double")
 
 
 def cluster_sizes(predictions: DataFrame, prediction_col: str = "prediction") -> DataFrame:

@@ -1,4 +1,7 @@
-"""Selection of highly variable genes, by squared coefficient of variation or median deviation."""
+"""Selection of highly variable genes, by squared coefficient of variation or median deviation.
+
+A :class:`~tallmat.operators.baseline.Baselined` matrix, which brings its own axes, may stand for ``norm`` everywhere.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallmat.operators.axes import Axes, absent_zeros, require
+from tallmat.operators.baseline import Baselined
 from tallmat.operators.ordering import number_rows
 from tallmat.operators.ranks import distinct_values, weighted_median, weighted_values
 from tallmat.stages import materialise
 
 
-def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
+def gene_moments(norm: DataFrame | Baselined, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
     """``(variable, mean, sd, var, co_var, CV2)`` per gene, one aggregation.
 
     The absent zeros of a sparse matrix enter through the merge rule for means and sums of squares,
     whose terms are all positive, so nothing cancels.
     """
+    if isinstance(norm, Baselined):
+        stats = gene_moments(norm.entries, norm.axes, "deviation").select("variable", "mean", "sd", "var")
+        return _with_variation(norm.shifted(stats, "mean"))
     require(norm, "variable", value)
     stats = norm.groupBy("variable").agg(
         F.count(F.lit(1)).alias("stored"),
@@ -38,24 +45,32 @@ def gene_moments(norm: DataFrame, axes: Axes | None = None, value: str = "norm_v
         F.try_divide(mean * k, F.col("n")).alias("mean"),
         (squares + F.coalesce(mean * mean * F.try_divide(k * F.col("zeros"), F.col("n")), F.lit(0.0))).alias("m2"),
     )
-    return merged.select(
-        "variable",
-        "mean",
-        F.sqrt(F.try_divide("m2", F.col("n") - 1)).alias("sd"),
-        F.try_divide("m2", F.col("n") - 1).alias("var"),
-    ).select(
+    return _with_variation(
+        merged.select(
+            "variable",
+            "mean",
+            F.sqrt(F.try_divide("m2", F.col("n") - 1)).alias("sd"),
+            F.try_divide("m2", F.col("n") - 1).alias("var"),
+        )
+    )
+
+
+def _with_variation(stats: DataFrame) -> DataFrame:
+    return stats.select(
         "*",
         F.try_divide("sd", "mean").alias("co_var"),
         F.pow(F.try_divide("sd", "mean"), F.lit(2)).alias("CV2"),
     )
 
 
-def gene_mad(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
+def gene_mad(norm: DataFrame | Baselined, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
     """``(variable, median, MAD)``: exact median and (unscaled) median absolute deviation per gene.
 
     The matrix is read once, into distinct values with their counts; median and deviations come from those. They
     and the medians are written to the scratch folder, which runs jobs.
     """
+    if isinstance(norm, Baselined):
+        return norm.shifted(gene_mad(norm.entries, norm.axes, "deviation"), "median")
     require(norm, "variable", value)
     values = materialise(distinct_values(weighted_values(norm, "variable", value, axes), "variable"))
     medians = materialise(weighted_median(values, "variable"))
@@ -66,13 +81,13 @@ def gene_mad(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value
     return medians.join(mads.select("variable", F.col("median").alias("MAD")), "variable")
 
 
-def hvg_stats(norm: DataFrame, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
+def hvg_stats(norm: DataFrame | Baselined, axes: Axes | None = None, value: str = "norm_value") -> DataFrame:
     """All per-gene statistics: moments, CV and CV2, median and MAD."""
     return gene_moments(norm, axes, value).join(gene_mad(norm, axes, value), "variable", "left")
 
 
 def hvg_cv2(
-    norm: DataFrame,
+    norm: DataFrame | Baselined,
     n: int | None = 2000,
     order: str = "desc",
     axes: Axes | None = None,
@@ -93,7 +108,7 @@ def hvg_cv2(
 
 
 def hvg_mad(
-    norm: DataFrame,
+    norm: DataFrame | Baselined,
     k: float = 3,
     keep: str = "above",
     axes: Axes | None = None,
@@ -109,6 +124,8 @@ def hvg_mad(
     return gene_mad(norm, axes, value).where(above if keep == "above" else ~above)
 
 
-def select_genes(tall: DataFrame, genes: DataFrame) -> DataFrame:
+def select_genes(tall: DataFrame | Baselined, genes: DataFrame) -> DataFrame | Baselined:
     """Rows of the listed genes; how to join is left to the optimizer, which knows the list's size."""
+    if isinstance(tall, Baselined):
+        return tall.restrict(genes)
     return tall.join(genes.select("variable"), "variable", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallmat.functions.markers import ERCC, is_marker
 from tallmat.operators.axes import Axes, require
+from tallmat.operators.baseline import Baselined
 from tallmat.operators.ranks import counts_before, covering_sums, distinct_values, weighted_values
 from tallmat.operators.shape import densify
 from tallmat.stages import materialise
@@ -69,6 +70,33 @@ def norm_quantile(
 
     The table of distinct values and the one of means are written to the scratch folder, which runs jobs.
     """
+    lookup, tall, axes, group = _quantile_lookup(tall, axes, by, drop_markers)
+    dense = tall if axes is None else densify(tall, axes)
+    same = (F.col(group) == F.col("_group")) & F.col("value").cast("double").eqNullSafe(F.col("_value"))
+    return dense.join(lookup, same, "left").select("cell", "variable", "norm_value")
+
+
+def norm_quantile_sparse(tall: DataFrame, axes: Axes, drop_markers: Sequence[str] = (ERCC,)) -> Baselined:
+    """:func:`norm_quantile` of a sparse matrix by gene, at the cost of its stored entries.
+
+    All zeros of a gene are tied and get one value, its base; a gene without zeros has base 0. Only stored entries are
+    looked up and kept, as deviations from the base. ``Baselined.dense()`` is what :func:`norm_quantile` returns;
+    gene selection takes the result as it is, and components come from ``Baselined.to_sparse()``.
+    """
+    lookup, tall, axes, _ = _quantile_lookup(tall, axes, "gene", drop_markers)
+    base = axes.genes.select("variable").distinct().join(
+        lookup.where("_value = 0").select(F.col("_group").alias("variable"), "norm_value"), "variable", "left"
+    )
+    base = materialise(base.select("variable", F.coalesce("norm_value", F.lit(0.0)).alias("base")))
+    same = (F.col("variable") == F.col("_group")) & F.col("value").cast("double").eqNullSafe(F.col("_value"))
+    entries = tall.join(lookup, same, "left").join(base, "variable").select(
+        "cell", "variable", (F.col("norm_value") - F.col("base")).alias("deviation")
+    )
+    return Baselined(entries, base, axes)
+
+
+def _quantile_lookup(tall: DataFrame, axes: Axes | None, by: str, drop_markers: Sequence[str]):
+    """``(_group, _value, norm_value)``, saved: what each distinct value of a group becomes; and table, axes and group."""
     require(tall, "cell", "variable", "value")
     if by not in ("gene", "cell"):
         raise ValueError(f"by must be 'gene' or 'cell', not {by!r}")
@@ -94,6 +122,4 @@ def norm_quantile(
             F.col(group).alias("_group"), F.col("value").alias("_value"), "norm_value"
         )
     )
-    dense = tall if axes is None else densify(tall, axes)
-    same = (F.col(group) == F.col("_group")) & F.col("value").cast("double").eqNullSafe(F.col("_value"))
-    return dense.join(lookup, same, "left").select("cell", "variable", "norm_value")
+    return lookup, tall, axes, group

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import warnings
 from collections.abc import Callable, Iterator
@@ -10,13 +9,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallmat.operators.sums import partition_count, summed
 from tallmat.stages import materialise
 
 # Ship this module's functions to the executors themselves, so that these need not have it installed.
@@ -134,37 +134,21 @@ class _Sparse:
 def _product(matrix: _Dense | _Sparse, q: np.ndarray, partitions: int) -> tuple[np.ndarray, int]:
     """Covariance times ``q``, and the most partial sums that a task added up.
 
-    Every task multiplies its own rows. Their products are added by chunk of genes on two levels, so that no task sees more
-    than about the square root of the number of partitions.
+    Every task multiplies its own rows; their products are added by chunk of genes.
     """
-    shared = matrix.rows.sparkSession.sparkContext.broadcast((matrix.mean, q))
-    square, groups = type(matrix).square, max(1, math.isqrt(max(0, partitions - 1)) + 1)
+    square = type(matrix).square
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, q = shared.value
+    def work(batches: Iterator[pd.DataFrame], shared: tuple[np.ndarray, np.ndarray]) -> dict[int, np.ndarray]:
+        mean, q = shared
         total = np.zeros_like(q)
         for batch in batches:
             if len(batch):
                 total += square(batch, mean, q)
-        starts = range(0, len(q), CHUNK)
-        task = TaskContext.get().partitionId() % groups
-        yield pd.DataFrame(
-            {"chunk": list(starts), "salt": task, "most": 1, "part": [total[s : s + CHUNK].tobytes() for s in starts]}
-        )
-
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(parts["part"].iloc[0]) // 8)
-        for part in parts["part"]:
-            total += np.frombuffer(part)
-        most = max(len(parts), int(parts["most"].max()))
-        return parts.iloc[:1].assign(part=[total.tobytes()], most=most)
-
-    kind = "chunk long, salt long, most long, part binary"
-    parts = matrix.rows.select(*matrix.columns).mapInPandas(partial, kind)
-    sums = parts.groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind).collect()
-    shared.destroy()
-    whole = np.concatenate([np.frombuffer(r["part"]) for r in sorted(sums, key=lambda r: r["chunk"])]).reshape(q.shape)
-    return matrix.centred(whole, matrix.mean, q, matrix.n) / (matrix.n - 1), max(r["most"] for r in sums)
+        return {s: total[s : s + CHUNK] for s in range(0, len(q), CHUNK)}
+
+    sums, most = summed(matrix.rows.select(*matrix.columns), (matrix.mean, q), work, partitions)
+    whole = np.concatenate([sums[s] for s in sorted(sums)]).reshape(q.shape)
+    return matrix.centred(whole, matrix.mean, q, matrix.n) / (matrix.n - 1), most
 
 
 def _orthonormal(m: np.ndarray, *against: np.ndarray) -> np.ndarray:
@@ -215,7 +199,12 @@ def _leading(
 
 
 def pca(
-    vectors: DataFrame, k: int = 2, input_col: str = "features", max_rounds: int = MAX_ROUNDS, strict: bool = False
+    vectors: DataFrame,
+    k: int = 2,
+    input_col: str = "features",
+    max_rounds: int = MAX_ROUNDS,
+    strict: bool = False,
+    offset: np.ndarray | None = None,
 ) -> PcaResult:
     """Project ``(cell, vector)`` on ``k`` principal components: ``(cell, components)``.
 
@@ -225,11 +214,14 @@ def pca(
     genes times ``k`` plus a few, and tasks multiply their own rows, one pass over them a round. The sign of a component is arbitrary; here the loading of largest
     magnitude is made positive. As in Spark ML the uncentred vectors are projected, so a component need not have mean 0.
 
+    ``offset`` holds a number per gene that all rows lack, such as the baseline of a matrix kept as deviations: directions
+    do not depend on it, and scores are those of the rows with it.
+
     Rounds end when the residual of the ``k`` directions is small. If it is not after ``max_rounds``, the result says so in
     ``convergence`` and a warning is given; with ``strict`` an ``ArithmeticError`` is raised. Runs jobs; the rows are saved.
     """
     matrix = (_Sparse if isinstance(vectors.schema[input_col].dataType, StructType) else _Dense)(vectors, input_col)
-    partitions = matrix.rows.select(F.spark_partition_id().alias("p")).agg(F.coalesce(F.max("p"), F.lit(0))).first()[0] + 1
+    partitions = partition_count(matrix.rows)
     width = min(len(matrix.mean), k + OVERSAMPLE)
     start = np.random.default_rng(SEED).normal(size=(len(matrix.mean), width))
     loadings, sizes, record = _leading(lambda q: _product(matrix, q, partitions), start, k, max_rounds)
@@ -240,11 +232,12 @@ def pca(
         warnings.warn(told, stacklevel=2)
     loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
     project, columns = type(matrix).projected, matrix.columns
+    shift = 0.0 if offset is None else offset @ loadings
 
     @F.pandas_udf("array<double>")
     def projected(*values: pd.Series) -> pd.Series:
         batch = pd.DataFrame(dict(zip(columns, values, strict=True)))
-        return pd.Series(list(project(batch, loadings))) if len(batch) else pd.Series([], dtype=object)
+        return pd.Series(list(project(batch, loadings) + shift)) if len(batch) else pd.Series([], dtype=object)
 
     shares = np.maximum(sizes[:k], 0.0) / matrix.total if matrix.total > 0 else np.zeros(k)
     scores = matrix.rows.select("cell", array_to_vector(projected(*columns)).alias("components"))

@@ -107,13 +107,17 @@ SELECT CAST(g.bin AS INTEGER) AS bin, round(low + (g.bin - 1) * ((high - low) /
 FROM generate_series(1, {bins}) g(bin), edges"""
 
 
-def _quantile(source: str, group: str) -> str:
+def _quantile_norm(source: str, group: str) -> str:
     return f"""kept AS (SELECT * FROM {source} WHERE lower(variable) NOT LIKE '%ercc%'),
 ranked AS (SELECT cell, variable, value,
   row_number() OVER (PARTITION BY {group} ORDER BY value) AS position,
   rank() OVER (PARTITION BY {group} ORDER BY value) AS tie FROM kept),
-means AS (SELECT position, avg(value) AS norm_value FROM ranked GROUP BY position)
-SELECT cell, variable, {_round('norm_value')} FROM ranked LEFT JOIN means ON tie = means.position"""
+means AS (SELECT position, avg(value) AS norm_value FROM ranked GROUP BY position),
+norm AS (SELECT cell, variable, value, norm_value FROM ranked LEFT JOIN means ON tie = means.position)"""
+
+
+def _quantile(source: str, group: str) -> str:
+    return _quantile_norm(source, group) + f" SELECT cell, variable, {_round('norm_value')} FROM norm"
 
 
 _STATS = """stats AS (SELECT variable, avg(norm_value) AS mean, stddev_samp(norm_value) AS sd,
@@ -263,6 +267,9 @@ JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ({', '.join(f"'{name}'"
         + f"SELECT cell, variable, {_round('norm_value')} FROM norm WHERE value <> 0",
         "norm_global_dense": _with(_global("tall")) + f"SELECT cell, variable, {_round('norm_value')} FROM norm",
         "norm_quantile": _filtered_with(_quantile("flt", "variable")),
+        "norm_quantile_sparse": _filtered_with(_quantile("flt", "variable")),
+        "norm_quantile_entries": _filtered_with(_quantile("flt", "variable")) + " WHERE value <> 0",
+        "hvg_stats_quantile": _filtered_with(_quantile_norm("flt", "variable"), _STATS) + _STATS_COLUMNS,
         "norm_quantile_dense": _with(_quantile("tall", "variable")),
         "norm_quantile_by_cell": _filtered_with(_quantile("flt", "cell")),
         "hvg_stats": _filtered_with(_global("flt"), _STATS) + _STATS_COLUMNS,
@@ -299,6 +306,8 @@ FROM customer JOIN idx USING (c_mktsegment)""",
         "pca_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
   0.0::DOUBLE AS overlap FROM range(10) r(i)""",
         "pca_sparse_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
+  0.0::DOUBLE AS overlap FROM range(5) r(i)""",
+        "pca_baselined_residuals": """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length,
   0.0::DOUBLE AS overlap FROM range(5) r(i)""",
         "pca_sparse_explained": "SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS gap FROM range(5) r(i)",
         "to_sparse": _with(_global("tall"))
@@ -307,6 +316,7 @@ SELECT c.cell, (SELECT CAST(count(DISTINCT variable) AS INTEGER) FROM norm) AS s
 FROM (SELECT DISTINCT cell FROM norm) c LEFT JOIN numbered n ON n.cell = c.cell AND norm_value <> 0""",
         "kmeans_nearest": "SELECT count(*) AS cells, CAST(0 AS BIGINT) AS misplaced, 0.0::DOUBLE AS sse_gap FROM embeddings",
         "sweep_bounds": "SELECT CAST(k AS INTEGER) AS k, TRUE AS inside FROM range(2, 20) r(k)",
+        "sweep_against_fits": "SELECT CAST(k AS INTEGER) AS k, TRUE AS sse_near, TRUE AS silhouette_near FROM (VALUES (2), (6), (19)) r(k)",
         "silhouette_labels": f"""WITH {_POINTS},
 sums AS (SELECT a.cell, a.label AS own, b.label, sum(power(list_distance(a.v, b.v), 2)) AS total, count(*) AS n
   FROM pts a, pts b GROUP BY 1, 2, 3),

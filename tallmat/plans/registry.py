@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from tallmat.functions.labels import clean_label
 from tallmat.operators import cluster, de, hvg, neighbors, normalize, qc, reduce, shape
 from tallmat.operators.axes import Axes
+from tallmat.operators.baseline import Baselined
 from tallmat.plans.workflow import Settings, run
 from tallmat.sources import retail
 from tallmat.sources.counts import Counts, read_counts
@@ -306,6 +307,35 @@ def norm_quantile(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(normalize.norm_quantile(counts.entries, counts.axes))
 
 
+def quantile_baselined(spark: SparkSession, directory: str) -> Baselined:
+    counts = saved(filtered(spark, directory, save_qc=True))
+    sparse = normalize.norm_quantile_sparse(counts.entries, counts.axes)
+    return Baselined(materialise(sparse.entries), sparse.baseline, sparse.axes)
+
+
+@query
+def norm_quantile_sparse(spark: SparkSession, directory: str) -> DataFrame:
+    return rounded(quantile_baselined(spark, directory).dense())
+
+
+@query
+def norm_quantile_entries(spark: SparkSession, directory: str) -> DataFrame:
+    return rounded(quantile_baselined(spark, directory).values())
+
+
+@query
+def hvg_stats_quantile(spark: SparkSession, directory: str) -> DataFrame:
+    return rounded(hvg.hvg_stats(quantile_baselined(spark, directory)))
+
+
+@query
+def pca_baselined_residuals(spark: SparkSession, directory: str) -> DataFrame:
+    """Components of the sparse quantile-normalised matrix, held against its dense vectors."""
+    matrix = quantile_baselined(spark, directory)
+    result = reduce.pca(matrix.to_sparse(), k=5, offset=matrix.offset())
+    return residuals(shape.to_vectors(matrix.dense()), result)
+
+
 @query
 def norm_quantile_dense(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(normalize.norm_quantile(dense_counts(spark, directory)))
@@ -514,6 +544,18 @@ def sweep_bounds(spark: SparkSession, directory: str) -> DataFrame:
     return cluster.kmeans_sweep(vectors).select("k", inside.alias("inside"))
 
 
+@query
+def sweep_against_fits(spark: SparkSession, directory: str) -> DataFrame:
+    """For some k of the sweep: whether the SSE is within a hundredth of a single fit's, or better, and the silhouette near it."""
+    vectors = embedding_vectors(spark, directory).drop("prediction")
+    swept = {r["k"]: r for r in cluster.kmeans_sweep(vectors).collect()}
+    rows = []
+    for k in (2, 6, 19):
+        _, silhouette, sse = cluster.kmeans(vectors, k, with_silhouette=True).metrics
+        rows.append((k, swept[k]["sse"] <= 1.01 * sse, abs(swept[k]["silhouette"] - silhouette) < 0.05))
+    return spark.createDataFrame(rows, "k int, sse_near boolean, silhouette_near boolean")
+
+
 @query
 def vector_components(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(reduce.components(embedding_vectors(spark, directory), 0, 1, 63, vector="features"))
