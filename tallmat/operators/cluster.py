@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,9 +24,9 @@ from tallmat.stages import materialise
 # Ship this module's functions to the executors themselves, so that these need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The sweep: cells that starting centres are taken from, rounds on these, rounds on all cells, and how little centres move
-# in the end.
-SAMPLE, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 10_000, 10, 20, 1e-4
+# The sweep: cells that starting centres are taken from, starts and rounds on these, rounds on all cells, and how little
+# centres move in the end.
+SAMPLE, STARTS, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 5_000, 8, 20, 20, 1e-4
 
 class KMeansResult(NamedTuple):
     """The model, ``(cell, features, prediction)``, and ``(k, silhouette, sse)``."""
@@ -117,13 +117,32 @@ def _tallied(batches: Iterator[pd.DataFrame], centers: dict[int, np.ndarray]) ->
             own = _squares(x, c).argmin(axis=1)
             off = ((x - c[own]) ** 2).sum(axis=1)
             tally = out[k]
-            for j, column in enumerate(x.T):
-                tally[:, j] += np.bincount(own, column, len(c))
+            tally[:, : x.shape[1]] += (own == np.arange(len(c))[:, None]).astype(float) @ x
             for j, weights in enumerate((None, lengths, off)):
                 tally[:, x.shape[1] + j] += np.bincount(own, weights, len(c))
     return {k: t.ravel() for k, t in out.items()}
 
 
+def _sample_centers(
+    x: np.ndarray, ks: list[int], seed: int, moved: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> dict[int, np.ndarray]:
+    """For every k the centres that fit the sample best, of some starts that each take the same rounds."""
+    best: dict[int, tuple[float, np.ndarray]] = {}
+    for start in range(STARTS):
+        first = _first_centers(x, max(ks), seed + start)
+        centers = {k: first[:k] for k in ks}
+        for _ in range(SAMPLE_ROUNDS):
+            tallies = _tallied(iter([pd.DataFrame({"x": list(x)})]), centers)
+            for k, c in centers.items():
+                sse = tallies[k].reshape(len(c), -1)[:, -1].sum()
+                if k not in best or sse < best[k][0]:
+                    best[k] = (sse, c)
+            centers = {k: after for k, c in centers.items() if not np.array_equal(after := moved(c, tallies[k]), c)}
+            if not centers:
+                break
+    return {k: c for k, (_, c) in best.items()}
+
+
 def _silhouettes(batches: Iterator[pd.DataFrame], shared: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
     """For every k, the sum of the cells' silhouettes, from the tallies of the clusters."""
     out = {k: np.zeros(1) for k in shared}
@@ -153,10 +172,30 @@ def kmeans_sweep(
     seed: int = 125,
     max_rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``(k, silhouette, sse)`` for every k, for an elbow plot; all k advance together, in one scan of the cells a round.
+    """``(k, silhouette, sse)`` for every k, for an elbow plot, as :func:`sweep` finds them."""
+    found = [(k, f.silhouette, f.sse) for k, f in sweep(df, ks, features_col, seed, max_rounds).items()]
+    return df.sparkSession.createDataFrame(found, "k int, silhouette double, sse double")
+
+
+class SweepFit(NamedTuple):
+    """Centres of one k, and what they reach over all cells."""
+
+    centers: np.ndarray
+    silhouette: float
+    sse: float
+
+
+def sweep(
+    df: DataFrame,
+    ks: Iterable[int] = range(2, 20),
+    features_col: str = "features",
+    seed: int = 125,
+    max_rounds: int = ROUNDS,
+) -> dict[int, SweepFit]:
+    """Clusterings for every k; all advance together, in one scan of the cells a round.
 
     The driver holds the centres of every k and gets sums by cluster. Centres start from at most ``SAMPLE`` cells (those of
-    smallest hash), spread out and moved on that sample; then every round assigns all cells to the centres of each k
+    smallest hash), where the best of ``STARTS`` fits of each k is chosen; then every round assigns all cells to the centres of each k
     that still moves. After ``max_rounds``, or when none moves further than ``TOLERANCE``, one more scan gives the sums
     of squared distances and another the silhouettes (squared Euclidean distance, 0 for a cell alone in its cluster).
     A k beyond the number of distinct cells gets as many clusters as there are such cells.
@@ -165,21 +204,16 @@ def kmeans_sweep(
     rows = materialise(df.select(vector_to_array(features_col).alias("x")))
     sample = rows.orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()
     if not sample or not ks:
-        return df.sparkSession.createDataFrame([], "k int, silhouette double, sse double")
+        return {}
     partitions = partition_count(rows)
     x = np.array([r["x"] for r in sample])
-    first = _first_centers(x, max(ks), seed)
 
     def moved(centers: np.ndarray, tally: np.ndarray) -> np.ndarray:
         tally = tally.reshape(len(centers), -1)
         sizes = tally[:, -3:-2]
         return np.where(sizes > 0, tally[:, :-3] / np.maximum(sizes, 1.0), centers)
 
-    centers = {k: first[:k] for k in ks}
-    frame = [pd.DataFrame({"x": list(x)})]
-    for _ in range(SAMPLE_ROUNDS):
-        tallies = _tallied(iter(frame), centers)
-        centers = {k: moved(c, tallies[k]) for k, c in centers.items()}
+    centers = _sample_centers(x, ks, seed, moved)
     moving = dict(centers)
     for _ in range(max_rounds):
         tallies, _ = summed(rows, moving, _tallied, partitions)
@@ -191,8 +225,17 @@ def kmeans_sweep(
     tallies, _ = summed(rows, centers, _tallied, partitions)
     shared = {k: (c, tallies[k].reshape(len(c), -1)) for k, c in centers.items()}
     scores, _ = summed(rows, shared, _silhouettes, partitions)
-    found = [(k, float(scores[k][0] / t[:, -3].sum()), float(t[:, -1].sum())) for k, (_, t) in shared.items()]
-    return df.sparkSession.createDataFrame(found, "k int, silhouette double, sse double")
+    return {k: SweepFit(c, float(scores[k][0] / t[:, -3].sum()), float(t[:, -1].sum())) for k, (c, t) in shared.items()}
+
+
+def assigned(df: DataFrame, centers: np.ndarray, features_col: str = "features") -> DataFrame:
+    """``(cell, features, prediction)``: every cell with the number of its nearest centre."""
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(_squares(np.stack(x.to_numpy()), centers).argmin(axis=1).astype("int32")) if len(x) else pd.Series([], dtype="int32")
+
+    return df.select("cell", features_col, nearest(vector_to_array(features_col)).alias("prediction"))
 
 
 def cluster_sizes(predictions: DataFrame, prediction_col: str = "prediction") -> DataFrame:

@@ -316,7 +316,8 @@ SELECT c.cell, (SELECT CAST(count(DISTINCT variable) AS INTEGER) FROM norm) AS s
 FROM (SELECT DISTINCT cell FROM norm) c LEFT JOIN numbered n ON n.cell = c.cell AND norm_value <> 0""",
         "kmeans_nearest": "SELECT count(*) AS cells, CAST(0 AS BIGINT) AS misplaced, 0.0::DOUBLE AS sse_gap FROM embeddings",
         "sweep_bounds": "SELECT CAST(k AS INTEGER) AS k, TRUE AS inside FROM range(2, 20) r(k)",
-        "sweep_against_fits": "SELECT CAST(k AS INTEGER) AS k, TRUE AS sse_near, TRUE AS silhouette_near FROM (VALUES (2), (6), (19)) r(k)",
+        "sweep_against_fits": """SELECT CAST(k AS INTEGER) AS k, TRUE AS sse_near, 0.0::DOUBLE AS sse_gap, 0.0::DOUBLE AS silhouette_gap
+FROM (VALUES (2), (6), (19)) r(k)""",
         "silhouette_labels": f"""WITH {_POINTS},
 sums AS (SELECT a.cell, a.label AS own, b.label, sum(power(list_distance(a.v, b.v), 2)) AS total, count(*) AS n
   FROM pts a, pts b GROUP BY 1, 2, 3),

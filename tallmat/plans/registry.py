@@ -546,14 +546,20 @@ def sweep_bounds(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def sweep_against_fits(spark: SparkSession, directory: str) -> DataFrame:
-    """For some k of the sweep: whether the SSE is within a hundredth of a single fit's, or better, and the silhouette near it."""
+    """For some k of the sweep: whether a single fit's SSE is reached within a hundredth, and what SSE and silhouette lack of
+    those that the cells' assignment to the centres gives."""
     vectors = embedding_vectors(spark, directory).drop("prediction")
-    swept = {r["k"]: r for r in cluster.kmeans_sweep(vectors).collect()}
     rows = []
-    for k in (2, 6, 19):
-        _, silhouette, sse = cluster.kmeans(vectors, k, with_silhouette=True).metrics
-        rows.append((k, swept[k]["sse"] <= 1.01 * sse, abs(swept[k]["silhouette"] - silhouette) < 0.05))
-    return spark.createDataFrame(rows, "k int, sse_near boolean, silhouette_near boolean")
+    for k, fit in cluster.sweep(vectors, (2, 6, 19)).items():
+        cells = materialise(cluster.assigned(vectors, fit.centers))
+        centers = F.array(*[F.array(*map(F.lit, map(float, c))) for c in fit.centers])
+        squares = F.aggregate(
+            F.zip_with(vector_to_array("features"), F.get(centers, F.col("prediction")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
+        )
+        sse = cells.agg(F.sum(squares)).first()[0]
+        near = fit.sse <= 1.01 * cluster.kmeans(vectors, k).metrics[2]
+        rows.append((k, near, fit.sse - sse, fit.silhouette - cluster.silhouette(cells)))
+    return rounded(spark.createDataFrame(rows, "k int, sse_near boolean, sse_gap double, silhouette_gap double"))
 
 
 @query
