@@ -49,10 +49,14 @@ READ_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Limit batches of texts for the session, Arrow's by bytes and Parquet's by rows, unless it has set limits itself."""
+    """Limit Arrow batches by bytes for the session, unless it has set a limit itself."""
     key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
     if str(spark.conf.get(key, str(usual))).lower() in (str(usual), "64mb", "64m"):
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def short_reads(spark: SparkSession) -> None:
+    """Limit Parquet batches by rows for the session, unless it has set a limit itself."""
     key = "spark.sql.parquet.columnarReaderBatchSize"
     if spark.conf.get(key, "4096") == "4096":
         spark.conf.set(key, str(READ_ROWS))
