@@ -329,7 +329,8 @@ def report(original: DataFrame, conversations: DataFrame | None = None) -> DataF
 
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows with planted faults, by CRC32 of conversation and turn: some dropped, emptied, cut, repeated or given to the user."""
-    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id",)], F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    key = F.concat(conv, F.lit(":"), turn)
     fault = F.crc32(key.cast("binary")) % 20
     role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault")).where("fault <> 0")
