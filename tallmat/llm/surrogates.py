@@ -63,6 +63,7 @@ FURTHER = {
     ("greek", "f"): "Αγγελική Αικατερίνη Αναστασία Βασιλική Γεωργία Δήμητρα Ειρήνη Ευαγγελία Ιωάννα Χριστίνα",
 }
 NAMES = {name: at for lists in (FURTHER, GIVEN) for at, names in lists.items() for name in names.split()}
+GENDERS = {name.lower(): gender for name, (_, gender) in NAMES.items()}
 SYLLABLES = {
     "latin": "ba den for gan hol ker lin mar nor pel ras sten tor val win zel bro dan fel gre",
     "cyrillic": "бар вел гор дан зол кам лан мор нов пет рад сок тар фед чер",
@@ -70,7 +71,10 @@ SYLLABLES = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_CAPITAL = r"[^\W\d_a-z]\w*(?:[-'’][^\W\d_]\w*)?"
+# Capital letters of every alphabet, which the patterns have no class for.
+_UPPER = "".join(c for c in map(chr, range(0x1F000)) if c.isupper() and c.isalpha() or c.istitle())
+_CAPITAL = rf"[{_UPPER}]\w*(?:[-'’][^\W\d_]\w*)?"
+_CAPITALS = rf"[{_UPPER}]{{2,}}(?:[-'’][{_UPPER}]+)?(?!\w)"
 
 
 def _one_of(names: list[str]) -> str:
@@ -100,7 +104,7 @@ PATTERNS = [
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ \-]?\d{2,4}){1,4}(?![\w.])"),
     ("titled", rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<titled>{_CAPITAL}(?:[ ]{_CAPITAL})?)"),
-    ("person", rf"\b(?P<person>{_one_of(list(NAMES))}[ ]{_CAPITAL})"),
+    ("person", rf"\b(?P<person>{_one_of(list(NAMES))}[ ]{_CAPITAL}|{_one_of([n.upper() for n in NAMES])}[ ]{_CAPITALS})"),
     ("cued", rf"(?<!\w){CUES}\s+(?P<cued>{_CAPITAL}[ ]{_CAPITAL})"),
 ]
 INNER = ("secret", "titled", "person", "cued")
@@ -109,7 +113,7 @@ FINDER = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in PAT
 HINT = (
     r"@|\p{Nd}|AKIA|ASIA|AIza|gh[pousr]_|sk-|pk_|xox[abp]-"
     rf"|eyJ[A-Za-z0-9_\-]{{8}}|(?i:{KEYWORDS})[A-Za-z0-9_-]*[\"']?[\s\x0B\x1C-\x1F\pZ\x{{85}}]*[:=]|(?i:{CUES[4:]}"
-    rf"|(?:^|[^\pL])(?:{'|'.join(TITLES)})\.? \pL|(?:^|[^\pL])(?:{'|'.join(NAMES)}) \pL"
+    rf"|(?:^|[^\pL])(?:{'|'.join(TITLES)})\.? \pL|(?:^|[^\pL])(?:{'|'.join([*NAMES, *map(str.upper, NAMES)])}) \p{{Lu}}"
 )
 
 
@@ -132,7 +136,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, canonical)`` of every entity of a text, in order and without overlap.
 
     Mentions that differ in case, or in the separators of numbers, have one canonical form. The kind of a
-    person tells gender and script: a title decides the gender, else a known given name.
+    person tells gender and script: a title decides the gender, else a known given name. See ``units`` for what is
+    replaced.
     """
     out = []
     for match in FINDER.finditer(text or ""):
@@ -149,7 +154,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind == "iban":
             canonical = value.replace(" ", "")
         elif kind in ("titled", "person", "cued"):
-            gender = NAMES.get(value.split(" ")[0], ("", ""))[1]
+            gender = GENDERS.get(value.split(" ")[0].lower(), "")
             if kind == "titled":
                 gender = TITLES[text[match.start() : start].rstrip(". ")] or gender
             canonical, kind = value, f"person-{gender}-{script(value)}"
@@ -159,6 +164,26 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def units(text: str | None) -> list[tuple[int, int, str, str]]:
+    """The entities of a text as they are replaced: persons name by name, all others whole.
+
+    So ``Mr Smith``, ``John Smith`` and ``JOHN SMITH`` keep one surname. A listed given name has a gender, that of the
+    title where it follows one, else its own; any other name has none, wherever it stands. The same given name
+    after titles of two genders is two names.
+    """
+    out = []
+    for start, end, kind, canonical in entities(text):
+        if not kind.startswith("person"):
+            out.append((start, end, kind, canonical))
+            continue
+        gender = kind.split("-")[1]
+        for part in canonical.split(" "):
+            own = GENDERS.get(part.lower(), "")
+            out.append((start, start + len(part), f"person-{own and (gender or own)}-{script(part)}", part.lower()))
+            start, gender = start + len(part) + 1, ""
+    return out
+
+
 def hinted(texts: pa.Array) -> list[int]:
     """The rows of those texts that may hold an entity."""
     return np.flatnonzero(pc.match_substring_regex(texts, HINT).fill_null(False).to_numpy(zero_copy_only=False)).tolist()
@@ -229,23 +254,11 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
         return f"{canonical[:2]}{98 - int(value) % 97:02d}{body}"
     if kind.startswith("person"):
         _, gender, writing = kind.split("-")
-        lists = [GIVEN[writing, g].split() for g in ([gender] if gender else "mf")]
-        names = [n for given in lists for n in given]
-        out = []
+        if gender:
+            names = GIVEN[writing, gender].split()
+            return "-".join(names[numbers.below(len(names))] for _ in range(1 + more))
         parts = SYLLABLES[writing].split()
-
-        def built(extra: int) -> str:
-            return "".join(parts[numbers.below(len(parts))] for _ in range(2 + numbers.below(2) + extra)).capitalize()
-
-        for part in canonical.split(" "):
-            if part in NAMES:
-                new = names[numbers.below(len(names))]
-                if more:
-                    new = f"{new}-{built(more - 1)}"
-            else:
-                new = built(more)
-            out.append(new.upper() if part.isupper() and len(part) > 1 else new)
-        return " ".join(out)
+        return "".join(parts[numbers.below(len(parts))] for _ in range(2 + numbers.below(2) + more)).capitalize()
     return _shaped(canonical, numbers) + letters
 
 
@@ -254,13 +267,13 @@ def dressed(mention: str, kind: str, replacement: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(replacement)
         return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in mention) + "".join(rest)
-    if kind == "email" and mention.isupper():
+    if mention.isupper() and (kind == "email" or kind.startswith("person") and len(mention) > 1):
         return replacement.upper()
     return replacement
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, kind, canonical)``: the distinct entities of each document."""
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(text_key, kind, canonical)``: the distinct units of each text, under a hash of it."""
 
     small_batches(docs.sparkSession)
 
@@ -270,17 +283,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for texts in batches:
             found: list[list[dict]] = [[] for _ in range(len(texts))]
             for i in hinted(texts):
-                found[i] = [{"kind": k, "canonical": c} for k, c in dict.fromkeys(e[2:] for e in entities(texts[i].as_py()))]
+                found[i] = [{"kind": k, "canonical": c} for k, c in dict.fromkeys(e[2:] for e in units(texts[i].as_py()))]
             yield pa.array(found, pa.list_(pair))
             give_back()
 
-    hit = docs.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("found"))
-    return hit.select("doc_id", F.explode("found").alias("found")).select("doc_id", "found.kind", "found.canonical")
+    hit = docs.select(F.xxhash64(text_col).alias("text_key"), find(F.col(text_col)).alias("found"))
+    return hit.select("text_key", F.explode("found").alias("found")).select("text_key", "found.kind", "found.canonical")
 
 
 def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, canonical, attempt, surrogate)``: one row per distinct entity, no two surrogates of a kind equal.
 
+    Names of all persons count as one kind here and are compared without case, so that two never become one.
     Every entity proposes a surrogate. Where several propose the same one, or one that is itself an entity of
     that kind, all but the first try again with the next attempt, until nothing collides. The space grows with the attempt,
     so that this ends however many entities there are.
@@ -290,13 +304,19 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     def propose(kind: pd.Series, canonical: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, c, int(a), key) for k, c, a in zip(kind, canonical, attempt, strict=True)])
 
+    def placed(value: str) -> list:
+        person = F.col("kind").startswith("person")
+        return [F.when(person, "person").otherwise(F.col("kind")).alias("space"), F.when(person, F.lower(value)).otherwise(F.col(value)).alias("form")]
+
     known = saved(found.groupBy("kind", "canonical").agg(F.lit(0).alias("attempt")))
-    taken = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
+    taken = known.select(*placed("canonical"), F.lit(True).alias("real")).distinct()
+    which = F.struct("attempt", "canonical", "kind")
 
     def checked(rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"))
-        joined = rows.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        clash = F.col("real").isNotNull() | (F.struct("attempt", "canonical") != F.col("first"))
+        rows = rows.select("*", *placed("surrogate"))
+        first = rows.groupBy("space", "form").agg(F.min(which).alias("first"))
+        joined = rows.join(first, ["space", "form"]).join(taken, ["space", "form"], "left")
+        clash = F.col("real").isNotNull() | (which != F.col("first"))
         return joined.select("kind", "canonical", "attempt", "surrogate", clash.alias("clash"))
 
     def again(rows: DataFrame) -> DataFrame:
@@ -308,19 +328,20 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     return fixed_point(again, start, "clash").drop("clash")
 
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """The documents with surrogates in ``text_col`` and all other columns as they are.
 
     The same entity gets the same surrogate everywhere, and different entities get different ones. Texts stay
     where they are: a task computes first-attempt surrogates itself, and only the few entities that had to
-    try again are joined, by document. Null stays null and empty stays empty; null and repeated ids are
-    handled like others; a table without entities comes back as it was.
+    try again are joined, by a hash of the text, so that ids are not looked at: they may be null or repeated, and
+    a row of the join holds what one text holds. Null stays null and empty stays empty; a table without entities
+    comes back as it was. Texts of any length are searched whole, one at a time.
     """
-    found = saved(_found(docs, id_col, text_col))
+    found = saved(_found(docs, text_col))
     given = assign(found, key)
     special = saved(
         found.join(given.where("attempt > 0"), ["kind", "canonical"])
-        .groupBy(F.col("doc_id"))
+        .groupBy("text_key")
         .agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("special"))
     )
 
@@ -330,7 +351,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             new, mask = [], np.zeros(len(texts), dtype=bool)
             for i in hinted(texts):
                 text = texts[i].as_py()
-                spans = entities(text)
+                spans = units(text)
                 if not spans:
                     continue
                 rows = specials[i].as_py() or []
@@ -345,8 +366,8 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type)) if new else texts
             give_back()
 
-    own, extra = fresh(docs, "special_id", "special_rows")
-    named = special.select(F.col("doc_id").alias(own), F.col("special").alias(extra))
-    joined = docs.join(named, F.col(id_col).eqNullSafe(F.col(own)), "left")
+    own, extra = fresh(docs, "special_key", "special_rows")
+    named = special.select(F.col("text_key").alias(own), F.col("special").alias(extra))
+    joined = docs.join(named, F.xxhash64(text_col) == F.col(own), "left")
     columns = [rewrite(F.col(c), F.col(extra)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pyarrow as pa
 import pytest
 
@@ -50,3 +53,42 @@ def test_a_longer_number_is_written_whole():
 def test_secrets_in_identifiers_and_further_names(text, found):
     assert [text[s:e] for s, e, _, _ in surrogates.entities(text)] == found
     assert bool(found) <= bool(surrogates.hinted(pa.array([text])))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Мария пошла домой. Ольга сказала, что Иван придёт", "Η Ελένη είναι εδώ και η Μαρία λέει", "Anna über alles, Peter östlich davon", "PAUL went"],
+)
+def test_prose_after_a_given_name_is_no_surname(text):
+    assert surrogates.entities(text) == []
+
+
+def test_a_person_keeps_the_name_in_every_form(spark):
+    texts = ["Mr Smith met John Smith. JOHN SMITH and Dr Smith left with Mary Smith", "Mrs Müller-Lüdenscheidt und Herr Иван Петров, Анна Петров"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    new = [r["text"] for r in surrogates.replace_entities(df).collect()]
+    m = re.fullmatch(r"Mr (\S+) met (\S+) \1\. (\S+) (\S+) and Dr \1 left with (\S+) \1", new[0])
+    assert m and m[4] == m[1].upper() and m[3] == m[2].upper()
+    assert m[2].split("-")[0] in surrogates.GIVEN["latin", "m"] and m[5].split("-")[0] in surrogates.GIVEN["latin", "f"]
+    m = re.fullmatch(r"Mrs (\S+) und Herr (\S+) (\S+), (\S+) \3", new[1])
+    assert m and {surrogates.script(x) for x in m.groups()[1:]} == {"cyrillic"} and surrogates.script(m[1]) == "latin"
+
+
+def test_no_two_people_become_one(spark):
+    """Many names of all genders, by a plain version of the mapping: one to one, consistent, none a real name."""
+    rng = random.Random(6)
+    given = [n for (w, _), names in surrogates.GIVEN.items() if w == "latin" for n in names.split()]
+    family = sorted({"".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(1500)})
+    mentions = [(rng.choice(["Mr ", "Mrs ", "Dr ", ""]), rng.choice(given), f) for f in family for _ in range(2)]
+    rows = [(i if i % 3 else None, f"see {t}{g} {f} there" if i % 2 or not t else f"see {t}{f} there") for i, (t, g, f) in enumerate(mentions)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    after = surrogates.replace_entities(df.withColumn("before", df["text"])).collect()
+    names = {}
+    for r in after:
+        old, new = (surrogates.units(x) for x in (r["before"], r["text"]))
+        words = r["text"].split(" ")[-(len(old) + 1) : -1]
+        assert len(old) == len(words) and new
+        for (_, _, kind, name), word in zip(old, words, strict=True):
+            assert names.setdefault((kind, name), word) == word
+    assert len(set(map(str.lower, names.values()))) == len(names)
+    assert not {w.lower() for w in names.values()} & {name for _, name in names}
