@@ -17,8 +17,8 @@ from tallmat.llm.crosspolytope import usable
 # Vectors the tree is fitted on, and numbers in them: those of smallest hash.
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000
 BRANCHES = 8
-# The tree has about one leaf for so many rows, and so many leaves at most.
-LEAF_ROWS, MAX_LEAVES = 1024, 4096
+# The tree has about one leaf for so many rows, as long as a leaf has about so many rows of the sample.
+LEAF_ROWS, LEAF_SAMPLE = 1024, 8
 # Queries that calibrate the number of leaves to visit, and the share of true neighbours to be reached.
 CALIBRATION, RECALL = 200, 0.95
 # Rows of a leaf, and queries sent to it, that are compared in one block.
@@ -58,19 +58,20 @@ class Tree:
             if (out >= 0).all():
                 return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first search, ``most`` of them.
+    def visit(self, query: np.ndarray, most: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first search: ``most`` of them, and more until they hold ``least`` rows.
 
         A priority queue holds branches not taken, by the distance of the query to their centers; the nearest
-        is opened next, wherever in the tree it is.
+        is opened next, wherever in the tree it is. ``rows`` has the number of indexed rows of each leaf that is not empty.
         """
         lifted = np.append(query, 0.0)
         distance = ((self.centers - lifted) ** 2).sum(axis=1)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             node = heapq.heappop(queue)[1]
             if not self.children[node]:
                 out.append(self.leaf[node])
+                held += rows.get(self.leaf[node], 0) if rows else 0
             for kid in self.children[node]:
                 heapq.heappush(queue, (float(distance[kid]), kid))
         return out
@@ -185,7 +186,7 @@ def index(rows: DataFrame) -> tuple[Tree, DataFrame]:
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.max("dim").alias("dim")).first()
     most = max(1, min(SAMPLE, SAMPLE_NUMBERS // size["dim"]))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vector").collect()
-    leaves = max(1, min(MAX_LEAVES, most // (4 * BRANCHES), size["n"] // LEAF_ROWS))
+    leaves = max(1, min(most // LEAF_SAMPLE, size["n"] // LEAF_ROWS))
     tree = grow(np.array([r["vector"] for r in sample], dtype=np.float64), leaves, float(size["longest"]))
 
     @F.pandas_udf("int")
@@ -216,7 +217,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """``(query_id, rank, vec_id, score)``: for each query the ``k`` vectors of largest inner product found.
 
     The tree is fitted on a bounded sample; every row is in one of its leaves. The number of leaves to visit is
-    calibrated against brute force. Leaves and the queries sent to them are cut into blocks, so one with very
+    calibrated against brute force; a query whose leaves hold fewer than ``k`` other rows goes on to further ones, so it
+    gets ``k`` neighbours wherever there are so many. Leaves and the queries sent to them are cut into blocks, so one with very
     many equal vectors is spread over tasks, and a block gives one list per query. Scores are inner
     products of the vectors as given, nearest first, ties to the smaller id.
 
@@ -239,10 +241,12 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFra
     tree, placed = index(rows)
     queries = saved(placed.join(asked, "vec_id", "left_semi").select("vec_id", "vector"))
     visits, _ = calibrate(tree, placed, queries, k, recall)
+    # As many as there are leaves; a query's own row is no neighbour of it, hence one row more.
+    rows_of = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     @F.pandas_udf("array<int>")
     def leaves(vector: pd.Series) -> pd.Series:
-        return pd.Series([tree.visit(np.asarray(v, dtype=np.float64), visits) for v in vector])
+        return pd.Series([tree.visit(np.asarray(v, dtype=np.float64), visits, rows_of, k + 1) for v in vector])
 
     sent = saved(queries.select(F.col("vec_id").alias("query_id"), leaves("vector").alias("leaves")))
     each = sent.select("query_id", F.explode("leaves").alias("leaf"))
