@@ -14,8 +14,8 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 # Longer documents are drawn less often: expected copies go with words to this power.
 POWER = -0.25
-# Rows of one source that are ordered in one task, about.
-BUCKET_ROWS = 2_000
+# Different documents of one source that are ordered in one task, and the parts that a larger range of ranks is cut into.
+BUCKET_ROWS, PARTS = 2_000, 64
 
 
 def _uniform(id_column: Column, text: Column) -> Column:
@@ -113,47 +113,93 @@ def _ranked(rows: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _crossing(steps: DataFrame) -> DataFrame:
+    """``(of, low, high, before)``: per source the range of ranks, ``low`` excluded, in which its words exceed what is missing.
+
+    ``before`` are the words up to ``low``; ``high`` is null where all words fit. A round cuts the range into parts by
+    quantiles of the ranks that lie in it and keeps the part that holds the crossing, so the bounds follow the data.
+    One saved row per source; a range has ``BUCKET_ROWS`` rows at most, or ranks that are all equal.
+    """
+    bounds = steps.groupBy(F.col("source").alias("of")).agg(
+        F.first("missing").alias("missing"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"), F.max("rank").alias("most")
+    )
+    fits = F.col("words") <= F.col("missing")
+    now = saved(
+        bounds.select(
+            "of",
+            "missing",
+            F.lit(float("-inf")).alias("low"),
+            F.when(~fits, F.col("most")).alias("high"),
+            F.lit(0).cast("long").alias("before"),
+            (~fits & (F.col("n") > BUCKET_ROWS) & (F.col("least") < F.col("most"))).alias("wide"),
+        )
+    )
+    while now.where("wide").limit(1).count():
+        kept = (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high"))
+        wide = now.where("wide").select("of", "low", "high", "before")
+        within = steps.join(wide, F.col("source").eqNullSafe(F.col("of"))).where(kept)
+        quantiles = F.percentile_approx("rank", [i / PARTS for i in range(1, PARTS)], 100 * PARTS)
+        grid = saved(within.groupBy(F.col("of").alias("in")).agg(quantiles.alias("grid")))
+        placed = within.join(grid, F.col("of").eqNullSafe(F.col("in"))).withColumn(
+            "part", F.size(F.filter("grid", lambda g: g < F.col("rank")))
+        )
+        parts = placed.groupBy("of", "part").agg(
+            F.first("missing").alias("missing"),
+            F.first("low").alias("low"),
+            F.first("before").alias("before"),
+            F.sum("size").alias("words"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("rank").alias("least"),
+            F.max("rank").alias("most"),
+        )
+        earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        run = parts.select(
+            "of",
+            "missing",
+            F.coalesce(F.max("most").over(earlier), F.col("low")).alias("low"),
+            F.col("most").alias("high"),
+            (F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0))).alias("before"),
+            "words",
+            ((F.col("n") > BUCKET_ROWS) & (F.col("least") < F.col("most"))).alias("wide"),
+        )
+        over = run.where(F.col("before") + F.col("words") > F.col("missing"))
+        narrower = F.min(F.struct("low", "high", "before", "missing", "wide")).alias("at")
+        found = over.groupBy("of").agg(narrower).select("of", "at.missing", "at.low", "at.high", "at.before", "at.wide")
+        now = saved(now.where("NOT wide").unionByName(found))
+    return now.select("of", "low", "high", "before")
+
+
 def plan(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One saved row per source: ``source_size``, ``target``, ``rate``, ``cut`` and ``closing``.
 
     A document is taken ``floor`` of its expected copies for certain, and once more if its ``(rank, uniform)`` is
     at most ``cut``: documents enter by rank while the words they bring stay within the target. ``closing`` is the
-    document outside that comes nearest to what is still missing, if it brings the sum nearer. A source's
-    documents are ordered in buckets of rank; only the bucket that holds the cut is sorted in one task.
+    document outside that comes nearest to what is still missing, if it brings the sum nearer. The range of ranks that
+    holds the cut is narrowed, all sources together, until so few documents are left in it that one task may order them.
     """
     rates = saved(_rates(measured, source_targets(measured, weights, most), most))
     base = rates.select("source", "n_rows", "target", "rate")
     rows = _ranked(measured.join(base, measured["source"].eqNullSafe(base["source"])).drop(measured["source"]), most)
-    # Inclusion odds of a source's documents are alike, so this spreads ranks about evenly.
-    mean = rows.groupBy("source").agg(
-        F.avg(F.when(F.col("rank").isNotNull(), F.try_divide(F.col("uniform"), 1 - F.col("uniform")) / F.col("rank"))).alias("odds"),
-        (F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("missing"),
+    missing = saved(
+        rows.groupBy(F.col("source").alias("of")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("missing"))
     )
-    spread = F.col("rank") * F.col("odds")
-    bucket = F.floor(spread / (1 + spread) * F.ceil(F.col("n_rows") / BUCKET_ROWS)).cast("long")
-    drawn = (
-        rows.join(saved(mean).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .where("rank IS NOT NULL")
-        .select("source", "size", "uniform", "rank", "missing", bucket.alias("bucket"))
-    )
-    drawn = saved(drawn)
-    # The first bucket whose words, with those before it, exceed what is missing.
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = drawn.groupBy("source", "bucket").agg(
-        F.sum("size").alias("words"),
-        F.first("missing").alias("missing"),
-        F.max(F.struct("rank", "uniform")).alias("last"),
-    )
-    before = buckets.select("*", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
-    filled = F.when(F.col("before") + F.col("words") <= F.col("missing"), F.col("last"))
-    crossing = F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("bucket", "before"))
-    edge = saved(before.groupBy(F.col("source").alias("of")).agg(F.max(filled).alias("filled"), F.min(crossing).alias("crossing")))
     same = F.col("source").eqNullSafe(F.col("of"))
-    inside = drawn.join(edge.where("crossing IS NOT NULL"), same & (F.col("bucket") == F.col("crossing.bucket")))
+    drawn = saved(
+        rows.where("rank IS NOT NULL").select("source", "size", "uniform", "rank").join(missing, same).select("source", "size", "uniform", "rank", "missing")
+    )
+    # Copies, which share id and text, are one step.
+    steps = drawn.groupBy("source", "rank", "uniform", "missing").agg(F.sum("size").alias("size"))
+    edge = _crossing(saved(steps.select("source", "rank", "uniform", "missing", "size")))
+    ranged = drawn.join(edge, same)
+    below = ranged.where(F.col("high").isNull() | (F.col("rank") <= F.col("low")))
+    filled = below.groupBy(F.col("source").alias("to")).agg(F.max(F.struct("rank", "uniform")).alias("filled"))
+    inside = ranged.where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
     running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "uniform"))
-    fitting = inside.select("source", "rank", "uniform", (running + F.col("crossing.before")).alias("sum"), "missing")
+    once = inside.groupBy("source", "rank", "uniform", "missing", "before").agg(F.sum("size").alias("size"))
+    fitting = once.select("source", "rank", "uniform", (running + F.col("before")).alias("sum"), "missing")
     last = fitting.where(F.col("sum") <= F.col("missing")).groupBy("source").agg(F.max(F.struct("rank", "uniform")).alias("last"))
-    cuts = edge.join(last, same, "left").select("of", F.greatest("filled", "last").alias("cut"))
+    marked = edge.select("of").join(filled, F.col("of").eqNullSafe(F.col("to")), "left")
+    cuts = marked.join(last, same, "left").select("of", F.greatest("filled", "last").alias("cut"))
     within = F.struct("rank", "uniform") <= F.col("cut")
     cut_rows = drawn.join(saved(cuts), same).withColumn("in", F.coalesce(within, F.lit(False)))
     gaps = saved(
