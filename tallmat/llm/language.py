@@ -16,7 +16,7 @@ from tallmat.llm.common import saved, small_batches
 
 UNKNOWN = "und"
 # Words and n-grams, the most frequent ones, that every task holds; the others are joined. Results do not depend on these.
-HELD_WORDS, HELD_GRAMS = 200_000, 200_000
+VOCABULARY, HELD_GRAMS = 200_000, 200_000
 # Log frequencies are whole multiples of 1 / UNIT, so that sums do not depend on their order.
 UNIT = 1 << 20
 LENGTHS = (4, 3, 2, 1)
@@ -115,6 +115,8 @@ class Frequent:
         """
         left = np.arange(len(words))
         for length in LENGTHS:
+            if not len(left):
+                return
             keys, owner = gram_keys([words[i] for i in left], length)
             at = np.searchsorted(self.grams[length], keys)
             some = at < len(self.grams[length])
@@ -122,7 +124,7 @@ class Frequent:
             total, hits = np.bincount(owner, minlength=len(left)), np.bincount(owner[some], minlength=len(left))
             logs = self.gram_logs[length][at[some]]
             sums = np.stack([np.bincount(owner[some], logs[:, j], len(left)) for j in range(logs.shape[1])], axis=1).astype(np.int64)
-            others = np.split(keys[~some], np.cumsum(np.bincount(owner[~some], minlength=len(left)))[:-1]) if len(left) else []
+            others = np.split(keys[~some], np.cumsum(np.bincount(owner[~some], minlength=len(left)))[:-1])
             yield pd.DataFrame(
                 {"word": [words[i] for i in left], "length": length, "total": total, "hits": hits, "sums": list(sums), "open": others}
             )
@@ -145,6 +147,10 @@ class Model:
     word_table: DataFrame | None = None
     gram_table: DataFrame | None = None
 
+    @property
+    def words(self) -> dict[str, int]:
+        return self.frequent.words
+
     @property
     def grams(self) -> dict[int, np.ndarray]:
         return self.frequent.grams
@@ -187,6 +193,12 @@ class Model:
         found = {r["word"]: r["logs"] for r in self.logs_of(rows).collect()}
         return np.array([found.get(w, [0] * len(self.languages)) for w in words], dtype=np.float64) / UNIT
 
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each of a few texts."""
+        rows = self.word_table.sparkSession.createDataFrame(list(enumerate(texts.to_pylist())), "doc_id long, text string")
+        found = sorted(identify(rows, self).collect())
+        return [r["lang_pred"] for r in found], np.array([r["score"] for r in found])
+
 
 def _added(logs: str, size: int, times: Column | None = None) -> Column:
     """Sum of arrays over rows, each ``times`` a number."""
@@ -215,7 +227,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     Words are counted within a task first. N-grams count once for each distinct word, as unseen words are like rare
     ones. All words and n-grams that occurred are kept, in saved tables; the driver gets one row per language, histograms of
-    counts, and the most frequent ``HELD_WORDS`` and ``HELD_GRAMS``, which spare joins. Null texts have no words,
+    counts, and the most frequent ``VOCABULARY`` and ``HELD_GRAMS``, which spare joins. Null texts have no words,
     long texts are read whole, repeated rows count again; an empty table teaches no language.
     """
     small_batches(docs.sparkSession)
@@ -262,7 +274,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     logs = _logs(names, SMOOTH_GRAM, [F.col(f"m{c}") for c in names])
     table = saved(sums.join(F.broadcast(per_length), "length").select("length", "key", "n", logs.alias("logs")))
 
-    held = sorted(_most_frequent(words, HELD_WORDS).collect())
+    held = sorted(_most_frequent(words, VOCABULARY).collect())
     held_grams = sorted(_most_frequent(table, HELD_GRAMS).collect())
     matrix = lambda rows: np.array([r["logs"] for r in rows], dtype=np.int64).reshape(len(rows), len(languages))
     by_length = {length: [r for r in held_grams if r["length"] == length] for length in LENGTHS}

@@ -60,7 +60,7 @@ def plain(rows, texts):
 
 @pytest.mark.parametrize("held", [200_000, 12, 0])
 def test_scores_are_those_of_a_plain_version(spark, monkeypatch, held):
-    monkeypatch.setattr(language, "HELD_WORDS", held)
+    monkeypatch.setattr(language, "VOCABULARY", held)
     monkeypatch.setattr(language, "HELD_GRAMS", 3 * held)
     kind = "doc_id long, text string, lang string"
     model = language.learn(spark.createDataFrame(LEARNED, kind))
