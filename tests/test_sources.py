@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 
 from tallmat.functions import clean_names, header_names
 from tallmat.operators import qc, shape
+from tallmat.operators.axes import Axes
 from tallmat.sources import export_csv, materialise, read_counts, read_metadata, read_table, write_table
 from tallmat.sources.tables import write_bucketed
 
@@ -106,6 +107,33 @@ def test_several_files_with_a_header_each(spark, tmp_path, dense):
     assert entries(read_counts(spark, path)) == GOLDEN_ENTRIES
 
 
+def test_packed_table_is_the_same_file(spark, tmp_path, sparse, axes):
+    odd = [("c1", 'a"b', None), ("c2", "x,y", 7), (None, "G1", 4), ("c2", "x,y", 9)]
+    tall = sparse.select("cell", "variable", "value").unionByName(spark.createDataFrame(odd, sparse.schema))
+    for index, columns in (("cell", "variable"), ("variable", "cell")):
+        kinds = [shape.to_wide(tall, None, index, columns, "value", Axes.of(tall), p) for p in (False, True)]
+        files = []
+        for i, wide in enumerate(kinds):
+            export_csv(wide, str(tmp_path / f"{index}{i}"), single_file=True)
+            files.append(sorted(x.value for x in spark.read.text(str(tmp_path / f"{index}{i}")).collect()))
+        assert files[0] == files[1]
+
+
+def test_packed_table_has_any_number_of_columns(spark, tmp_path):
+    n = 30_000
+    tall = spark.range(2 * n).selectExpr("concat('c', id % 30000) AS cell", "concat('g', id % 3) AS variable", "id % 5 AS value")
+    wide = shape.to_wide(tall, index="variable", columns="cell", value="value", axes=Axes.of(tall), packed=True)
+    export_csv(wide, str(tmp_path / "wide"))
+    read = read_counts(spark, str(tmp_path / "wide"), "genes_by_cells").entries
+    assert (read.count(), read.agg({"value": "sum"}).first()[0]) == (3 * n, 2 * n)
+
+
+def test_packed_table_without_rows_has_a_header(spark, tmp_path, sparse):
+    none = sparse.where("false")
+    export_csv(shape.to_wide(none, value="value", axes=Axes.of(none), packed=True), str(tmp_path / "none"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "none")).collect()] == ["cell"]
+
+
 def test_header_names_and_collisions():
     assert header_names(["", "A", "a", "B"]) == ["_c0", "A1", "a2", "B"]
     assert header_names(["", "A", "a", "B"], case_sensitive=True) == ["_c0", "A", "a", "B"]
