@@ -20,8 +20,12 @@ from tallmat.stages import materialise
 # Ship this module's functions to the executors themselves, so that these need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows of one distance block. A task compares one block of queries with one of candidates.
+# Rows of one distance block, whose distances are held at a time.
 BLOCK = 2048
+# Bytes of the coordinates that a task holds of queries, and of candidates. Points travel once per such group.
+GROUP_BYTES = 32 << 20
+# Groups at least, so that small tables are spread over the cores.
+MIN_GROUPS = 6
 # Reference points that partition the space; they and their radii are all that reaches the driver.
 MAX_PIVOTS = 4096
 # Approximate search: points of a leaf of a projection tree, trees, rounds of descent at most, share of changed
@@ -51,9 +55,14 @@ def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, s
     scale = (q * q).sum(axis=1) + (c * c).sum(axis=1).max() + 1e-300
     if same:
         np.fill_diagonal(rough, np.inf)
-    kth = np.partition(rough, min(k, c.shape[0]) - 1, axis=1)[:, min(k, c.shape[0]) - 1]
-    bound = np.minimum(kth, np.where(np.isfinite(limit), limit, np.inf) ** 2) + SLACK * scale
-    rows, cols = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+    bound = np.where(np.isfinite(limit), limit, np.inf) ** 2 + SLACK * scale
+    near = rough <= bound[:, None]
+    if np.count_nonzero(near) > 2 * k * len(q):
+        kth = np.partition(rough, min(k, c.shape[0]) - 1, axis=1)[:, min(k, c.shape[0]) - 1]
+        near &= rough <= (kth + SLACK * scale)[:, None]
+    if same:
+        np.fill_diagonal(near, False)
+    rows, cols = np.nonzero(near)
     return rows, cols, np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
 
 
@@ -111,6 +120,17 @@ def _to_cells(cells: DataFrame, points: DataFrame, kept: DataFrame, k: int, metr
     )
 
 
+def _walk(centers: np.ndarray) -> np.ndarray:
+    """An order of the pivots in which neighbours lie together: from each to the nearest one not yet passed."""
+    left, order = np.ones(len(centers), dtype=bool), [0]
+    left[0] = False
+    while left.any():
+        far = ((centers - centers[order[-1]]) ** 2).sum(axis=1)
+        order.append(int(np.where(left, far, np.inf).argmin()))
+        left[order[-1]] = False
+    return np.array(order)
+
+
 def knn_graph(
     vectors: DataFrame, k: int = 15, input_col: str = "features", block: int = BLOCK, metric: str = "euclidean"
 ) -> DataFrame:
@@ -124,9 +144,10 @@ def knn_graph(
     The search never pairs all cells. Points are assigned to the nearest of up to a few thousand pivots; a
     first look within one block gives every point an upper bound on its k-th distance; the point is
     then compared only with partitions that can hold something nearer (triangle inequality and the
-    separating plane). Large partitions, and the queries sent to them, are cut into blocks, so the work
-    of a task is bounded however many points lie close together. Identical points are searched once,
-    whatever their number.
+    separating plane). Neighbouring partitions lie together in groups; a point travels once to each group
+    it must meet, not to each partition, and a group gives its k nearest alone. Groups, and the queries sent to them,
+    are bounded in bytes, so the work of a task is bounded however many points lie close together. Identical points
+    are searched once, whatever their number.
     """
     spark = vectors.sparkSession
     cells, points = _distinct_points(vectors, k, input_col, metric)
@@ -156,12 +177,29 @@ def knn_graph(
     low = np.array([row["low"] for row in summary])
     high = np.array([row["high"] for row in summary])
     centers = pivots[occupied]
-    parts = F.broadcast(
+    # Partitions in the order of a walk from pivot to nearest pivot, cut into groups of about equal size.
+    group_rows = max(block, GROUP_BYTES // (8 * max(1, pivots.shape[1])))
+    n_groups = max(math.ceil(n_points / group_rows), min(MIN_GROUPS, math.ceil(n_points / block)))
+    group_rows = math.ceil(n_points / n_groups)
+    sizes = np.array([row["n"] for row in summary])
+    blocks = -(-sizes // block)
+    walk = _walk(centers)
+    begins = np.empty(len(walk), dtype=np.int64)
+    begins[walk] = np.cumsum(sizes[walk]) - sizes[walk]
+    first_group = begins // group_rows
+    last_group = (begins + (blocks - 1) * sizes // blocks) // group_rows
+    # (partitions, groups): which groups hold a block of which partition.
+    member = (first_group[:, None] <= np.arange(n_groups)) & (np.arange(n_groups) <= last_group[:, None])
+    places = F.broadcast(
         spark.createDataFrame(
-            [(row["pivot"], math.ceil(row["n"] / block)) for row in summary], "pivot int, parts int"
+            [tuple(map(int, x)) for x in zip(occupied, blocks, sizes, begins)], "pivot int, parts int, n long, begin long"
         )
     )
-    candidates = assigned.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    part = F.pmod(F.xxhash64("id"), "parts")
+    group = F.floor((F.col("begin") + F.floor(F.col("part") * F.col("n") / F.col("parts"))) / group_rows)
+    candidates = (
+        assigned.join(places, "pivot").withColumn("part", part.cast("int")).withColumn("group", group.cast("int"))
+    )
 
     # Upper bound on the k-th distance, from the point's own block.
     id_type = points.schema["id"].dataType.simpleString()
@@ -186,61 +224,80 @@ def knn_graph(
         step, found = max(1, 2_000_000 // len(centers)), []
         for start in range(0, len(point), step):
             part = slice(start, start + step)
-            found += reach(_matrix(point.iloc[part]), pivot.iloc[part].to_numpy(), limit.iloc[part].to_numpy())
+            reached = reach(_matrix(point.iloc[part]), pivot.iloc[part].to_numpy(), limit.iloc[part].to_numpy(), slice(None))
+            found += [np.flatnonzero(row) for row in reached.astype(np.float32) @ member.astype(np.float32) > 0]
         return pd.Series(found)
 
-    def reach(x: np.ndarray, pivot: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
-        own = centers[np.searchsorted(occupied, pivot)]
-        squares = _squares(x, centers)
-        error = SLACK * ((x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] + 1e-300)
+    def reach(x: np.ndarray, pivot: np.ndarray, limit: np.ndarray, some) -> np.ndarray:
+        """Which of ``some`` partitions each point must meet."""
+        own, there = centers[np.searchsorted(occupied, pivot)], centers[some]
+        squares = _squares(x, there)
+        error = SLACK * ((x * x).sum(axis=1)[:, None] + (there * there).sum(axis=1)[None, :] + 1e-300)
         below, above = np.sqrt(np.maximum(squares - error, 0.0)), np.sqrt(squares + error)
         # No point of a partition is nearer than the triangle inequality and the plane halfway
         # between its pivot and the point's own allow.
         to_own = ((x - own) ** 2).sum(axis=1)[:, None]
-        gap = np.sqrt(_squares(own, centers) + error)
+        gap = np.sqrt(_squares(own, there) + error)
         plane = (squares - to_own - 2.0 * error) / (2.0 * gap)
-        nearest = np.maximum.reduce([below - high, low - above, plane])
-        reachable = nearest * (1.0 - SLACK) <= limit[:, None]
-        return [occupied[row] for row in reachable]
-
-    queries = materialise(
-        bounded.select("id", "point", "limit", F.explode(targets("point", "pivot", "limit")).alias("pivot"))
-    )
-    query_parts = materialise(
-        queries.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_parts"))
+        nearest = np.maximum.reduce([below - high[some], low[some] - above, plane])
+        return nearest * (1.0 - SLACK) <= limit[:, None]
+
+    aimed = materialise(bounded.select("*", targets("point", "pivot", "limit").alias("groups")))
+    queries = aimed.withColumn("group", F.explode("groups")).drop("groups")
+    # One row per group.
+    query_parts = F.broadcast(
+        materialise(queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("query_parts")))
     )
-    # At most one row per pivot.
-    sizes = parts.join(F.broadcast(query_parts), "pivot")
-    left = queries.join(F.broadcast(sizes), "pivot").select(
+    query_part = F.pmod(F.xxhash64("id", F.lit("query")), "query_parts").cast("int")
+    left = queries.join(query_parts, "group").select("id", "point", "pivot", "limit", "group", query_part.alias("query_part"))
+    right = candidates.join(query_parts, "group").select(
         "id",
         "point",
-        "limit",
         "pivot",
-        F.pmod(F.xxhash64("id", F.lit("query")), "query_parts").cast("int").alias("query_part"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-    )
-    right = candidates.join(F.broadcast(query_parts), "pivot").select(
-        "id",
-        "point",
-        "pivot",
-        "part",
+        "group",
         F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
     )
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"id": [], "other": [], "distance": []})
-        # A point meets itself in one block; ask for one more there and drop it.
-        rows, cols, distances = _nearest_in_block(
-            _matrix(q["point"]), _matrix(c["point"]), k + 1, q["limit"].to_numpy(), same=False
-        )
-        found = pd.DataFrame(
-            {"id": q["id"].to_numpy()[rows], "other": c["id"].to_numpy()[cols], "distance": distances}
-        )
-        found = found[found["id"] != found["other"]].sort_values(["id", "distance", "other"])
-        return found.groupby("id", sort=False).head(k)
-
-    keys = ["pivot", "part", "query_part"]
+        q, c = q.sort_values("pivot", kind="stable"), c.sort_values("pivot", kind="stable")
+        ids, others, there = q["id"].to_numpy(), c["id"].to_numpy(), c["pivot"].to_numpy()
+        x, y = _matrix(q["point"]), _matrix(c["point"])
+        # Places in the order of labels, by which equal distances go.
+        turn = np.empty(len(others), dtype=np.int64)
+        turn[np.argsort(others, kind="stable")] = np.arange(len(others))
+        cuts = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+        ends = np.append(cuts[1:], len(there))
+        spans = [(a, min(a + block, end)) for start, end in zip(cuts, ends) for a in range(start, end, block)]
+        at = np.searchsorted(occupied, there[[a for a, _ in spans]])
+        pivot, limit, found = q["pivot"].to_numpy(), q["limit"].to_numpy(), []
+        for start in range(0, len(x), block):
+            some = slice(start, start + block)
+            near, own = limit[some].copy(), ids[some]
+            met = reach(x[some], pivot[some], near, at)
+            rows, cols, distances = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            # The partitions that most points must meet come first, as limits sink with every block.
+            for s in np.argsort(-met.sum(axis=0), kind="stable"):
+                asked = np.flatnonzero(met[:, s])
+                if not len(asked):
+                    break
+                a, b = spans[s]
+                # A point meets itself in one block; ask for one more there and drop it.
+                r, t, d = _nearest_in_block(x[some][asked], y[a:b], k + 1, near[asked], same=False)
+                r, t = asked[r], t + a
+                other = own[r] != others[t]
+                rows, cols, distances = (np.append(u, v[other]) for u, v in ((rows, r), (cols, t), (distances, d)))
+                order = np.lexsort((turn[cols], distances, rows))
+                rows, cols, distances = rows[order], cols[order], distances[order]
+                number = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                last = number == k - 1
+                near[rows[last]] = np.minimum(near[rows[last]], distances[last])
+                rows, cols, distances = (v[number < k] for v in (rows, cols, distances))
+            found.append(pd.DataFrame({"id": own[rows], "other": others[cols], "distance": distances}))
+        return pd.concat(found)
+
+    keys = ["group", "query_part"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         compare, f"id {id_type}, other {id_type}, distance double"
     )

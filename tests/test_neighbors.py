@@ -41,6 +41,19 @@ def test_knn_equals_brute_force_for_any_block_size(spark, block):
     assert found(neighbors.knn_graph(frame(spark, points), k=5, block=block)) == brute_force(points, 5)
 
 
+def test_knn_sends_a_point_once_to_a_group_of_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = [(f"p{i:03d}", rng.normal(size=8)) for i in range(400)]
+    written = []
+    save = neighbors.materialise
+    monkeypatch.setattr(neighbors, "materialise", lambda df: written.append(save(df)) or written[-1])
+    assert found(neighbors.knn_graph(frame(spark, points), k=3, block=8)) == brute_force(points, 3)
+    # No table before the graph, whose cells have three rows, holds a point more than once.
+    assert max(df.count() for df in written[:-1]) <= 400
+    monkeypatch.setattr(neighbors, "GROUP_BYTES", 8 * 8 * 40)
+    assert found(neighbors.knn_graph(frame(spark, points), k=3, block=8)) == brute_force(points, 3)
+
+
 def test_knn_with_ties_on_a_grid(spark):
     points = [(f"g{x}{y}", (x, y)) for x in range(7) for y in range(7)]
     assert found(neighbors.knn_graph(frame(spark, points), k=6, block=8)) == brute_force(points, 6)
