@@ -6,12 +6,14 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
 from tallmat import Settings, qc, run  # noqa: E402
-from tallmat.sources import export_csv, retail  # noqa: E402
+from tallmat.sources import counts as counts_module  # noqa: E402
+from tallmat.sources import export_csv, retail, write_table  # noqa: E402
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -75,3 +77,20 @@ def test_workflow_from_csv(spark, tmp_path, normalisation):
     assert results["cluster_sizes"].agg({"count": "sum"}).first()[0] == kept
     assert results["diff_expr"].where("p_val > 0.05 OR rank > 10").count() == 0
     assert results["metrics"].first()["k"] == 2
+
+
+def test_dense_counts_are_written_without_a_sort(spark, tmp_path):
+    """The dense rows come from one row per cell, so writing them shuffles no dense row; a cell lies in one file."""
+    spark.createDataFrame([(i, "PROMO", 30 + i) for i in range(3)], "p_partkey long, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = spark.range(40).selectExpr("id AS l_orderkey", "id % 3 AS l_partkey", "id % 5 + 1 AS l_quantity")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    read = retail.counts(spark, str(tmp_path), dense=True)
+    rows = read.entries.withColumn("file", F.input_file_name())
+    assert rows.count() == 27 and rows.groupBy("cell").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    assert read.entries.agg(F.sum("value")).first()[0] == lines.agg(F.sum("l_quantity")).first()[0]
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(counts_module, "write_table", lambda df, path, cluster_by=(): seen.append(cluster_by) or write_table(df, path, cluster_by))
+        retail.counts(spark, str(tmp_path), dense=True)
+    assert seen.count(("cell", "variable")) == 1
