@@ -31,7 +31,7 @@ FORMAT = b"RANS1"
 def tokenizer() -> WordTokenizer:
     import public_tokenizers
 
-    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), leading_space=False, lower=True, cached=700_000)
+    return WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), leading_space=False, lower=True, cached=500_000, keep=True)
 
 
 @dataclass(frozen=True)

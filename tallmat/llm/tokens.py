@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +25,35 @@ MARK = r"(\p{L})([^\s\p{L}\p{N}\p{M}'])"
 LINE = r"([^\s\p{L}\p{N}'])\n(\p{L})"
 
 
+# Name of a module of a worker that holds what tokenizers with ``keep`` have learned. This file is shipped with each task, so
+# its own variables are new in every task.
+KEPT = "_tallmat_kept_words"
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, the same as for each text as a whole.
 
     ``leading_space``: the tokenizer keeps a space with the word after it (byte-level BPE), so texts are cut
     before single spaces between solid characters, and other texts are tokenised as they are. Otherwise it drops
     white space, and texts are cut at ASCII white space. No pre-token or special token reaches across such a
-    cut, so the ids of the parts are those of the text. ``lower``: A-Z may be lower-cased first.
+    cut, so the ids of the parts are those of the text. ``lower``: A-Z may be lower-cased first. ``keep``: the
+    tasks of a worker share what they learn, ``cached`` words at most.
     """
 
-    def __init__(self, path: str, leading_space: bool, lower: bool = False, cached: int | None = None, slice_bytes: int | None = None):
+    def __init__(self, path: str, leading_space: bool, lower: bool = False, cached: int | None = None, slice_bytes: int | None = None, keep: bool = False):
         self.path, self.leading_space, self.lower, self.cached = path, leading_space, lower, cached
-        self.slice_bytes = slice_bytes or SLICE
+        self.slice_bytes, self.keep = slice_bytes or SLICE, keep
         self.loaded = None
 
     def __getstate__(self):
         return self.__dict__ | {"loaded": None}
 
     def _state(self):
-        """The tokenizer and the ids known so far; they live as long as the task."""
+        """The tokenizer and the ids known so far; they live as long as the task, or as the worker with ``keep``."""
+        kind = repr((self.path, self.leading_space, self.lower))
+        kept = vars(sys.modules.setdefault(KEPT, ModuleType(KEPT))) if self.keep else {}
+        if self.loaded is None:
+            self.loaded = kept.get(kind)
         if self.loaded is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -54,7 +66,7 @@ class WordTokenizer:
             # The dotted capital I is lower-cased to a letter and an accent.
             own = [IRREGULAR] if self.leading_space else ["İ"]
             odd = "|".join([r"\x00", *map(re.escape, special), *own])
-            self.loaded = (tokenizer, first, odd, {})
+            kept[kind] = self.loaded = (tokenizer, first, odd, {})
         return self.loaded
 
     def _learn(self, words: list[str], known: dict[str, bytes]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -462,3 +463,15 @@ def test_word_memory_may_overflow(monkeypatch, tables):
     small = WordTokenizer(words.path, leading_space=True)
     expected = words.encode(texts)
     assert all(np.array_equal(a, b) for a, b in zip(small.encode(texts), expected))
+
+
+def test_kept_tokenizers_share_words_up_to_their_limit():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array(["Some words here, 12 more", None, "words again and more"])
+    plain, kept = (WordTokenizer(path, leading_space=False, lower=True, cached=6, keep=k) for k in (False, True))
+    later = pickle.loads(pickle.dumps(kept))
+    for t in (texts, pa.array(["quite different ones"]), texts):
+        want = plain.encode(t)
+        assert all(np.array_equal(a, b) for a, b in zip(want, kept.encode(t), strict=True))
+        assert all(np.array_equal(a, b) for a, b in zip(want, later.encode(t), strict=True))
+    assert later._state() is kept._state() and plain._state() is not kept._state()
