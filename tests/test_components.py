@@ -7,6 +7,7 @@ import warnings
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from tallmat.operators import reduce, shape
 from tallmat.operators.axes import Axes
@@ -116,3 +117,19 @@ def test_sparse_rows_of_odd_tables(spark, sparse, axes):
     with pytest.raises(Exception, match="NULL value"):
         shape.to_sparse(missing, axes, "value").collect()
     assert shape.to_sparse(sparse.limit(0), value="value").count() == 0
+
+
+@pytest.mark.parametrize("rows", ["sparse", "dense"])
+def test_cells_are_dealt_into_parts_of_bounded_size(spark, monkeypatch, rows):
+    """However few partitions a shuffle has, no task gets many more entries than allowed."""
+    monkeypatch.setattr(shape, "TASK_ENTRIES", 400, raising=False)
+    data = [(f"c{i}", f"g{j}", float(1 + (i * j) % 7)) for i in range(200) for j in range(20)]
+    tall = spark.createDataFrame(data, "cell string, variable string, value double")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = shape.to_sparse(tall, value="value") if rows == "sparse" else shape.densify(tall)
+        found = out.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("cell").alias("cells")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert sum(r["cells"] for r in found) == 200 and max(r["cells"] for r in found) <= 60
