@@ -168,3 +168,11 @@ def test_vectors_are_the_wide_rows(matrix):
         cell: [float(values[g]) for g in sorted(values)] for cell, values in wide.items()
     }
     assert len(vectors) == 6
+
+
+def test_norm_global_of_many_cells_joins_without_a_sort(dense, monkeypatch):
+    few = sorted(map(tuple, normalize.norm_global(dense).collect()), key=repr)
+    monkeypatch.setattr(normalize, "MANY_CELLS", 1, raising=False)
+    norm = normalize.norm_global(dense)
+    assert sorted(map(tuple, norm.collect()), key=repr) == few
+    assert "SortMergeJoin" not in norm._jdf.queryExecution().sparkPlan().toString() and "ShuffledHashJoin" in norm._jdf.queryExecution().sparkPlan().toString()
