@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import GENES, GOLDEN, table
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallmat.functions import clean_names, header_names
 from tallmat.operators import qc, shape
@@ -226,3 +227,21 @@ def test_a_cluster_must_name_its_shared_folder():
 def test_densify_restores_what_sparsify_dropped(dense, sparse, axes):
     assert shape.densify(sparse, axes).exceptAll(dense).count() == 0
     assert shape.densify(sparse, axes).count() == 30
+
+
+def test_clustering_computes_rows_once_and_keeps_cells_together(spark, tmp_path):
+    """Ranges would be sampled first, which computes the rows a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(600).selectExpr("concat('C-', id % 40) AS cell", "concat('G', id) AS variable", "id AS value")
+    write_table(rows.mapInPandas(counted, rows.schema), str(tmp_path / "t"), cluster_by=("cell", "variable"))
+    assert made.value == 600
+    read = read_table(spark, str(tmp_path / "t"))
+    assert read.agg(F.count(F.lit(1)), F.sum("value")).first()[:] == (600, 600 * 599 // 2)
+    files = read.withColumn("file", F.input_file_name()).groupBy("cell").agg(F.count_distinct("file").alias("n"))
+    assert files.where("n > 1").count() == 0
