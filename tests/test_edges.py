@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -288,3 +289,24 @@ def test_pca_keeps_the_variance_and_fixes_the_sign(blobs):
     spread = reduce.components(result.components, 0, 1, 2).agg(*[F.var_samp(f"c{i}") for i in range(3)]).first()
     dims = [statistics.variance(r["features"][i] for r in blobs.collect()) for i in range(3)]
     assert math.isclose(sum(spread), sum(dims))
+
+
+def test_norm_quantile_by_cell_looks_up_stored_entries_only(spark):
+    """Repeated pairs, NULLs, negative values, a cell without entries and one without zeros; no dense row is joined by value."""
+    rows = [("a", "x", 3), ("a", "x", 5), ("a", "y", None), ("b", "x", -2), ("b", "y", 7), ("b", "z", 7), ("b", "w", 1), ("c", "w", 4)]
+    tall = spark.createDataFrame(rows, TALL)
+    axes = Axes(
+        spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("d", 1)], "cell string, copies bigint"),
+        spark.createDataFrame([(g, 1) for g in "wxyz"], "variable string, copies bigint"),
+    )
+    found = normalize.norm_quantile(tall, axes, by="cell")
+    lookup, *_ = normalize._quantile_lookup(tall, axes, "cell", ())
+    same = (F.col("cell") == F.col("_group")) & F.col("value").cast("double").eqNullSafe(F.col("_value"))
+    dense = shape.densify(tall, axes).join(lookup, same, "left").select("cell", "variable", "norm_value")
+    assert table(found, "cell", "variable") == table(dense, "cell", "variable")
+    assert found.count() == 16
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < re.search(r"\b_value#", plan).start()
+    places = normalize.norm_quantile(tall, axes, by="cell", places=1)
+    rounded = found.withColumn("norm_value", F.round("norm_value", 1) + F.lit(0.0))
+    assert table(places, "cell", "variable") == table(rounded, "cell", "variable")
