@@ -13,8 +13,10 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallmat.llm import anchors, language, mixture, ordinal, packing, rans, surrogates
+from tallmat.llm.common import saved
 from tallmat.llm.components import components
 from tallmat.llm.tokens import WordTokenizer
 
@@ -73,6 +75,13 @@ def test_every_pair_within_the_threshold_and_no_other_is_linked(spark):
     assert rows_of(anchors.links(df)) == sorted(near, key=repr)
 
 
+def test_no_side_of_the_anchors_is_broadcast(spark):
+    """An exploded table is 60 times as large as Spark takes it to be, and would fill the driver."""
+    df = saved(spark.range(1000).select(F.col("id").alias("node"), F.xxhash64("id").alias("print")))
+    plan = anchors.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_golay_cosets_are_perfect():
     table = anchors.coset_patterns(2)
     assert all(len(t[0]) == 1 for t in table) and sum(len(t[2]) for t in table) == 33649
