@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegralType
 
+from tallmat.operators.ordering import number_rows
 from tallmat.stages import materialise
 
 # Ship this module's functions to the executors themselves, so that these need not have it installed.
@@ -22,10 +24,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows of one distance block, whose distances are held at a time.
 BLOCK = 2048
-# Bytes of the coordinates that a task holds of queries, and of candidates. Points travel once per such group.
-GROUP_BYTES = 32 << 20
+# Queries whose distances to a block of candidates are held at a time.
+TILE = 1024
+# Bytes of the coordinates and lists of the queries that a task holds. Points travel once per such group.
+GROUP_BYTES = 64 << 20
 # Groups at least, so that small tables are spread over the cores.
-MIN_GROUPS = 6
+MIN_GROUPS = 24
 # Reference points that partition the space; they and their radii are all that reaches the driver.
 MAX_PIVOTS = 4096
 # Approximate search: points of a leaf of a projection tree, trees, rounds of descent at most, share of changed
@@ -66,6 +70,113 @@ def _nearest_in_block(q: np.ndarray, c: np.ndarray, k: int, limit: np.ndarray, s
     return rows, cols, np.sqrt(((q[rows] - c[cols]) ** 2).sum(axis=1))
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each row's coordinates as bytes, in single precision where that holds them exactly."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    exact = (short == x).all(axis=1)
+    return [short[i].tobytes() if exact[i] else x[i].tobytes() for i in range(len(x))]
+
+
+def _unpacked(points: pa.Array, width: int) -> np.ndarray:
+    """The matrix of rows as :func:`_packed` writes them."""
+    points = points.cast(pa.binary())
+    ends = np.frombuffer(points.buffers()[1], np.int32)[points.offset : points.offset + len(points) + 1]
+    sizes, data = np.diff(ends), points.buffers()[2]
+    for kind in (np.float32, np.float64):
+        size = width * np.dtype(kind).itemsize
+        if (sizes == size).all():
+            values = np.frombuffer(data, kind, len(points) * width, int(ends[0])) if size and len(points) else np.empty(0)
+            return values.reshape(len(points), width).astype(np.float64)
+    return np.array([np.frombuffer(p, np.float32 if len(p) == 4 * width else np.float64) for p in points.to_pylist()], np.float64)
+
+
+class _Lists:
+    """The k nearest candidates of some queries, equal distances by number, from candidates that come in blocks.
+
+    Squared distances from a matrix product in single precision only preselect, with a margin above their error; the kept
+    ones are computed by differences. Where so many candidates pass that the margin or the limits tell little, the block is
+    preselected in double precision, as it is where single precision has no such numbers.
+    """
+
+    def __init__(self, number: np.ndarray, x: np.ndarray, limit: np.ndarray, k: int):
+        self.number, self.x, self.limit, self.k = number, x, limit.copy(), k
+        self.near = np.full((len(x), k), np.inf)
+        self.other = np.full((len(x), k), np.iinfo(np.int64).max)
+        self.origin = x.mean(axis=0)
+        moved = x - self.origin
+        self.norms = (moved * moved).sum(axis=1)
+        self.error = 2.0 * (x.shape[1] + 8) * 2.0**-24
+        with np.errstate(over="ignore"):
+            self.single = np.hstack([-2.0 * moved, np.ones((len(x), 1))]).astype(np.float32)
+        self.held: dict[int, list] = {}
+
+    def meet(self, number: np.ndarray, y: np.ndarray, asked: np.ndarray) -> None:
+        """Offer a block of candidates to the queries that are ``asked``."""
+        moved = y - self.origin
+        norms = (moved * moved).sum(axis=1)
+        top = norms.max()
+        with np.errstate(over="ignore"):
+            single = np.ascontiguousarray(np.hstack([moved, norms[:, None]]).astype(np.float32).T)
+        for start in range(0, len(self.x), TILE):
+            some = start + np.flatnonzero(asked[start : start + TILE])
+            if not len(some):
+                continue
+            limit, scale = self.limit[some], self.norms[some] + top
+            found = None
+            if scale.max() < 1e30:
+                bound = limit**2 - self.norms[some] + self.error * scale + 1e-36
+                passed = np.flatnonzero(self.single[some] @ single <= bound.astype(np.float32)[:, None])
+                if len(passed) <= 4 * self.k * len(some):
+                    rows, cols = np.divmod(passed, len(y))
+                    found = rows, cols, np.sqrt(((self.x[some[rows]] - y[cols]) ** 2).sum(axis=1))
+            # A query may be among the candidates, so one more is asked for.
+            rows, cols, distances = found or _nearest_in_block(self.x[some], y, self.k + 1, limit, same=False)
+            rows, others = some[rows], number[cols]
+            good = (distances <= self.limit[rows]) & (others != self.number[rows])
+            held = self.held.setdefault(start, [])
+            held.append((rows[good], others[good], distances[good]))
+            if 2 * sum(len(h[0]) for h in held) >= self.k * min(TILE, len(self.x) - start):
+                self._merge(start)
+
+    def _merge(self, start: int) -> None:
+        """Take what the queries of a tile have met into their lists."""
+        rows, others, distances = (np.concatenate(part) for part in zip(*self.held.pop(start), strict=True))
+        if not len(rows):
+            return
+        order = np.argsort(rows, kind="stable")
+        some, first, counts = np.unique(rows[order], return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(some)), counts), self.k + np.arange(len(rows)) - np.repeat(first, counts)
+        near = np.full((len(some), self.k + counts.max()), np.inf)
+        other = np.full(near.shape, np.iinfo(np.int64).max)
+        near[:, : self.k], other[:, : self.k] = self.near[some], self.other[some]
+        near[at], other[at] = distances[order], others[order]
+        kth = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
+        kept = near <= kth[:, None]
+        clear = kept.sum(axis=1) == self.k
+        self.near[some[clear]] = near[clear][kept[clear]].reshape(-1, self.k)
+        self.other[some[clear]] = other[clear][kept[clear]].reshape(-1, self.k)
+        if not clear.all():
+            near, other = near[~clear], other[~clear]
+            best = np.lexsort((other, near))[:, : self.k]
+            self.near[some[~clear]] = np.take_along_axis(near, best, axis=1)
+            self.other[some[~clear]] = np.take_along_axis(other, best, axis=1)
+        self.limit[some] = np.minimum(self.limit[some], kth)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """``(number, others, distances)``: the lists from near to far, some thousand at a time."""
+        for start in list(self.held):
+            self._merge(start)
+        for start in range(0, len(self.x), BLOCK):
+            near, other = self.near[start : start + BLOCK], self.other[start : start + BLOCK]
+            order = np.lexsort((other, near))
+            near, other = np.take_along_axis(near, order, axis=1), np.take_along_axis(other, order, axis=1)
+            there = np.isfinite(near)
+            ends = pa.array(np.cumsum([0, *there.sum(axis=1)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[there])) for v in (other, near)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.number[start : start + BLOCK]), *lists], ["number", "others", "distances"])
+
+
 def _distinct_points(vectors: DataFrame, k: int, input_col: str, metric: str) -> tuple[DataFrame, DataFrame]:
     """``(cell, point)``, and ``(id, point, labels)`` saved: one row per distinct point with its first k + 1 labels."""
     vector = F.col(input_col)
@@ -93,12 +204,15 @@ def _distinct_points(vectors: DataFrame, k: int, input_col: str, metric: str) ->
     return cells, points
 
 
-def _to_cells(cells: DataFrame, points: DataFrame, kept: DataFrame, k: int, metric: str) -> DataFrame:
-    """The graph of cells, saved, from ``(id, other, distance)`` of the k nearest other points."""
+def _to_cells(cells: DataFrame, points: DataFrame, some: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """``(cell, neighbor, distance, position)`` of the cells of ``some`` points.
+
+    ``kept`` has ``(id, other, distance)`` of the k nearest other points of these.
+    """
     # Back to cells: the k + 1 nearest labels of a point, its own among them, serve all its copies.
     labels = points.select(F.col("id").alias("other"), "labels")
     near = kept.join(labels, "other").select("id", "distance", F.explode("labels").alias("neighbor"))
-    own = points.select("id", F.lit(0.0).alias("distance"), F.explode("labels").alias("neighbor"))
+    own = some.select("id", F.lit(0.0).alias("distance"), F.explode("labels").alias("neighbor"))
     by_distance = Window.partitionBy("id").orderBy("distance", "neighbor")
     lists = (
         near.unionByName(own)
@@ -107,17 +221,18 @@ def _to_cells(cells: DataFrame, points: DataFrame, kept: DataFrame, k: int, metr
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))).alias("nearest"))
     )
-    per_point = points.select("id", "point").join(lists, "id").select("point", "nearest")
+    per_point = some.select("id", "point").join(lists, "id").select("point", "nearest")
     others = F.slice(F.filter("nearest", lambda e: e["neighbor"] != F.col("cell")), 1, k)
-    distance = F.col("entry.distance")
+    entries = cells.join(per_point, "point").select("cell", F.posexplode(others).alias("position", "entry"))
+    return entries.select("cell", "entry.neighbor", "entry.distance", "position")
+
+
+def _saved_graph(entries: DataFrame, metric: str) -> DataFrame:
+    """The graph from ``(cell, neighbor, distance, position)``, saved, as callers use it more than once."""
+    distance = F.col("distance")
     if metric == "cosine":
         distance = distance * distance / 2
-    # Saved, as callers use the graph more than once.
-    return materialise(
-        cells.join(per_point, "point")
-        .select("cell", F.posexplode(others).alias("position", "entry"))
-        .select("cell", "entry.neighbor", distance.alias("distance"), (F.col("position") + 1).alias("rank"))
-    )
+    return materialise(entries.select("cell", "neighbor", distance.alias("distance"), (F.col("position") + 1).alias("rank")))
 
 
 def _walk(centers: np.ndarray) -> np.ndarray:
@@ -144,10 +259,10 @@ def knn_graph(
     The search never pairs all cells. Points are assigned to the nearest of up to a few thousand pivots; a
     first look within one block gives every point an upper bound on its k-th distance; the point is
     then compared only with partitions that can hold something nearer (triangle inequality and the
-    separating plane). Neighbouring partitions lie together in groups; a point travels once to each group
-    it must meet, not to each partition, and a group gives its k nearest alone. Groups, and the queries sent to them,
-    are bounded in bytes, so the work of a task is bounded however many points lie close together. Identical points
-    are searched once, whatever their number.
+    separating plane), as far as its bound, which sinks with every block, still lets it. Neighbouring partitions lie
+    together in groups. A task holds the queries of one group, bounded in bytes, and reads the partitions that any of them must
+    meet as a stream, nearest groups first; so its memory does not depend on the number of points, however many lie close
+    together, and a list leaves it once, complete. Identical points are searched once, whatever their number.
     """
     spark = vectors.sparkSession
     cells, points = _distinct_points(vectors, k, input_col, metric)
@@ -157,15 +272,25 @@ def knn_graph(
     if not sample:
         return spark.createDataFrame([], _graph_schema(vectors))
     pivots = np.array([row["point"] for row in sample], dtype=np.float64)
+    width = pivots.shape[1]
 
-    @F.pandas_udf("struct<pivot int, radius double>")
+    @F.pandas_udf("struct<pivot int, radius double, point binary>")
     def assign(point: pd.Series) -> pd.DataFrame:
         x = _matrix(point)
+        if len(x) and x.shape[1] != width:
+            raise ValueError("points differ in their number of coordinates")
         pivot = _squares(x, pivots).argmin(axis=1)
         radius = np.sqrt(((x - pivots[pivot]) ** 2).sum(axis=1))
-        return pd.DataFrame({"pivot": pivot.astype("int32"), "radius": radius})
-
-    assigned = materialise(points.select("id", "point", assign("point").alias("at")).select("id", "point", "at.*"))
+        return pd.DataFrame({"pivot": pivot.astype("int32"), "radius": radius, "point": _packed(x)})
+
+    # Whole numbers stand for labels in the search, in their order, by which equal distances go.
+    numeric = isinstance(points.schema["id"].dataType, IntegralType)
+    if numeric:
+        numbered = points.withColumn("number", F.col("id").cast("long"))
+    else:
+        names = number_rows(points.select("id").distinct(), F.col("id"))
+        numbered = points.join(names, "id")
+    assigned = materialise(numbered.select("number", assign("point").alias("at")).select("number", "at.*"))
     # One row per pivot.
     summary = (
         assigned.groupBy("pivot")
@@ -178,7 +303,7 @@ def knn_graph(
     high = np.array([row["high"] for row in summary])
     centers = pivots[occupied]
     # Partitions in the order of a walk from pivot to nearest pivot, cut into groups of about equal size.
-    group_rows = max(block, GROUP_BYTES // (8 * max(1, pivots.shape[1])))
+    group_rows = max(block, GROUP_BYTES // (8 * max(1, width) + 16 * k))
     n_groups = max(math.ceil(n_points / group_rows), min(MIN_GROUPS, math.ceil(n_points / block)))
     group_rows = math.ceil(n_points / n_groups)
     sizes = np.array([row["n"] for row in summary])
@@ -186,48 +311,17 @@ def knn_graph(
     walk = _walk(centers)
     begins = np.empty(len(walk), dtype=np.int64)
     begins[walk] = np.cumsum(sizes[walk]) - sizes[walk]
-    first_group = begins // group_rows
-    last_group = (begins + (blocks - 1) * sizes // blocks) // group_rows
-    # (partitions, groups): which groups hold a block of which partition.
-    member = (first_group[:, None] <= np.arange(n_groups)) & (np.arange(n_groups) <= last_group[:, None])
     places = F.broadcast(
         spark.createDataFrame(
             [tuple(map(int, x)) for x in zip(occupied, blocks, sizes, begins)], "pivot int, parts int, n long, begin long"
         )
     )
-    part = F.pmod(F.xxhash64("id"), "parts")
+    part = F.pmod(F.xxhash64("number", "point"), "parts")
     group = F.floor((F.col("begin") + F.floor(F.col("part") * F.col("n") / F.col("parts"))) / group_rows)
-    candidates = (
-        assigned.join(places, "pivot").withColumn("part", part.cast("int")).withColumn("group", group.cast("int"))
+    placed = (
+        assigned.drop("radius").join(places, "pivot").withColumn("part", part.cast("int")).withColumn("group", group.cast("int"))
     )
 
-    # Upper bound on the k-th distance, from the point's own block.
-    id_type = points.schema["id"].dataType.simpleString()
-
-    def bound(block_rows: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(block_rows["point"])
-        limit = np.full(len(x), np.inf)
-        if len(x) > k:
-            rows, _, distances = _nearest_in_block(x, x, k, limit, same=True)
-            order = np.lexsort((distances, rows))
-            starts = np.searchsorted(rows[order], np.arange(len(x)))
-            limit = distances[order][starts + k - 1]
-        return block_rows.assign(limit=limit)[["id", "point", "pivot", "limit"]]
-
-    bounded = candidates.groupBy("pivot", "part").applyInPandas(
-        bound, f"id {id_type}, point array<double>, pivot int, limit double"
-    )
-
-    @F.pandas_udf("array<int>")
-    def targets(point: pd.Series, pivot: pd.Series, limit: pd.Series) -> pd.Series:
-        # In slices, as each row has a number for every pivot in several arrays.
-        step, found = max(1, 2_000_000 // len(centers)), []
-        for start in range(0, len(point), step):
-            part = slice(start, start + step)
-            reached = reach(_matrix(point.iloc[part]), pivot.iloc[part].to_numpy(), limit.iloc[part].to_numpy(), slice(None))
-            found += [np.flatnonzero(row) for row in reached.astype(np.float32) @ member.astype(np.float32) > 0]
-        return pd.Series(found)
-
     def reach(x: np.ndarray, pivot: np.ndarray, limit: np.ndarray, some) -> np.ndarray:
         """Which of ``some`` partitions each point must meet."""
         own, there = centers[np.searchsorted(occupied, pivot)], centers[some]
@@ -242,69 +336,132 @@ def knn_graph(
         nearest = np.maximum.reduce([below - high[some], low[some] - above, plane])
         return nearest * (1.0 - SLACK) <= limit[:, None]
 
-    aimed = materialise(bounded.select("*", targets("point", "pivot", "limit").alias("groups")))
-    queries = aimed.withColumn("group", F.explode("groups")).drop("groups")
-    # One row per group.
-    query_parts = F.broadcast(
-        materialise(queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("query_parts")))
+    # Upper bound on the k-th distance, from the point's own block; the block's first row has the partitions it must meet.
+    def bound(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        x, pivot = _unpacked(rows["point"].chunk(0), width), rows["pivot"].to_numpy()
+        limit = np.full(len(x), np.inf)
+        if len(x) > k:
+            for start in range(0, len(x), TILE):
+                tile = slice(start, start + TILE)
+                squares = _squares(x[tile], x)
+                squares[np.arange(len(squares)), start + np.arange(len(squares))] = np.inf
+                kth = np.partition(squares, k - 1, axis=1)[:, k - 1]
+                norms = (x * x).sum(axis=1)
+                limit[tile] = np.sqrt(kth + SLACK * (norms[tile] + norms.max() + 1e-300))
+        met = np.zeros(len(centers), dtype=bool)
+        # In slices, as each row has a number for every pivot in several arrays.
+        step = max(1, 2_000_000 // len(centers))
+        for start in range(0, len(x), step):
+            some = slice(start, start + step)
+            met |= reach(x[some], pivot[some], limit[some], slice(None)).any(axis=0)
+        meets = pa.array([occupied[met].astype(np.int32), *[None] * (len(x) - 1)], pa.list_(pa.int32()))
+        return rows.select(["number", "point", "pivot", "group"]).append_column("limit", pa.array(limit)).append_column("meets", meets)
+
+    aimed = materialise(
+        placed.groupBy("pivot", "part").applyInArrow(
+            bound, "number long, point binary, pivot int, group int, limit double, meets array<int>"
+        )
     )
-    query_part = F.pmod(F.xxhash64("id", F.lit("query")), "query_parts").cast("int")
-    left = queries.join(query_parts, "group").select("id", "point", "pivot", "limit", "group", query_part.alias("query_part"))
-    right = candidates.join(query_parts, "group").select(
-        "id",
-        "point",
-        "pivot",
-        "group",
-        F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
+    # At most one row per group and pivot.
+    meetings = aimed.select(F.col("group").alias("target"), F.explode("meets").alias("pivot")).distinct()
+    if n_groups * len(centers) <= 100_000:
+        meetings = F.broadcast(meetings)
+    # Queries of a group come first, then candidates, from the nearest groups of the walk outwards.
+    turn = F.abs(F.col("group") - F.col("target"))
+    offered = aimed.join(meetings, "pivot").select("target", turn.alias("turn"), "pivot", "number", F.lit(None).cast("double").alias("limit"), "point")
+    asking = aimed.select(F.col("group").alias("target"), F.lit(-1).alias("turn"), "pivot", "number", "limit", "point")
+    streams = asking.unionByName(offered).repartitionById(n_groups, "target").sortWithinPartitions("target", "turn", "pivot")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, lists, pivot, queries, waiting, rows = None, None, None, [], [], 0
+
+        def offer() -> None:
+            nonlocal rows
+            if not waiting:
+                return
+            there, number, y = (np.concatenate(v) for v in zip(*waiting, strict=True))
+            waiting.clear()
+            rows = 0
+            for start in range(0, len(y), block):
+                some = slice(start, start + block)
+                at = np.searchsorted(occupied, np.unique(there[some]))
+                asked = np.concatenate(
+                    [
+                        reach(lists.x[a : a + BLOCK], pivot[a : a + BLOCK], lists.limit[a : a + BLOCK], at).any(axis=1)
+                        for a in range(0, len(lists.x), BLOCK)
+                    ]
+                )
+                lists.meet(number[some], y[some], asked)
+
+        for batch in batches:
+            goal, asks = batch["target"].to_numpy(), batch["turn"].to_numpy() < 0
+            cuts = np.flatnonzero((goal[1:] != goal[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(goal)], strict=True):
+                if start == stop:
+                    continue
+                piece = batch.slice(start, stop - start)
+                x, number, home = _unpacked(piece["point"], width), piece["number"].to_numpy(), piece["pivot"].to_numpy()
+                if asks[start]:
+                    if lists is not None:
+                        offer()
+                        yield from lists.batches()
+                        lists = None
+                    queries.append((home, number, piece["limit"].to_numpy(), x))
+                    continue
+                if lists is None:
+                    pivot, ids, limit, own = (np.concatenate(v) for v in zip(*queries, strict=True))
+                    queries.clear()
+                    lists = _Lists(ids, own, limit, k)
+                waiting.append((home, number, x))
+                rows += len(x)
+                if rows >= block:
+                    offer()
+        if lists is not None:
+            offer()
+            yield from lists.batches()
+
+    lists = streams.mapInArrow(search, "number long, others array<long>, distances array<double>")
+
+    def kept(lists: DataFrame) -> DataFrame:
+        """``(id, other, distance)``: lists as rows with labels; points that share one have a list together."""
+        rows = lists.select("number", F.explode(F.arrays_zip("others", "distances")).alias("entry"))
+        rows = rows.select("number", F.col("entry.others").alias("to"), F.col("entry.distances").alias("distance"))
+        if numeric:
+            named = rows.select(F.col("number").alias("id"), F.col("to").alias("other"), "distance")
+        else:
+            ends = (names.select(F.col("id").alias(c), F.col("number").alias(n)) for c, n in (("id", "number"), ("other", "to")))
+            named = rows.join(next(ends), "number").join(next(ends), "to").select("id", "other", "distance")
+        nearest = Window.partitionBy("id").orderBy("distance", "other")
+        return named.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).drop("place")
+
+    if not numeric:
+        return _saved_graph(_to_cells(cells, points, points, kept(lists), k), metric)
+    # A point of one cell, whose label no other point has, is that cell, and so are its neighbours if all are such.
+    odd = materialise(
+        points.groupBy(F.col("id").cast("long").alias("number"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.size("labels")).alias("most"))
+        .where("n > 1 OR most > 1")
+        .select("number")
     )
-
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
-        q, c = q.sort_values("pivot", kind="stable"), c.sort_values("pivot", kind="stable")
-        ids, others, there = q["id"].to_numpy(), c["id"].to_numpy(), c["pivot"].to_numpy()
-        x, y = _matrix(q["point"]), _matrix(c["point"])
-        # Places in the order of labels, by which equal distances go.
-        turn = np.empty(len(others), dtype=np.int64)
-        turn[np.argsort(others, kind="stable")] = np.arange(len(others))
-        cuts = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
-        ends = np.append(cuts[1:], len(there))
-        spans = [(a, min(a + block, end)) for start, end in zip(cuts, ends) for a in range(start, end, block)]
-        at = np.searchsorted(occupied, there[[a for a, _ in spans]])
-        pivot, limit, found = q["pivot"].to_numpy(), q["limit"].to_numpy(), []
-        for start in range(0, len(x), block):
-            some = slice(start, start + block)
-            near, own = limit[some].copy(), ids[some]
-            met = reach(x[some], pivot[some], near, at)
-            rows, cols, distances = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-            # The partitions that most points must meet come first, as limits sink with every block.
-            for s in np.argsort(-met.sum(axis=0), kind="stable"):
-                asked = np.flatnonzero(met[:, s])
-                if not len(asked):
-                    break
-                a, b = spans[s]
-                # A point meets itself in one block; ask for one more there and drop it.
-                r, t, d = _nearest_in_block(x[some][asked], y[a:b], k + 1, near[asked], same=False)
-                r, t = asked[r], t + a
-                other = own[r] != others[t]
-                rows, cols, distances = (np.append(u, v[other]) for u, v in ((rows, r), (cols, t), (distances, d)))
-                order = np.lexsort((turn[cols], distances, rows))
-                rows, cols, distances = rows[order], cols[order], distances[order]
-                number = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                last = number == k - 1
-                near[rows[last]] = np.minimum(near[rows[last]], distances[last])
-                rows, cols, distances = (v[number < k] for v in (rows, cols, distances))
-            found.append(pd.DataFrame({"id": own[rows], "other": others[cols], "distance": distances}))
-        return pd.concat(found)
-
-    keys = ["group", "query_part"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        compare, f"id {id_type}, other {id_type}, distance double"
+    some = None
+    if odd.limit(1).count():
+        lists = materialise(lists)
+        near_odd = lists.select("number", F.explode("others").alias("to")).join(odd.select(F.col("number").alias("to")), "to", "left_semi")
+        some = materialise(near_odd.select("number").unionByName(odd).distinct())
+    plain = lists.join(some, "number", "left_anti") if some else lists
+    label = vectors.schema["cell"].dataType
+    entries = plain.select("number", F.posexplode(F.arrays_zip("others", "distances")).alias("position", "entry")).select(
+        F.col("number").cast(label).alias("cell"),
+        F.col("entry.others").cast(label).alias("neighbor"),
+        F.col("entry.distances").alias("distance"),
+        "position",
     )
-    nearest = Window.partitionBy("id").orderBy("distance", "other")
-    kept = pairs.withColumn("number", F.row_number().over(nearest)).where(F.col("number") <= k)
-
-    return _to_cells(cells, points, kept, k, metric)
+    if some:
+        theirs = points.join(some, F.col("id").cast("long") == F.col("number"), "left_semi")
+        found = kept(lists.join(some, "number", "left_semi"))
+        entries = entries.unionByName(_to_cells(cells, points, theirs, found, k))
+    return _saved_graph(entries, metric)
 
 
 def _leaves(points: DataFrame, n_points: int) -> DataFrame:
@@ -467,7 +624,8 @@ def knn_approx(
     kept = graph.withColumn("number", F.row_number().over(nearest)).where(F.col("number") <= k)
     names = points.select("pid", "id")
     named = kept.join(names.toDF("src", "id"), "src").join(names.toDF("dst", "other"), "dst").select("id", "other", "distance")
-    return _to_cells(cells, points.select("id", "point", "labels"), named, k, metric)
+    points = points.select("id", "point", "labels")
+    return _saved_graph(_to_cells(cells, points, points, named, k), metric)
 
 
 def _graph_schema(vectors: DataFrame) -> str:

@@ -54,6 +54,48 @@ def test_knn_sends_a_point_once_to_a_group_of_partitions(spark, monkeypatch):
     assert found(neighbors.knn_graph(frame(spark, points), k=3, block=8)) == brute_force(points, 3)
 
 
+def numbers(spark, points):
+    return spark.createDataFrame([(name, [float(v) for v in p]) for name, p in points], "cell long, features array<double>")
+
+
+def test_a_list_of_neighbours_leaves_the_search_once(spark, monkeypatch):
+    """However many groups a point meets: the graph is written as it is found, without joining or ranking rows of groups."""
+    rng = np.random.default_rng(6)
+    points = [(i, rng.normal(size=8)) for i in range(400)]
+    written = []
+    save = neighbors.materialise
+    monkeypatch.setattr(neighbors, "materialise", lambda df: written.append(df) or save(df))
+    monkeypatch.setattr(neighbors, "GROUP_BYTES", 8 * 8 * 40)
+    assert found(neighbors.knn_graph(numbers(spark, points), k=5, block=8)) == brute_force(points, 5)
+    plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_copies_and_repeated_labels_among_numbered_cells(spark):
+    rng = np.random.default_rng(7)
+    points = [(i, rng.normal(size=3)) for i in range(200)]
+    points += [(1000 + i, points[i % 3][1]) for i in range(7)]
+    assert found(neighbors.knn_graph(numbers(spark, points), k=4, block=16)) == brute_force(points, 4)
+    # A label of two points has a list of both.
+    twice = [(0, (0, 0)), (0, (9, 9)), (1, (0, 1)), (2, (9, 7)), (3, (40, 40))]
+    graph = {tuple(r) for r in neighbors.knn_graph(numbers(spark, twice), k=3).select("cell", "neighbor", "distance").collect()}
+    assert {e for e in graph if e[0] == 0} == {(0, 1, 1.0), (0, 2, 2.0)}
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-25, 0.0), (1e18, 0.0), (1e-3, 1e6)])
+def test_lists_equal_brute_force_where_single_precision_does_not_do(scale, shift):
+    rng = np.random.default_rng(8)
+    x = shift * rng.integers(0, 3, (300, 1)) + scale * rng.normal(size=(300, 5))
+    lists = neighbors._Lists(np.arange(60), x[:60], np.full(60, np.inf), 7)
+    for start in range(0, 300, 50):
+        lists.meet(np.arange(start, start + 50), x[start : start + 50], np.ones(60, dtype=bool))
+    rows = [(n, o) for b in lists.batches() for n, o in zip(b["number"].to_pylist(), b["others"].to_pylist())]
+    for number, others in rows:
+        d = np.sqrt(((x - x[number]) ** 2).sum(axis=1))
+        assert others == [j for _, j in sorted((d[j], j) for j in range(300) if j != number)[:7]]
+    assert len(rows) == 60
+
+
 def test_knn_with_ties_on_a_grid(spark):
     points = [(f"g{x}{y}", (x, y)) for x in range(7) for y in range(7)]
     assert found(neighbors.knn_graph(frame(spark, points), k=6, block=8)) == brute_force(points, 6)
