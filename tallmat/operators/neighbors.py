@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegralType
 
@@ -723,17 +723,27 @@ def conditional_affinities(knn: DataFrame, perplexity: float = 30) -> DataFrame:
 
 def _both_ways(directed: DataFrame, weight: str) -> DataFrame:
     """``(cell, neighbor, out, back)``: each edge with its weight and that of its reverse, 0 where absent."""
-    ends = F.explode(
-        F.array(
-            F.struct(F.col("cell").alias("a"), F.col("neighbor").alias("b"), F.col(weight).alias("out"), F.lit(0.0).alias("back")),
-            F.struct(F.col("neighbor").alias("a"), F.col("cell").alias("b"), F.lit(0.0).alias("out"), F.col(weight).alias("back")),
+    # Added up per pair of ends, and laid out both ways afterwards, so an edge is one row on its way.
+    cell, neighbor, zero = F.col("cell"), F.col("neighbor"), F.lit(0.0)
+    ahead = F.coalesce(cell <= neighbor, cell.isNull())
+    pairs = (
+        directed.select(
+            F.when(ahead, cell).otherwise(neighbor).alias("a"),
+            F.when(ahead, neighbor).otherwise(cell).alias("b"),
+            F.when(ahead, F.col(weight)).otherwise(zero).alias("ab"),
+            F.when(ahead, zero).otherwise(F.col(weight)).alias("ba"),
         )
+        .groupBy("a", "b")
+        .agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba"))
     )
-    return (
-        directed.select(ends.alias("end"))
-        .groupBy(F.col("end.a").alias("cell"), F.col("end.b").alias("neighbor"))
-        .agg(F.sum("end.out").alias("out"), F.sum("end.back").alias("back"))
+
+    def row(start: str, end: str, out: str, back: str) -> Column:
+        return F.struct(F.col(start).alias("cell"), F.col(end).alias("neighbor"), F.col(out).alias("out"), F.col(back).alias("back"))
+
+    ends = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(row("a", "b", "ab", "ab"))).otherwise(
+        F.array(row("a", "b", "ab", "ba"), row("b", "a", "ba", "ab"))
     )
+    return pairs.select(F.explode(ends).alias("end")).select("end.*")
 
 
 def perplexity_affinities(knn: DataFrame, perplexity: float = 30) -> DataFrame:

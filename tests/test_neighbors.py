@@ -96,6 +96,17 @@ def test_lists_equal_brute_force_where_single_precision_does_not_do(scale, shift
     assert len(rows) == 60
 
 
+def test_edges_are_added_up_before_they_are_laid_out_both_ways(spark):
+    rows = [(1, 2, 0.5), (2, 1, 0.25), (1, 3, 0.125), (3, 3, 1.0), (4, 1, 2.0), (4, 1, 2.0), (None, 5, 1.0), (5, None, 2.0)]
+    both = neighbors._both_ways(spark.createDataFrame(rows, "cell long, neighbor long, p double"), "p")
+    expected = {(1, 2, 0.5, 0.25), (2, 1, 0.25, 0.5), (1, 3, 0.125, 0.0), (3, 1, 0.0, 0.125), (3, 3, 1.0, 1.0)}
+    expected |= {(4, 1, 4.0, 0.0), (1, 4, 0.0, 4.0), (None, 5, 1.0, 2.0), (5, None, 2.0, 1.0)}
+    found_rows = [tuple(r) for r in both.collect()]
+    assert len(found_rows) == len(expected) and set(found_rows) == expected
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_knn_with_ties_on_a_grid(spark):
     points = [(f"g{x}{y}", (x, y)) for x in range(7) for y in range(7)]
     assert found(neighbors.knn_graph(frame(spark, points), k=6, block=8)) == brute_force(points, 6)
